@@ -6,12 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam
+from . import decontam, mixing, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontaminate": decontam.op1_decontaminate}
+    return {
+        "op1_decontaminate": decontam.op1_decontaminate,
+        "op3_mix": mixing.op3_mix,
+        "op4_simhash": simhash.op4_simhash,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": decontam.ORACLE_SQL}
+    return {
+        "op1_decontaminate": decontam.ORACLE_SQL,
+        "op3_mix": mixing.ORACLE_SQL,
+    }
