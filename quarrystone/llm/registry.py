@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, simhash
+from . import decontam, html, langid, mixing, simhash, urlfilter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": decontam.op1_decontaminate,
+        "op2_langid": langid.op2_langid,
         "op3_mix": mixing.op3_mix,
         "op4_simhash": simhash.op4_simhash,
+        "op5_extract": html.op5_extract,
+        "op9_urlfilter": urlfilter.op9_urlfilter,
+        "op10_warc": warc.op10_warc,
     }
 
 
