@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html, langid, mixing, simhash, urlfilter, warc
+from . import ann, decontam, html, langid, mixing, quality, simhash, urlfilter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_mix": mixing.op3_mix,
         "op4_simhash": simhash.op4_simhash,
         "op5_extract": html.op5_extract,
+        "op6_quality": quality.op6_quality,
+        "op7_ann": ann.op7_ann,
         "op9_urlfilter": urlfilter.op9_urlfilter,
         "op10_warc": warc.op10_warc,
     }
