@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontam, html, langid, mixing, quality, simhash, urlfilter, warc
+from . import ann, decontam, html, langid, mixing, quality, simhash, suffixdedup, urlfilter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_extract": html.op5_extract,
         "op6_quality": quality.op6_quality,
         "op7_ann": ann.op7_ann,
+        "op8_suffixdedup": suffixdedup.op8_suffixdedup,
         "op9_urlfilter": urlfilter.op9_urlfilter,
         "op10_warc": warc.op10_warc,
     }
@@ -27,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontaminate": decontam.ORACLE_SQL,
         "op3_mix": mixing.ORACLE_SQL,
+        "op8_suffixdedup": suffixdedup.ORACLE_SQL,
     }
