@@ -165,11 +165,9 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", out: str = "l
     ``und`` with score 0 for null texts, texts without a letter, and if no
     language was learned. All other columns stay as they are.
     """
-    broadcast = docs.sparkSession.sparkContext.broadcast(model)
-
     @F.pandas_udf("lang string, score double, ambiguous boolean")
     def identify(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = broadcast.value
+        own = model
         for texts in batches:
             got = [prepared(t) if t is not None else b"" for t in texts]
             known = np.array([i for i, t in enumerate(got) if len(t) > 2], int) if own.languages else np.array([], int)

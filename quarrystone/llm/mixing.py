@@ -49,8 +49,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float
         .withColumn("full", F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .withColumn("rest", F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing)))
         .withColumn("level", (F.col("total") - F.col("full")) / F.col("rest"))
+        .withColumn("place", F.row_number().over(order))
     )
-    level = F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(Window.partitionBy())
+    # The first source in this order that is not full at its level: those before it are.
+    level = F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct("place", "level"))).over(Window.partitionBy())["level"]
     capped = F.least(F.col("cap").cast("double"), F.coalesce(level * F.col("weight"), F.col("cap").cast("double")))
     return levelled.select("source", "source_size", "weight", capped.alias("target"))
 
@@ -131,9 +133,9 @@ WITH d AS (
     CAST('0x' || md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, '')))[1:13] AS BIGINT) AS draw FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [3, 1, 2][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)] AS weight, source_size * 2 AS cap, (sum(source_size) OVER ()) * 1.5::DOUBLE AS total FROM s),
-l AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+l AS (SELECT *, row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS place, (total - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
-t AS (SELECT source, source_size, least(CAST(cap AS DOUBLE), coalesce(min(CASE WHEN level * weight <= cap THEN level END) OVER () * weight, CAST(cap AS DOUBLE))) AS target FROM l),
+t AS (SELECT source, source_size, least(CAST(cap AS DOUBLE), coalesce(arg_min(level, place) FILTER (WHERE level * weight <= cap) OVER () * weight, CAST(cap AS DOUBLE))) AS target FROM l),
 r AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS times FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 q AS (SELECT *, floor(times) AS whole, times - floor(times) AS p, (draw + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u FROM r),
 k AS (SELECT *, target - whole * source_size AS want, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS q FROM q),

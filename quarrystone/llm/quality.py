@@ -144,11 +144,9 @@ def grade(docs: DataFrame, model: Model, text_col: str = "text", out: str = "qua
 
     A null text is graded as an empty one. All other columns stay.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
     @F.pandas_udf("expected double, tail1 double, tail2 double")
     def graded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own, cache = shared.value, {}
+        own, cache = model, {}
         for texts in batches:
             tails = own.tails(np.array([own.score(t or "", cache) for t in texts], float))
             yield pd.DataFrame({"expected": tails.sum(1), "tail1": tails[:, 0], "tail2": tails[:, 1]})

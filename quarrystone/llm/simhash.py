@@ -42,9 +42,9 @@ def _long(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(rid, id, fp): a row for each row, fp zero where there are no words."""
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), words(ascii_lower(F.col(text_col)), SPACE_WORD).alias("ws"))
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, row_col: str | None = None) -> DataFrame:
+    """(rid, id, fp): a row for each row, fp zero where there are no words; ``row_col`` names a unique number of the row, if there is one."""
+    rows = docs.select((F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("rid"), F.col(id_col).alias("id"), words(ascii_lower(F.col(text_col)), SPACE_WORD).alias("ws"))
     each = rows.select("rid", "id", "ws", F.posexplode_outer("ws").alias("pos", "w"))
     each = each.where(F.col("pos").isNull() | (F.col("pos") == 0) | (F.col("pos") <= F.size("ws") - shingle))
     h = F.when(F.col("pos").isNotNull(), F.xxhash64(F.concat_ws(" ", "w", *[F.get("ws", F.col("pos") + i) for i in range(1, shingle)])))
@@ -135,23 +135,31 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     raise RuntimeError("the components did not settle")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, most: int = 2) -> DataFrame:
-    """(rid, id, fp, component): rows whose fingerprints are linked share the least id of all of them.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, most: int = 2, row_col: str | None = None) -> DataFrame:
+    """(rid, id, fp, root, component): rows whose fingerprints are linked share the least id of all of them.
 
     Texts without words, null ones included, have fingerprint zero and are
     linked like any other. A null id is no candidate for the least id; a
     component of null ids alone has a null one. Repeated rows are rows of
     their own in one component. Extra columns are ignored.
     """
-    fps = settle(fingerprints(docs, id_col, text_col, shingle))
+    fps = settle(fingerprints(docs, id_col, text_col, shingle, row_col))
     distinct = settle(fps.groupBy("fp").agg(F.min("id").alias("least")))
     roots = components(links(distinct.select("fp"), most))
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    known = rooted.join(named, "root").select("fp", "component")
-    return fps.join(known, "fp").select("rid", "id", "fp", "component")
+    known = rooted.join(named, "root").select("fp", "root", "component")
+    return fps.join(known, "fp").select("rid", "id", "fp", "root", "component")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: of each group of near-duplicates the row of the least id stays (of several, the first; null ids come last)."""
+    keyed = docs.withColumn("__row", F.monotonically_increasing_id())
+    found = near_duplicates(keyed, row_col="__row")
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "rid")).alias("m")).select(F.col("m.rid").alias("__row"))
+    return keyed.join(first, "__row", "left_semi").select(*docs.columns)
