@@ -6,11 +6,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrystone.llm import decontam
+from quarrystone.llm import decontam, langid, mixing, simhash, suffixdedup
 from quarrystone.llm.common import checkpoint_dir
 
 STAGES = [
+    ("language ID", langid.stage),
+    ("SimHash near-dedup", simhash.stage),
+    ("suffix-array dedup", suffixdedup.stage),
     ("benchmark decontamination", decontam.stage),
+    ("mixing", mixing.stage),
 ]
 
 #: SQL cannot express the trained and iterative stages; tests/llm hold them against brute force.
