@@ -21,6 +21,7 @@ buckets grow in number with the input, not in size.
 
 from __future__ import annotations
 
+import functools
 import struct
 from collections.abc import Iterator
 
@@ -38,15 +39,17 @@ LENGTH = 50
 ANCHOR = 16
 #: Text bytes of a group and of a bucket's share, about.
 GROUP_BYTES = 4_000_000
-BUCKET_BYTES = 12_000_000
+BUCKET_BYTES = 3_000_000
 #: Bytes of stretches that are suffix sorted at a time; equal windows are never apart, as pieces are cut by window hash.
 SORT_BYTES = 2_000_000
 #: Bytes of text whose hashes are held at a time.
-_SLAB = 1 << 18
+_SLAB = 1 << 16
 _NO_ID = np.iinfo(np.int64).max
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _LAST24 = _U((1 << 24) - 1)
+#: Bytes of an anchor's hash that are sent; two anchors taken for one only send more than is needed.
+_HASH_BYTES = 6
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -82,22 +85,47 @@ def _least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(keys[: len(keys) - (width - size)], keys[width - size :]) if width > size else keys
 
 
-def runs(raw: np.ndarray, length: int, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, first window, number of windows) for each run of windows of one document that share an anchor."""
-    hashes, firsts, counts = [], [], []
-    step = _SLAB
-    for a in range(0, max(0, len(raw) - length + 1), step):
-        piece = raw[a : a + step + length - 1]
+@functools.cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2^64."""
+    up, down = np.full(n, _U(_BASE)), np.full(n, _U(pow(_BASE, -1, 1 << 64)))
+    up[0] = down[0] = 1
+    return np.cumprod(up), np.cumprod(down)
+
+
+_BYTE = np.random.default_rng(11).integers(0, 1 << 63, 256, np.uint64) * _U(2) + _U(1)
+
+
+def runs(raw: np.ndarray, ends: np.ndarray, length: int, keyed: bool = True, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor hash, first window, number of windows, key) for each run of windows that share an anchor.
+
+    ``raw`` holds documents one after the other and ``ends`` the end of its
+    document for each byte; no window crosses one. ``key`` stands for the
+    bytes of the run: a 64-bit polynomial hash mixed with its anchor's; 0 unless ``keyed``.
+    """
+    found: list[list[np.ndarray]] = [[], [], [], []]
+    up, down = _powers(_SLAB + length)
+    for a in range(0, max(0, len(raw) - length + 1), _SLAB):
+        piece = raw[a : a + _SLAB + length - 1]
         grams = gram_hashes(piece, anchor)
         keys = (grams >> _U(24) << _U(24)) | np.arange(len(grams), dtype=_U)
         at = (_least(keys, length - anchor + 1) & _LAST24).astype(np.int64)
-        first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-        hashes.append(grams[at[first]])
-        firsts.append(first + a)
-        counts.append(np.diff(np.append(first, len(at))))
-    if not hashes:
-        return np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(hashes), np.concatenate(firsts), np.concatenate(counts)
+        valid = np.flatnonzero(ends[a : a + len(at)] - np.arange(a, a + len(at)) >= length)
+        if not len(valid):
+            continue
+        own = at[valid]
+        first = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (valid[1:] != valid[:-1] + 1))))
+        counts = np.diff(np.append(first, len(valid)))
+        begin = valid[first]
+        anchors, key = grams[own[first]], np.zeros(len(begin), _U)
+        if keyed:
+            sums = np.concatenate((np.zeros(1, _U), np.cumsum(_BYTE[piece] * up[: len(piece)])))
+            stretch = (sums[begin + counts - 1 + length] - sums[begin]) * down[begin]
+            key = _mixed(stretch + anchors * _U(3) + counts.astype(_U))
+        for to, part in zip(found, (anchors >> _U(64 - 8 * _HASH_BYTES), begin + a, counts, key), strict=True):
+            to.append(part)
+    kinds = (_U, np.int64, np.int64, _U)
+    return tuple(np.concatenate(f) if f else np.zeros(0, k) for f, k in zip(found, kinds, strict=True))
 
 
 def _in(values: np.ndarray, members: np.ndarray) -> np.ndarray:
@@ -110,27 +138,35 @@ def _in(values: np.ndarray, members: np.ndarray) -> np.ndarray:
 
 
 class _Group:
-    """Documents of a group in a fixed order, as (id, bytes)."""
+    """Documents of a group in the order of their ids, one after the other."""
 
-    def __init__(self, frame: pd.DataFrame, length: int):
-        self.length = length
+    def __init__(self, frame: pd.DataFrame, length: int, keyed: bool = True):
         texts = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in frame["text"].tolist()]
-        ids = [_NO_ID if pd.isna(i) else int(i) for i in frame["id"].tolist()]
-        self.order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
-        self.docs = [(ids[i], texts[i]) for i in self.order]
-
-    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.array([_NO_ID if pd.isna(i) else int(i) for i in frame["id"].tolist()], np.int64)
+        self.order = np.argsort(ids, kind="stable")
+        self.ids = ids[self.order]
+        self.text = b"".join(texts[i] for i in self.order.tolist())
+        self.raw = np.frombuffer(self.text, np.uint8)
+        sizes = np.array([len(texts[i]) for i in self.order.tolist()], np.int64)
+        self.ends = np.cumsum(sizes)
+        self.begins = self.ends - sizes
+        self.anchors, self.first, self.counts, self.keys = runs(self.raw, np.repeat(self.ends, sizes), length, keyed)
+        self.docs = np.searchsorted(self.ends, self.first, side="right")
+
+    def anchor_sets(self) -> tuple[np.ndarray, np.ndarray]:
         """(anchors, those of more than one document of the group), sorted."""
-        each = [np.unique(runs(np.frombuffer(t, np.uint8), self.length)[0]) for _, t in self.docs]
-        every, n = np.unique(np.concatenate(each) if each else np.zeros(0, _U), return_counts=True)
-        return every, every[n > 1]
+        order = np.argsort(self.anchors, kind="stable")
+        own, docs = self.anchors[order], self.docs[order]
+        head = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else np.zeros(0, np.int64)
+        last = np.append(head[1:], len(own)) - 1
+        return own[head], own[head[docs[head] != docs[last]]]
 
-    def stretches(self, shared: np.ndarray) -> Iterator[tuple[int, list[tuple[int, int, bytes, int]]]]:
-        """For each document (its place, [(first window, windows, stretch, anchor)]) at the shared anchors."""
-        for place, (_, t) in enumerate(self.docs):
-            hashes, firsts, counts = runs(np.frombuffer(t, np.uint8), self.length)
-            keep = np.flatnonzero(_in(hashes, shared))
-            yield place, [(f, c, t[f : f + c + self.length - 1], h) for f, c, h in zip(firsts[keep].tolist(), counts[keep].tolist(), hashes[keep].tolist(), strict=True)]
+    def keep(self, shared: np.ndarray) -> None:
+        """Only the runs at shared anchors stay; ``number`` tells which of them have the same bytes."""
+        at = np.flatnonzero(_in(self.anchors, shared))
+        self.anchors, self.first, self.counts, self.keys, self.docs = (x[at] for x in (self.anchors, self.first, self.counts, self.keys, self.docs))
+        # Documents come by id, so the first run of a number has its least id.
+        _, self.head, self.number = np.unique(self.keys, return_index=True, return_inverse=True)
 
 
 def _pack(*arrays: np.ndarray | bytes) -> bytes:
@@ -146,57 +182,85 @@ def _unpack(blob: bytes, n: int) -> list[bytes]:
     return out
 
 
-def equal_windows(stretches: list[bytes], length: int = LENGTH, sort_bytes: int = SORT_BYTES) -> Iterator[np.ndarray]:
-    """Sets of windows that are one string, of those in more than one place of ``stretches``, which differ from each other.
+def _planes(values: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of integers, byte by byte, so that equal high bytes compress away."""
+    return np.ascontiguousarray(values.astype("<i8" if values.dtype.kind == "i" else "<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _from_planes(blob: bytes, width: int, kind=np.int64) -> np.ndarray:
+    out = np.zeros((len(blob) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(blob, np.uint8).reshape(width, -1).T
+    return out.view(kind).ravel()
 
-    A set is an array of places in the concatenation of all stretches.
+
+def _hashes(blob: bytes) -> np.ndarray:
+    return _from_planes(blob, _HASH_BYTES, _U)
+
+
+def _steps(ascending: np.ndarray) -> bytes:
+    return _planes(np.diff(ascending, prepend=0).astype(np.int64), 4)
+
+
+def _from_steps(blob: bytes) -> np.ndarray:
+    return np.cumsum(_from_planes(blob, 4))
+
+
+def equal_windows(stretches: list[bytes], length: int = LENGTH, sort_bytes: int = SORT_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, labels) of windows that occur in more than one place of ``stretches``, which differ from each other.
+
+    Places are offsets in the concatenation of all stretches; windows of one
+    label are one string, and the windows of a string come in one piece.
     """
     joined = b"".join(stretches)
     raw = np.frombuffer(joined, np.uint8)
     if len(raw) < length:
         return
     sizes = np.array([len(s) for s in stretches])
-    ends = np.cumsum(sizes)
-    starts = np.concatenate([np.arange(e - s, e - length + 1) for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)])
+    end_of = np.repeat(np.cumsum(sizes), sizes)
+    starts = np.flatnonzero(end_of - np.arange(len(raw)) >= length)
     hashed = gram_hashes(raw, length)[starts]
     _, which, n = np.unique(hashed, return_inverse=True, return_counts=True)
     again = n[which] > 1
     starts, hashed = starts[again], hashed[again]
     pieces = max(1, -(-len(starts) * 3 // sort_bytes))
     part = (hashed >> _U(32)) % _U(pieces)
-    end_of = np.repeat(ends, sizes)
     for p in range(pieces):
         chosen = starts[part == p]
         if not len(chosen):
             continue
-        # Neighbouring windows of a stretch go as one piece of text; what is between pieces is a byte that UTF-8 never has.
+        # Neighbouring windows of a stretch are one text to sort, and equal texts are sorted once.
         cut = np.flatnonzero(np.concatenate(([True], (chosen[1:] != chosen[:-1] + 1) | (end_of[chosen[1:]] != end_of[chosen[:-1]]))))
-        lasts = chosen[np.append(cut[1:], len(chosen)) - 1] + length
-        texts = [joined[a:b] for a, b in zip(chosen[cut].tolist(), lasts.tolist(), strict=True)]
-        text = b"\xff".join(texts)
-        origin = np.full(len(text) + 1, -1)
-        at = 0
-        for a, b in zip(chosen[cut].tolist(), lasts.tolist(), strict=True):
-            origin[at : at + b - a - length + 1] = np.arange(a, b - length + 1)
-            at += b - a + 1
+        counts = np.diff(np.append(cut, len(chosen)))
+        texts: dict[bytes, int] = {}
+        at, begins = 0, np.empty(len(cut), np.int64)
+        for i, (a, c) in enumerate(zip(chosen[cut].tolist(), counts.tolist(), strict=True)):
+            t = joined[a : a + c - 1 + length]
+            begins[i] = begin = texts.setdefault(t, at)
+            if begin == at:
+                at += len(t) + 1
+        text = b"\xff".join(texts)  # a byte that UTF-8 never has
+        place = np.repeat(begins - cut, counts) + np.arange(len(chosen))
+        window = np.zeros(len(text), bool)
+        window[place] = True
         ranked = suffix_array(text)
-        ranked = ranked[origin[ranked] >= 0]
-        windows = sliding_window_view(np.frombuffer(text, np.uint8), length)
-        same = np.concatenate([(windows[ranked[i : i + 8192]][:-1] == windows[ranked[i : i + 8192]][1:]).all(1) for i in range(0, max(1, len(ranked) - 1), 8191)])
-        bounds = np.flatnonzero(np.concatenate(([True], ~same, [True])))
-        places = origin[ranked]
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            if b - a > 1:
-                yield places[a:b]
+        ranked = ranked[window[ranked]]
+        views = sliding_window_view(np.frombuffer(text, np.uint8), length)
+        new = np.ones(len(ranked), np.int64)
+        for i in range(1, len(ranked), 8192):
+            rows = views[ranked[i - 1 : i + 8192]]
+            new[i : i + 8192] = (rows[1:] != rows[:-1]).any(1)
+        label = np.zeros(len(text), np.int64)
+        label[ranked] = np.cumsum(new) - 1
+        yield chosen, label[place]
 
 
 def _find_shared(frame: pd.DataFrame) -> pd.DataFrame:
     """Of a bucket's anchors, by group: those that more than one document has."""
-    blobs = [[np.frombuffer(b, _U) for b in _unpack(bytes(blob), 2)] for blob in frame["blob"]]
+    blobs = [[_hashes(b) for b in _unpack(bytes(blob), 2)] for blob in frame["blob"]]
     every, n = np.unique(np.concatenate([b[0] for b in blobs]), return_counts=True)
     shared = np.union1d(every[n > 1], np.concatenate([b[1] for b in blobs]))
     kept = [(g, own[0][_in(own[0], shared)]) for g, own in zip(frame["g"].tolist(), blobs, strict=True)]
-    return pd.DataFrame([(g, k.tobytes()) for g, k in kept if len(k)], columns=["g", "blob"])
+    return pd.DataFrame([(g, _planes(k, _HASH_BYTES)) for g, k in kept if len(k)], columns=["g", "blob"])
 
 
 def _least_ids(frame: pd.DataFrame, length: int) -> pd.DataFrame:
@@ -206,7 +270,7 @@ def _least_ids(frame: pd.DataFrame, length: int) -> pd.DataFrame:
     sent = []
     for g, blob in zip(frame["g"].tolist(), frame["blob"], strict=True):
         numbers, ids, sizes, text = _unpack(bytes(blob), 4)
-        ids, sizes = np.frombuffer(ids, np.int64).tolist(), np.frombuffer(sizes, np.int32)
+        ids, sizes = _from_planes(ids, 8).tolist(), _from_planes(sizes, 4)
         at, mine = 0, np.empty(len(ids), np.int64)
         for i, size in enumerate(sizes.tolist()):
             s = text[at : at + size]
@@ -225,17 +289,18 @@ def _least_ids(frame: pd.DataFrame, length: int) -> pd.DataFrame:
     # Windows that only copies of one stretch have keep its least id; the others share the least of theirs.
     changed = np.zeros(len(sizes), bool)
     stretch_of = np.repeat(np.arange(len(sizes)), sizes)
-    for places in equal_windows(stretches, length):
-        low = at_place[places].min()
-        changed[stretch_of[places[at_place[places] != low]]] = True
-        at_place[places] = low
+    for places, labels in equal_windows(stretches, length):
+        low = np.full(labels.max() + 1, _NO_ID)
+        np.minimum.at(low, labels, at_place[places])
+        changed[stretch_of[places[at_place[places] != low[labels]]]] = True
+        at_place[places] = low[labels]
     out = []
     plain = np.array(least, np.int64)
     for g, numbers, mine in sent:
         apart = np.flatnonzero(changed[mine])
         detail = [at_place[begins[n] : begins[n] + sizes[n] - length + 1] for n in mine[apart].tolist()]
         counts = np.array([len(d) for d in detail], np.int32)
-        out.append((g, _pack(numbers, plain[mine], apart.astype(np.int32), counts, np.concatenate(detail) if detail else np.zeros(0, np.int64))))
+        out.append((g, _pack(numbers, _planes(plain[mine], 8), apart.astype(np.int32), counts, _planes(np.concatenate(detail), 8) if detail else b"")))
     return pd.DataFrame(out, columns=["g", "blob"])
 
 
@@ -259,7 +324,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
         return (hashes % _U(buckets)).astype(np.int64)
 
     def send_anchors(frame: pd.DataFrame) -> pd.DataFrame:
-        every, twice = _Group(frame, length).anchors()
+        every, twice = _Group(frame, length, keyed=False).anchor_sets()
         g, out = int(frame["g"].iloc[0]), []
         to, to2 = of_bucket(every), of_bucket(twice)
         order, order2 = np.argsort(to, kind="stable"), np.argsort(to2, kind="stable")
@@ -267,26 +332,23 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
         for b in np.unique(to).tolist():
             a, z = np.searchsorted(to, [b, b + 1])
             a2, z2 = np.searchsorted(to2, [b, b + 1])
-            out.append((b, g, _pack(every[a:z], twice[a2:z2])))
+            out.append((b, g, _pack(_planes(every[a:z], _HASH_BYTES), _planes(twice[a2:z2], _HASH_BYTES))))
         return pd.DataFrame(out, columns=["bucket", "g", "blob"])
 
     def send_stretches(key, frame: pd.DataFrame, lists: pd.DataFrame) -> pd.DataFrame:
         if not len(frame) or not len(lists):
             return pd.DataFrame([], columns=["bucket", "g", "blob"])
-        g, shared = int(key[0]), np.unique(np.frombuffer(b"".join(bytes(b) for b in lists["blob"]), _U))
-        group, numbers, ids, anchors = _Group(frame, length), {}, [], []
-        for place, found in group.stretches(shared):
-            for _, _, s, h in found:
-                if s not in numbers:  # documents come by id, so the first has the least
-                    numbers[s] = len(ids)
-                    ids.append(group.docs[place][0])
-                    anchors.append(h)
-        texts, out = list(numbers), [(-1 - g, g, shared.tobytes())]
-        to = of_bucket(np.array(anchors, _U))
+        g, shared = int(key[0]), np.unique(np.concatenate([_hashes(bytes(b)) for b in lists["blob"]]))
+        group = _Group(frame, length)
+        group.keep(shared)
+        head = group.head
+        ids, sizes = group.ids[group.docs[head]], (group.counts[head] - 1 + length).astype(np.int32)
+        begins, out = group.first[head], [(-1 - g, g, _planes(shared, _HASH_BYTES))]
+        to = of_bucket(group.anchors[head])
         for b in np.unique(to).tolist():
             own = np.flatnonzero(to == b)
-            sent = [texts[i] for i in own.tolist()]
-            out.append((b, g, _pack(own.astype(np.int32), np.array(ids, np.int64)[own], np.array([len(s) for s in sent], np.int32), b"".join(sent))))
+            sent = b"".join([group.text[x:y] for x, y in zip(begins[own].tolist(), (begins[own] + sizes[own]).tolist(), strict=True)])
+            out.append((b, g, _pack(_steps(own), _planes(ids[own], 8), _planes(sizes[own], 4), sent)))
         return pd.DataFrame(out, columns=["bucket", "g", "blob"])
 
     def sort_bucket(frame: pd.DataFrame) -> pd.DataFrame:
@@ -297,46 +359,40 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     def cut(key, frame: pd.DataFrame, results: pd.DataFrame) -> pd.DataFrame:
         group = _Group(frame, length)
         notes = [bytes(b) for b, note in zip(results["blob"], results["note"], strict=True) if note]
-        spans: list[list[dict]] = [[] for _ in group.docs]
-        kept = [t for _, t in group.docs]
+        spans: list[list[dict]] = [[] for _ in group.ids]
+        kept = [group.text[a:b] for a, b in zip(group.begins.tolist(), group.ends.tolist(), strict=True)]
         if notes:
-            shared, plain, detail = np.frombuffer(notes[0], _U), {}, {}
+            group.keep(_hashes(notes[0]))
+            plain, detail = np.full(len(group.head), _NO_ID), {}
             for blob, note in zip(results["blob"], results["note"], strict=True):
                 if not note:
                     own, least, apart, counts, values = _unpack(bytes(blob), 5)
-                    own = np.frombuffer(own, np.int32)
-                    plain.update(zip(own.tolist(), np.frombuffer(least, np.int64).tolist(), strict=True))
-                    at, values = 0, np.frombuffer(values, np.int64)
+                    own = _from_steps(own)
+                    plain[own] = _from_planes(least, 8)
+                    at, values = 0, _from_planes(values, 8)
                     for i, n in zip(own[np.frombuffer(apart, np.int32)].tolist(), np.frombuffer(counts, np.int32).tolist(), strict=True):
                         detail[i] = values[at : at + n]
                         at += n
-            numbers: dict[bytes, int] = {}
-            for place, found in group.stretches(shared):
-                own_id, text = group.docs[place]
-                edge = None
-                for first, windows, s, _ in found:
-                    n = numbers.setdefault(s, len(numbers))
-                    if n in detail:
-                        gone = np.flatnonzero(detail[n] < own_id) + first
-                    elif plain[n] < own_id:
-                        gone = None
-                    else:
-                        continue
-                    if edge is None:
-                        edge = np.zeros(len(text) + 1, np.int32)
-                    if gone is None:
-                        edge[first] += 1
-                        edge[first + windows - 1 + length] -= 1
-                    else:
-                        np.add.at(edge, gone, 1)
-                        np.add.at(edge, gone + length, -1)
-                if edge is not None:
-                    removed = np.cumsum(edge[:-1]) > 0
-                    turns = np.flatnonzero(np.diff(np.concatenate(([0], removed.view(np.int8), [0]))))
-                    spans[place] = [{"start": int(a), "end": int(b)} for a, b in zip(turns[::2], turns[1::2], strict=True)]
-                    kept[place] = np.frombuffer(text, np.uint8)[~removed].tobytes()
+            own_id = group.ids[group.docs]
+            special = np.isin(group.number, np.fromiter(detail, np.int64, len(detail)))
+            whole = np.flatnonzero(~special & (plain[group.number] < own_id))
+            gone, upto = [group.first[whole]], [group.first[whole] + group.counts[whole] - 1 + length]
+            for r in np.flatnonzero(special).tolist():
+                at = np.flatnonzero(detail[int(group.number[r])] < own_id[r]) + group.first[r]
+                gone.append(at)
+                upto.append(at + length)
+            size = len(group.raw) + 1
+            edge = np.bincount(np.concatenate(gone), minlength=size) - np.bincount(np.concatenate(upto), minlength=size)
+            removed = np.cumsum(edge[:-1]) > 0
+            # No window crosses documents, but two removed runs may meet at a border.
+            for d in np.unique(np.searchsorted(group.ends, np.flatnonzero(removed), side="right")).tolist():
+                a, b = int(group.begins[d]), int(group.ends[d])
+                own = removed[a:b]
+                turns = np.flatnonzero(np.diff(np.concatenate(([0], own.view(np.int8), [0]))))
+                spans[d] = [{"start": x, "end": y} for x, y in zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True)]
+                kept[d] = group.raw[a:b][~own].tobytes()
         out = frame.iloc[group.order][["id", *[f"keep{i}" for i in range(len(keep))]]].reset_index(drop=True)
-        return out.assign(n_bytes=[len(t) for _, t in group.docs], spans=spans, kept=kept)
+        return out.assign(n_bytes=group.ends - group.begins, spans=spans, kept=kept)
 
     blob = "bucket long, g long, blob binary"
     slim = dealt.select("id", "text", "g")
