@@ -23,7 +23,7 @@ REVENUE = total(_NET, 4)
 _PROFIT = f"{money('l_extendedprice')} * (1 - {money('l_discount')}) - ps_supplycost * {money('l_quantity')}"
 #: What suppliers offer, from what they shipped.
 PARTSUPP = (
-    f"partsupp AS (SELECT l_partkey AS ps_partkey, l_suppkey AS ps_suppkey, min(CAST(l_extendedprice / l_quantity / 2 AS DECIMAL(18,2))) AS ps_supplycost, "
+    f"partsupp AS (SELECT l_partkey AS ps_partkey, l_suppkey AS ps_suppkey, min(CAST(floor(l_extendedprice / l_quantity / 2) AS DECIMAL(18,2))) AS ps_supplycost, "
     f"CAST(sum({money('l_quantity')}) AS DECIMAL(18,2)) AS ps_availqty FROM lineitem GROUP BY l_partkey, l_suppkey)"
 )
 _LATE = "l_shipdate > o_orderdate + INTERVAL 60 DAYS"

@@ -40,7 +40,6 @@ _LI_KEY = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extende
 PLAIN: dict[str, str] = {
     # scans, projections, expressions
     "scan_projection": "SELECT l_orderkey, l_returnflag, l_linestatus, CAST(l_shipdate AS DATE) AS l_shipdate FROM lineitem",
-    "select_except": "SELECT c_custkey, c_name, c_nationkey, c_mktsegment FROM customer",
     "filter_eq": f"{_LI} WHERE l_returnflag = 'R'",
     "filter_neq": f"{_LI} WHERE l_linestatus <> 'F'",
     "filter_cmp": f"{_LI} WHERE l_shipdate < DATE '1998-09-01' AND l_quantity >= 40 AND l_discount > 0.05 AND l_tax <= 0.04",
@@ -158,6 +157,16 @@ def own(name: str, text: str) -> Callable[[Query], Query]:
     return add
 
 
+@own("select_except", "SELECT * EXCLUDE (c_acctbal) FROM customer")
+def select_except(spark, sf_dir):
+    return sql(spark, sf_dir, "SELECT * EXCEPT (c_acctbal) FROM customer")
+
+
+@own("regex_match", "SELECT p_partkey, regexp_matches(p_name, '^(small|large) ') AS sized, regexp_extract(p_brand, '#([0-9]+)', 1) AS number FROM part")
+def regex_match(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").rlike("^(small|large) ").alias("sized"), F.regexp_extract("p_brand", "#([0-9]+)", 1).alias("number"))
+
+
 @own("date_expansion", """SELECT o_orderkey, o_orderdate, CAST(year(o_orderdate) AS INT) AS o_orderdate_year, CAST(month(o_orderdate) AS INT) AS o_orderdate_month, CAST(day(o_orderdate) AS INT) AS o_orderdate_day,
     CAST(hour(o_orderdate) * 3600 + minute(o_orderdate) * 60 + second(o_orderdate) AS INT) AS o_orderdate_time FROM orders""")
 def date_expansion(spark, sf_dir):
