@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import prep
@@ -143,7 +143,12 @@ def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ORD = f"ord AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, row_number() OVER (ORDER BY o_orderkey, o_custkey, o_orderstatus, o_totalprice) - 1 AS \"{ROW_ID}\" FROM orders)"
 _CUS = f"cus AS (SELECT c_custkey, c_nationkey, c_mktsegment, row_number() OVER (ORDER BY c_custkey, c_nationkey, c_mktsegment) - 1 AS \"{ROW_ID}\" FROM customer)"
-_OPEN = F.col("o_orderstatus") == "O"
+
+
+def _open() -> Column:
+    return F.col("o_orderstatus") == "O"
+
+
 
 Query = Callable[[SparkSession, str], DataFrame]
 OWN: dict[str, tuple[Query, str]] = {}
@@ -204,7 +209,7 @@ def preprocess(spark, sf_dir):
 
 @own("active_scan", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus = 'O'")
 def active_scan(spark, sf_dir):
-    return mask.compact(mask.filter_rows(_orders(spark, sf_dir), _OPEN))
+    return mask.compact(mask.filter_rows(_orders(spark, sf_dir), _open()))
 
 
 @own("masked_projection", f'WITH {_ORD} SELECT o_orderkey, o_custkey % 10 AS k, "{ROW_ID}", true AS "{ACTIVE}" FROM ord')
@@ -214,17 +219,17 @@ def masked_projection(spark, sf_dir):
 
 @own("masked_filter", f"WITH {_ORD} SELECT *, coalesce(o_orderstatus = 'O', false) AS \"{ACTIVE}\" FROM ord")
 def masked_filter(spark, sf_dir):
-    return mask.filter_rows(_orders(spark, sf_dir), _OPEN)
+    return mask.filter_rows(_orders(spark, sf_dir), _open())
 
 
 @own("masked_limit", f"WITH {_ORD}, a AS (SELECT *, row_number() OVER (PARTITION BY o_orderstatus = 'O' ORDER BY \"{ROW_ID}\") AS rn FROM ord) SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, \"{ROW_ID}\", o_orderstatus = 'O' AND rn BETWEEN 6 AND 105 AS \"{ACTIVE}\" FROM a")
 def masked_limit(spark, sf_dir):
-    return mask.limit(mask.filter_rows(_orders(spark, sf_dir), _OPEN), 100, 5)
+    return mask.limit(mask.filter_rows(_orders(spark, sf_dir), _open()), 100, 5)
 
 
 @own("masked_sort", f"WITH {_ORD} SELECT *, o_orderstatus = 'O' AS \"{ACTIVE}\" FROM ord ORDER BY \"{ACTIVE}\" DESC, o_totalprice DESC, \"{ROW_ID}\" LIMIT 300")
 def masked_sort(spark, sf_dir):
-    return mask.sort(mask.filter_rows(_orders(spark, sf_dir), _OPEN), F.desc("o_totalprice")).limit(300)
+    return mask.sort(mask.filter_rows(_orders(spark, sf_dir), _open()), F.desc("o_totalprice")).limit(300)
 
 
 @own("masked_aggregate", f"""WITH {_ORD}, a AS (SELECT *, o_orderstatus <> 'P' AS act FROM ord),
@@ -244,14 +249,14 @@ def masked_global_aggregate(spark, sf_dir):
     row_number() OVER (ORDER BY o."{ROW_ID}", c."{ROW_ID}") - 1 AS "{ROW_ID}", true AS "{ACTIVE}" FROM ord o JOIN cus c ON o_custkey = c_custkey WHERE o_orderstatus = 'O' AND c_mktsegment = 'BUILDING'""")
 def join_mn(spark, sf_dir):
     c = mask.filter_rows(_customers(spark, sf_dir), F.col("c_mktsegment") == "BUILDING")
-    return mask.join_many(mask.filter_rows(_orders(spark, sf_dir), _OPEN), c, [("o_custkey", "c_custkey")])
+    return mask.join_many(mask.filter_rows(_orders(spark, sf_dir), _open()), c, [("o_custkey", "c_custkey")])
 
 
 @own("join_pkfk_partial", f"""WITH {_ORD}, {_CUS} SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, c_custkey, c_nationkey, c.c_mktsegment, o."{ROW_ID}",
     o_orderstatus = 'O' AND c_custkey IS NOT NULL AS "{ACTIVE}" FROM ord o LEFT JOIN (SELECT * FROM cus WHERE c_mktsegment = 'BUILDING') c ON o_custkey = c_custkey""")
 def join_pkfk_partial(spark, sf_dir):
     c = mask.filter_rows(_customers(spark, sf_dir), F.col("c_mktsegment") == "BUILDING")
-    return mask.join_key(mask.filter_rows(_orders(spark, sf_dir), _OPEN), c, [("o_custkey", "c_custkey")])
+    return mask.join_key(mask.filter_rows(_orders(spark, sf_dir), _open()), c, [("o_custkey", "c_custkey")])
 
 
 @own("join_one_to_one", f"WITH {_CUS} SELECT a.c_custkey, a.c_nationkey, a.c_mktsegment, s_suppkey, s_nationkey, a.\"{ROW_ID}\", s_suppkey IS NOT NULL AS \"{ACTIVE}\" FROM cus a LEFT JOIN supplier ON s_suppkey = c_custkey")
@@ -269,7 +274,7 @@ def join_modes(spark, sf_dir):
 @own("rematerialize", f"""WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS "{ROW_ID}", true AS "{ACTIVE}" FROM orders WHERE o_orderstatus = 'O'), n AS (SELECT count(*) AS n FROM o)
     SELECT * FROM o UNION ALL SELECT NULL, i, false FROM (SELECT unnest(range(n, CAST(2 ** ceil(log2(n)) AS BIGINT))) AS i FROM n)""")
 def rematerialize(spark, sf_dir):
-    t = mask.filter_rows(_orders(spark, sf_dir), _OPEN)
+    t = mask.filter_rows(_orders(spark, sf_dir), _open())
     return mask.rematerialize(mask.project(t, "o_orderkey"))
 
 
@@ -285,7 +290,7 @@ def _verdicts(spark: SparkSession, results: dict[str, DataFrame]) -> DataFrame:
 @own("chk_filter", "SELECT 'good' AS check_name, 0 AS violations UNION ALL SELECT 'bad', count(*) FROM orders WHERE o_orderstatus = 'O'")
 def chk_filter(spark, sf_dir):
     t = _orders(spark, sf_dir)
-    return _verdicts(spark, {"good": checks.filter_check(t, mask.filter_rows(t, _OPEN), _OPEN), "bad": checks.filter_check(t, mask.filter_rows(t, F.lit(False)), _OPEN)})
+    return _verdicts(spark, {"good": checks.filter_check(t, mask.filter_rows(t, _open()), _open()), "bad": checks.filter_check(t, mask.filter_rows(t, F.lit(False)), _open())})
 
 
 @own("chk_equal", "SELECT 'eq' AS check_name, (SELECT count(*) FROM orders WHERE o_custkey % 2 = 1) AS violations UNION ALL SELECT 'neq', count(*) FROM orders WHERE o_custkey % 2 = 0")
@@ -368,7 +373,7 @@ def chk_match_pair(spark, sf_dir):
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     joined = o.join(c, o["o_custkey"] == c["c_custkey"])
     on = [("o_custkey", "c_custkey")]
-    return _verdicts(spark, {"whole": checks.match_pairs(o, c, joined, on, ["o_custkey"]), "cut": checks.match_pairs(o, c, joined.where(_OPEN), on, ["o_custkey"])})
+    return _verdicts(spark, {"whole": checks.match_pairs(o, c, joined, on, ["o_custkey"]), "cut": checks.match_pairs(o, c, joined.where(_open()), on, ["o_custkey"])})
 
 
 @own("chk_provenance", "SELECT 'kept' AS check_name, 0 AS violations UNION ALL SELECT 'altered', count(*) FROM orders WHERE o_custkey % 2 = 1")
@@ -394,7 +399,7 @@ def chk_extremes(spark, sf_dir):
 
 @own("chk_rematerialized", "SELECT 'compacted' AS check_name, CAST(0 AS BIGINT) AS violations")
 def chk_rematerialized(spark, sf_dir):
-    t = settle(mask.project(mask.filter_rows(_orders(spark, sf_dir), _OPEN), "o_orderkey"))
+    t = settle(mask.project(mask.filter_rows(_orders(spark, sf_dir), _open()), "o_orderkey"))
     return _verdicts(spark, {"compacted": checks.rematerialized(t, mask.rematerialize(t), ["o_orderkey"])})
 
 
