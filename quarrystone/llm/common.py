@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import string
-import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir, settle
+
+__all__ = ["ALNUM_WORD", "SPACE_WORD", "ascii_lower", "bounded_broadcast", "checkpoint_dir", "settle", "smallest", "table", "words"]
+
 #: Words of ASCII letters and digits and of anything beyond ASCII, in text whose A-Z are lower-cased.
 ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words between ASCII white space.
@@ -30,23 +33,6 @@ def words(text: Column, pattern: str) -> Column:
     return F.coalesce(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.array().cast("array<string>"))
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: the session's, or a fresh one where none is set (tests, local mode)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    defined = context._jsc.sc().getCheckpointDir()
-    if defined.isEmpty():
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quarrystone-"))
-        defined = context._jsc.sc().getCheckpointDir()
-    return folder or defined.get()
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Compute once and cut the lineage, in reliable storage that survives a lost executor."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def bounded_broadcast(df: DataFrame, rows: int, max_rows: int) -> DataFrame:
     """Mark ``df`` for broadcast if its counted rows stay under the bound; else leave the join to Spark."""
     return F.broadcast(df) if rows <= max_rows else df
@@ -54,3 +40,18 @@ def bounded_broadcast(df: DataFrame, rows: int, max_rows: int) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def smallest(df: DataFrame, group: str, draw: str, k: int) -> DataFrame:
+    """The ``k`` rows of each group with the smallest ``draw``, a 64-bit hash of something unique.
+
+    Draws are counted in 4,096 cells first, so that a task ranks about ``k``
+    rows of a group and not all of them.
+    """
+    cells = df.withColumn("__cell", F.shiftrightunsigned(draw, 52))
+    upto = Window.partitionBy(group).orderBy("__cell").rowsBetween(Window.unboundedPreceding, 0)
+    counted = cells.groupBy(group, "__cell").agg(F.count("*").alias("n")).withColumn("sum", F.sum("n").over(upto))
+    cuts = counted.groupBy(F.col(group).alias("__group")).agg(F.coalesce(F.min(F.when(F.col("sum") >= k, F.col("__cell"))), F.lit(4096)).alias("__cut"))
+    near = cells.join(cuts, F.col(group) == F.col("__group")).where("__cell <= __cut")
+    ranked = near.withColumn("__n", F.row_number().over(Window.partitionBy(group).orderBy(draw)))
+    return ranked.where(F.col("__n") <= k).select(*df.columns)

@@ -194,7 +194,8 @@ def extract(pages: DataFrame, html_col: str = "html", out: str = "text") -> Data
         for pages in batches:
             yield pd.Series([extract_text(p) for p in pages], dtype=object)
 
-    return pages.withColumn(out, main_text(F.col(html_col)))
+    # Not deterministic, as else a filter on the result would compute it twice.
+    return pages.withColumn(out, main_text.asNondeterministic()(F.col(html_col)))
 
 
 def op5_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,10 +18,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import smallest, table
 
 #: Training texts of each language at most, and their length at most; the bound on what is fetched.
 SAMPLE = 300
@@ -35,7 +35,7 @@ AMBIGUOUS = 0.4
 UNKNOWN = "und"
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 #: Bytes of text whose n-grams are hashed at a time.
-_SLAB = 1 << 20
+_SLAB = 1 << 18
 
 
 def codewords(k: int) -> np.ndarray:
@@ -150,11 +150,10 @@ def fit(samples: list[tuple[str, str]]) -> Model:
 
 
 def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = SAMPLE, max_chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
-    """At most ``per_language`` whole texts of each language, none over ``max_chars``, the same ones at every run."""
-    order = Window.partitionBy("lang").orderBy("draw", "id")
-    usable = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (F.char_length(text_col) <= max_chars))
-    drawn = usable.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.xxhash64(F.col(id_col)).alias("draw"))
-    chosen = drawn.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("id").distinct()
+    """Whole texts of at most ``per_language`` ids of each language, none over ``max_chars``, the same ones at every run; null ids are left out."""
+    usable = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (F.char_length(text_col) <= max_chars))
+    drawn = usable.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id")).distinct().withColumn("draw", F.xxhash64("id"))
+    chosen = smallest(drawn, "lang", "draw", per_language).select("id").distinct()
     rows = usable.join(F.broadcast(chosen), usable[id_col] == chosen["id"], "left_semi").select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"), F.col(id_col).alias("i")).collect()
     return [(r["t"], r["l"]) for r in sorted(rows, key=lambda r: (r["l"], str(r["i"]), r["t"]))]
 
@@ -180,7 +179,8 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", out: str = "l
                     unsure[known] = np.take_along_axis(like, order[:, 1:2], 1)[:, 0] >= AMBIGUOUS
             yield pd.DataFrame({"lang": lang, "score": score, "ambiguous": unsure})
 
-    return docs.withColumn(out, identify(F.col(text_col)))
+    # Not deterministic, as else a filter on the result would compute it twice.
+    return docs.withColumn(out, identify.asNondeterministic()(F.col(text_col)))
 
 
 def held_out(id_col: Column) -> Column:

@@ -20,10 +20,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import smallest, table
 
 GRADES = 3
 #: Rated documents of each grade in the training sample at most, and their length at most.
@@ -34,9 +34,11 @@ ROUNDS = 400
 PENALTY = 1e-3
 STEP = 1.0
 #: Lengths of word beginnings that are features beside the words, for inflected and compound words.
-PREFIXES = (5, 7)
+PREFIXES = (4, 6)
 #: A feature is learned only if so many training documents have it.
 LEAST_DOCS = 4
+#: A document counts as toxic below this P(grade >= 1), and is kept from this P(grade >= 2) on.
+TOXIC_BELOW, KEPT_FROM = 0.8, 0.25
 _RUNS = re.compile(r"[!-/:-@\[-`{-~]{2,}")
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
@@ -132,8 +134,7 @@ def rated(labels: DataFrame) -> DataFrame:
 
 def training_sample(docs: DataFrame, labels: DataFrame, per_grade: int = SAMPLE, max_chars: int = SAMPLE_CHARS) -> list[tuple[str, int]]:
     """At most ``per_grade`` rated whole texts of each grade, none over ``max_chars``, the same ones at every run."""
-    order = Window.partitionBy("grade").orderBy(F.xxhash64("rated_id"), "rated_id")
-    chosen = rated(labels).withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_grade).select("rated_id", "grade")
+    chosen = smallest(rated(labels).withColumn("draw", F.xxhash64("rated_id")), "grade", "draw", per_grade).select("rated_id", "grade")
     usable = docs.where(F.col("text").isNotNull() & (F.char_length("text") <= max_chars)).select("doc_id", "text")
     rows = usable.join(F.broadcast(chosen), usable["doc_id"] == chosen["rated_id"]).select("doc_id", "text", "grade").collect()
     return [(r["text"], r["grade"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]
@@ -151,11 +152,12 @@ def grade(docs: DataFrame, model: Model, text_col: str = "text", out: str = "qua
             tails = own.tails(np.array([own.score(t or "", cache) for t in texts], float))
             yield pd.DataFrame({"expected": tails.sum(1), "tail1": tails[:, 0], "tail2": tails[:, 1]})
 
-    return docs.withColumn(out, graded(F.col(text_col)))
+    # Not deterministic, as else a filter on the result would compute it twice.
+    return docs.withColumn(out, graded.asNondeterministic()(F.col(text_col)))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = grade(docs, fit(training_sample(docs, table(spark, sf_dir, "labels"))))
     q = F.col("quality")
-    return found.select("doc_id", q["expected"].alias("expected_grade"), q["tail1"].alias("p_not_toxic"), q["tail2"].alias("p_good"), (q["tail1"] < 0.5).alias("toxic"), (q["tail2"] >= 0.5).alias("keep"))
+    return found.select("doc_id", q["expected"].alias("expected_grade"), q["tail1"].alias("p_not_toxic"), q["tail2"].alias("p_good"), (q["tail1"] < TOXIC_BELOW).alias("toxic"), ((q["tail1"] >= TOXIC_BELOW) & (q["tail2"] >= KEPT_FROM)).alias("keep"))

@@ -29,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_decontaminate": decontam.ORACLE_SQL,
         "op3_mix": mixing.ORACLE_SQL,
         "op8_suffixdedup": suffixdedup.ORACLE_SQL,
+        "op9_urlfilter": urlfilter.ORACLE_SQL,
     }

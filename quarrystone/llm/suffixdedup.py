@@ -150,7 +150,7 @@ class _Group:
         sizes = np.array([len(texts[i]) for i in self.order.tolist()], np.int64)
         self.ends = np.cumsum(sizes)
         self.begins = self.ends - sizes
-        self.anchors, self.first, self.counts, self.keys = runs(self.raw, np.repeat(self.ends, sizes), length, keyed)
+        self.anchors, self.first, self.counts, self.keys = runs(self.raw, np.repeat(self.ends.astype(np.int32), sizes), length, keyed)
         self.docs = np.searchsorted(self.ends, self.first, side="right")
 
     def anchor_sets(self) -> tuple[np.ndarray, np.ndarray]:
@@ -304,9 +304,11 @@ def _least_ids(frame: pd.DataFrame, length: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["g", "blob"])
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep: tuple[str, ...] = (), group_bytes: int = GROUP_BYTES) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep: tuple[str, ...] = (), decoded: bool = False, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """For each row: id, n_bytes, spans (removed byte ranges [start, end), maximal), kept (the other bytes) and ``keep``.
 
+    ``decoded`` gives the other bytes as text, without what is left of characters cut in two.
+
     Null texts are empty. A null id counts as larger than any other; rows of
     one id, and rows of null ids, remove nothing from each other. Texts
     shorter than ``length`` bytes stay whole. Only columns named in ``keep``
@@ -382,8 +384,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
                 gone.append(at)
                 upto.append(at + length)
             size = len(group.raw) + 1
-            edge = np.bincount(np.concatenate(gone), minlength=size) - np.bincount(np.concatenate(upto), minlength=size)
-            removed = np.cumsum(edge[:-1]) > 0
+            edge = np.zeros(size, np.int32)
+            np.add.at(edge, np.concatenate(gone), 1)
+            np.add.at(edge, np.concatenate(upto), -1)
+            removed = np.cumsum(edge[:-1], dtype=np.int32) > 0
             # No window crosses documents, but two removed runs may meet at a border.
             for d in np.unique(np.searchsorted(group.ends, np.flatnonzero(removed), side="right")).tolist():
                 a, b = int(group.begins[d]), int(group.ends[d])
@@ -391,6 +395,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
                 turns = np.flatnonzero(np.diff(np.concatenate(([0], own.view(np.int8), [0]))))
                 spans[d] = [{"start": x, "end": y} for x, y in zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True)]
                 kept[d] = group.raw[a:b][~own].tobytes()
+        if decoded:
+            kept = [b.decode("utf-8", "ignore") for b in kept]
         out = frame.iloc[group.order][["id", *[f"keep{i}" for i in range(len(keep))]]].reset_index(drop=True)
         return out.assign(n_bytes=group.ends - group.begins, spans=spans, kept=kept)
 
@@ -399,7 +405,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     lists = grouped(slim).applyInPandas(send_anchors, blob).groupBy("bucket").applyInPandas(_find_shared, "g long, blob binary")
     sent = grouped(slim).cogroup(grouped(lists)).applyInPandas(send_stretches, blob)
     results = sent.groupBy("bucket").applyInPandas(sort_bucket, "g long, note boolean, blob binary")
-    out = ", ".join(["id long", *[f"keep{i} {kinds[c]}" for i, c in enumerate(keep)], "n_bytes long", "spans array<struct<start: long, end: long>>", "kept binary"])
+    out = ", ".join(["id long", *[f"keep{i} {kinds[c]}" for i, c in enumerate(keep)], "n_bytes long", "spans array<struct<start: long, end: long>>", "kept string" if decoded else "kept binary"])
     done = grouped(dealt).cogroup(grouped(results)).applyInPandas(cut, out)
     return done.select("id", "n_bytes", "spans", "kept", *[F.col(f"keep{i}").alias(c) for i, c in enumerate(keep)])
 
@@ -417,14 +423,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A character of which a byte goes goes whole. Documents of which nothing but white space is left go.
     """
     rest = [c for c in docs.columns if c not in ("text", "n_chars")]
-    cleaned = dedup(docs, keep=tuple(rest))
-
-    @F.pandas_udf("string")
-    def decoded(kept: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in kept:
-            yield pd.Series([bytes(b).decode("utf-8", "ignore") for b in batch], dtype=object)
-
-    texts = cleaned.withColumn("text", decoded("kept")).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    texts = dedup(docs, keep=tuple(rest), decoded=True).withColumnRenamed("kept", "text").where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return texts.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 

@@ -20,6 +20,8 @@ DAMPING = 0.85
 ROUNDS = 40
 TOLERANCE = 1e-8
 THRESHOLD = 0.5
+#: Scores this close to the threshold, by rounding or unfinished convergence, count as at it and allow.
+TIE = 1e-6
 #: Hosts whose scores are broadcast to the pages; with more, the join shuffles and Spark splits a hot host.
 BROADCAST_HOSTS = 50_000
 
@@ -76,7 +78,7 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, roun
     return state.select("host", "score")
 
 
-def judge(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep: tuple[str, ...] = (), rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
+def judge(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep: tuple[str, ...] = (), rules=RULES, threshold: float = THRESHOLD, rounds: int = ROUNDS) -> DataFrame:
     """For each page: host, path, rule, verdict, and its host's trust and distrust; ``keep`` names columns to pass on.
 
     A null url, or one without ``://``, has an empty host, which no rule fits
@@ -93,15 +95,52 @@ def judge(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep:
     edges = settle(host_links(pages, host, html_col))
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
     a, b = (seeds.agg(F.sum(v)).first()[0] or 0.0 for v in ("allow", "block"))
-    trust = propagate(seeds.where("allow > 0").select("host", F.col("allow").alias("seed")), edges).select("host", (F.col("score") * a).alias("trust"))
-    distrust = propagate(seeds.where("block > 0").select("host", F.col("block").alias("seed")), back).select("host", (F.col("score") * b).alias("distrust"))
+    trust = propagate(seeds.where("allow > 0").select("host", F.col("allow").alias("seed")), edges, rounds=rounds).select("host", (F.col("score") * a).alias("trust"))
+    distrust = propagate(seeds.where("block > 0").select("host", F.col("block").alias("seed")), back, rounds=rounds).select("host", (F.col("score") * b).alias("distrust"))
     zero = F.lit(0.0)
     scores = settle(trust.join(distrust, "host", "full").select("host", F.coalesce("trust", zero).alias("trust"), F.coalesce("distrust", zero).alias("distrust")))
     scores = bounded_broadcast(scores, scores.count(), BROADCAST_HOSTS)
-    bad = F.col("distrust") > threshold * (F.col("trust") + F.col("distrust"))
+    bad = F.col("distrust") > (threshold + TIE) * (F.col("trust") + F.col("distrust"))
     judged = ruled.join(scores, "host", "left").withColumn("verdict", F.coalesce("ruled", F.when(bad, "block").otherwise("allow")))
     return judged.select(*[F.col(f"__keep{i}").alias(c) for i, c in enumerate(keep)], "host", "path", "rule", "verdict", F.coalesce("trust", zero).alias("trust"), F.coalesce("distrust", zero).alias("distrust"))
 
 
 def op9_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), keep=("page_id",)).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _cases() -> tuple[str, str]:
+    """The rules in SQL, longest first: which fits, and its verdict."""
+    ordered = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
+    fits = " ".join(f"WHEN (host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}') THEN '{h}{p}'" for _, h, p in ordered)
+    return fits, " ".join(f"WHEN rule = '{h}{p}' THEN '{kind}'" for kind, h, p in ordered)
+
+
+#: The same propagation as a recursive query over fixed rounds.
+_SQL = r"""
+WITH RECURSIVE
+low AS (SELECT page_id, html, translate(coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+ruled AS (SELECT *, CASE {RULE_CASE} END AS rule FROM low),
+said AS (SELECT *, CASE {VERDICT_CASE} END AS ruled_as FROM ruled),
+seeds AS (SELECT host, count(*) FILTER (WHERE ruled_as = 'allow')::DOUBLE AS allow, count(*) FILTER (WHERE ruled_as = 'block')::DOUBLE AS block FROM said WHERE rule IS NOT NULL GROUP BY host),
+found AS (SELECT host AS src, translate(unnest(regexp_extract_all(coalesce(html, ''), '(?i)\bhref\s*=\s*["'']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"''\s<>]+)', 1)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM low),
+edges AS (SELECT src, dst, count(*)::DOUBLE AS w FROM found WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst),
+both_ways AS (SELECT 'allow' AS side, src, dst, w FROM edges UNION ALL SELECT 'block', dst, src, w FROM edges),
+flow AS (SELECT side, src, dst, w / sum(w) OVER (PARTITION BY side, src) AS w FROM both_ways),
+start AS (SELECT 'allow' AS side, host, allow AS n FROM seeds WHERE allow > 0 UNION ALL SELECT 'block', host, block FROM seeds WHERE block > 0),
+nodes AS (SELECT DISTINCT side, host FROM (SELECT side, src AS host FROM flow UNION ALL SELECT side, dst FROM flow UNION ALL SELECT side, host FROM start)),
+init AS (SELECT nodes.side, nodes.host, coalesce(n, 0) / sum(n) OVER (PARTITION BY nodes.side) AS seed, EXISTS (SELECT 1 FROM flow WHERE flow.side = nodes.side AND flow.src = nodes.host) AS sends
+  FROM nodes LEFT JOIN start ON start.side = nodes.side AND start.host = nodes.host),
+rounds(i, state) AS (
+  SELECT 0, (SELECT map_from_entries(list((side || ' ' || host, seed))) FROM init)
+  UNION ALL
+  SELECT i + 1, (SELECT map_from_entries(list((n.side || ' ' || n.host, n.seed * (0.15 + 0.85 * coalesce((SELECT sum(state[d.side || ' ' || d.host]) FROM init d WHERE d.side = n.side AND NOT d.sends), 0))
+    + 0.85 * coalesce((SELECT sum(f.w * state[f.side || ' ' || f.src]) FROM flow f WHERE f.side = n.side AND f.dst = n.host), 0)))) FROM init n)
+  FROM rounds WHERE i < 40 AND EXISTS (SELECT 1 FROM flow)),
+final AS (SELECT arg_max(state, i) AS state FROM rounds),
+scores AS (SELECT host, sum(CASE WHEN side = 'allow' THEN v ELSE 0 END) AS trust, sum(CASE WHEN side = 'block' THEN v ELSE 0 END) AS distrust
+  FROM (SELECT side, host, state[side || ' ' || host] * (SELECT sum(n) FROM start WHERE start.side = init.side) AS v FROM init, final) AS x GROUP BY host)
+SELECT page_id, said.host, path, rule, coalesce(ruled_as, CASE WHEN distrust > 0.500001 * (trust + distrust) THEN 'block' ELSE 'allow' END) AS verdict FROM said LEFT JOIN scores ON scores.host = said.host
+"""
+ORACLE_SQL = _SQL.replace("{RULE_CASE}", _cases()[0]).replace("{VERDICT_CASE}", _cases()[1])

@@ -195,9 +195,9 @@ def test_quality_held_out():
     held = [r for i, r in enumerate(rows) if not i % 4]
     tails = model.tails(np.array([model.score(t, {}) for t, _ in held]))
     grades = np.array([g for _, g in held])
-    toxic = tails[:, 0] < 0.5
+    toxic = tails[:, 0] < quality.TOXIC_BELOW
     assert toxic[grades == 0].mean() > 0.75 and toxic[grades == 2].mean() < 0.02
-    assert (tails[grades == 2, 1] >= 0.5).mean() > 0.9
+    assert (tails[grades == 2, 1] >= quality.KEPT_FROM).mean() > 0.95
 
 
 def test_extract(sf_dir):
@@ -216,7 +216,7 @@ def test_extract(sf_dir):
         assert html.extract_text(raw) == "\n".join(b for b in blocks if b)
 
 
-def pagerank(seeds, edges, damping=0.85, rounds=200):
+def pagerank(seeds, edges, damping=0.5, rounds=60):
     nodes = sorted({n for e in edges for n in e[:2]} | set(seeds))
     mass = sum(seeds.values())
     start = {n: seeds.get(n, 0) / mass for n in nodes}
@@ -236,17 +236,27 @@ def test_propagation(spark):
     edges = list({(f"h{rng.randrange(12)}", f"h{rng.randrange(12)}"): float(rng.randint(1, 5)) for _ in range(30)}.items())
     edges = [(a, b, w) for (a, b), w in edges if a != b]
     seeds = {"h1": 2.0, "h2": 1.0, "alone": 1.0}
-    got = urlfilter.propagate(spark.createDataFrame(list(seeds.items()), "host string, seed double"), spark.createDataFrame(edges, "src string, dst string, w double"), rounds=100)
+    got = urlfilter.propagate(spark.createDataFrame(list(seeds.items()), "host string, seed double"), spark.createDataFrame(edges, "src string, dst string, w double"), damping=0.5, rounds=20)
     assert {r["host"]: r["score"] for r in got.collect()} == pytest.approx(pagerank(seeds, edges), abs=1e-5)
 
 
 def test_distrust_reaches_those_who_link_to_blocked_hosts(spark):
     link = lambda *hosts: "".join(f'<a href="http://{h}/">x</a>' for h in hosts)
     pages = [(1, "http://bad.com/en/1", ""), (2, "http://fan.info/1", link("bad.com")), (3, "http://good.net/de/1", link("friend.info")), (4, "http://friend.info/1", ""), (5, "http://other.info/1", "")]
-    got = {r["page_id"]: r["verdict"] for r in urlfilter.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), keep=("page_id",)).collect()}
+    got = {r["page_id"]: r["verdict"] for r in urlfilter.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), keep=("page_id",), rounds=6).collect()}
     assert got == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow"}
 
 
+def test_urlfilter_sql_with_links(spark, tmp_path):
+    rng = random.Random(8)
+    hosts = [f"h{i}.{rng.choice(['com', 'net', 'org', 'example.com', 'info'])}" for i in range(15)]
+    pages = [(i, f"http://{rng.choice(hosts)}/{rng.choice(['en', 'de', 'es', 'fr'])}/{i}", "".join(f"<a href='http://{h}/x'>" for h in rng.sample(hosts, rng.randint(0, 3)))) for i in range(60)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert same(con, urlfilter.op9_urlfilter(spark, str(tmp_path)), urlfilter.ORACLE_SQL) == 60
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_hilbert_curve_is_continuous(seed):
     dims, bits = (2, 4) if seed else (3, 3)

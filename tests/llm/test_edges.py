@@ -134,7 +134,7 @@ def test_extract(pages):
 
 
 def test_urlfilter(pages):
-    rows = urlfilter.judge(pages, keep=("page_id",)).collect()
+    rows = urlfilter.judge(pages, keep=("page_id",), rounds=6).collect()
     assert len(rows) == len(PAGES)
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in rows}
     assert got[1] == ("a.example.com", "/en/7", "example.com/en/7", "allow") and got[4] == ("b.org", "/es/1", "org/es/", "block")
