@@ -48,10 +48,11 @@ def smallest(df: DataFrame, group: str, draw: str, k: int) -> DataFrame:
     Draws are counted in 4,096 cells first, so that a task ranks about ``k``
     rows of a group and not all of them.
     """
-    cells = df.withColumn("__cell", F.shiftrightunsigned(draw, 52))
+    cells = settle(df.withColumn("__cell", F.shiftrightunsigned(draw, 52)))
     upto = Window.partitionBy(group).orderBy("__cell").rowsBetween(Window.unboundedPreceding, 0)
     counted = cells.groupBy(group, "__cell").agg(F.count("*").alias("n")).withColumn("sum", F.sum("n").over(upto))
     cuts = counted.groupBy(F.col(group).alias("__group")).agg(F.coalesce(F.min(F.when(F.col("sum") >= k, F.col("__cell"))), F.lit(4096)).alias("__cut"))
-    near = cells.join(cuts, F.col(group) == F.col("__group")).where("__cell <= __cut")
+    cuts = settle(cuts)
+    near = cells.join(bounded_broadcast(cuts, cuts.count(), 20_000), F.col(group) == F.col("__group")).where("__cell <= __cut")
     ranked = near.withColumn("__n", F.row_number().over(Window.partitionBy(group).orderBy(draw)))
     return ranked.where(F.col("__n") <= k).select(*df.columns)
