@@ -32,8 +32,8 @@ FIT_RECALL = 0.97
 #: Vectors of a block, within which queries and vectors are multiplied; queries that meet a block in one task at most.
 BLOCK = 2048
 QUERY_CHUNK = 20_000
-#: Beyond the neighbours asked for, so many are scored in double precision before ranking.
-SLACK = 8
+#: Numbers of the pairs that are scored in double precision at once; bounds memory only.
+PAIR_VALUES = 1 << 22
 SEED = 20240607
 
 
@@ -80,18 +80,40 @@ def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
 
 
+def _single(vectors: np.ndarray) -> np.ndarray:
+    return (vectors / np.linalg.norm(vectors, axis=1)[:, None]).astype(np.float32)
+
+
 def _best(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query the rows of its k nearest vectors and their cosines; ties to the smaller id."""
-    scaled = (vectors / np.linalg.norm(vectors, axis=1)[:, None]).astype(np.float32)
-    take = min(k + SLACK, len(vectors))
+    """For each query the rows of its k nearest vectors and their cosines; ties to the smaller id.
+
+    Single precision only rules out rows that cannot be among the k nearest.
+    A product of unit vectors of d components, rounded to 24 bits and summed
+    in any order, is off by less than (d + 4) / 2^24, so whatever comes within
+    twice that of the k-th is scored in double precision, however many.
+    """
+    scaled, dims, n = _single(vectors), vectors.shape[1], len(vectors)
+    apart = 2 * (dims + 4) * 2.0**-24
+    pairs = max(PAIR_VALUES // max(dims, 1), 1)
     for a in range(0, len(queries), 512):
         some = queries[a : a + 512]
-        near = (some / np.linalg.norm(some, axis=1)[:, None]).astype(np.float32) @ scaled.T
-        rows = np.argpartition(-near, take - 1, axis=1)[:, :take] if take < len(vectors) else np.tile(np.arange(len(vectors)), (len(some), 1))
-        exact = _cosines(np.repeat(some, take, 0), vectors[rows.ravel()]).reshape(rows.shape)
+        near = np.nan_to_num(_single(some) @ scaled.T, copy=False, nan=-np.inf)
+        last = np.partition(near, n - k, axis=1)[:, n - k] if k < n else np.full(len(some), -np.inf)
+        q, rows = np.nonzero(near >= (last.astype(np.float64) - apart)[:, None])
+        exact = np.concatenate([_cosines(some[q[i : i + pairs]], vectors[rows[i : i + pairs]]) for i in range(0, len(q), pairs)])
+        order = np.lexsort((ids[rows], -exact, q))
+        starts = np.searchsorted(q, np.arange(len(some) + 1))
         for i in range(len(some)):
-            order = np.lexsort((ids[rows[i]], -exact[i]))[:k]
-            yield a + i, rows[i][order], exact[i][order]
+            best = order[starts[i] : min(starts[i] + k, starts[i + 1])]
+            yield a + i, rows[best], exact[best]
+
+
+def _true_best(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The same from all cosines in double precision."""
+    for i, query in enumerate(queries):
+        exact = _cosines(query[None, :], vectors)
+        best = np.lexsort((ids, -exact))[:k]
+        yield i, best, exact[best]
 
 
 def distinct_vectors(vectors: DataFrame, id_col: str, vector_col: str, k: int) -> tuple[DataFrame, DataFrame]:
@@ -148,7 +170,7 @@ def fitted_width(entries: DataFrame, ranks: DataFrame, asked: DataFrame, k: int,
         for frame in frames:
             if len(frame):
                 v, own = np.array(frame["v"].tolist(), np.float64), frame["vid"].to_numpy()
-                for i, rows, cos in _best(qs, v, own, k + 1):
+                for i, rows, cos in _true_best(qs, v, own, k + 1):
                     yield pd.DataFrame({"q": qids[i], "vid": own[rows], "cos": cos})
 
     near = entries.select("vid", "v").mapInPandas(truth, "q long, vid long, cos double").where("q <> vid")

@@ -288,6 +288,33 @@ def test_ann_recall(spark):
     assert hit / (50 * 5) >= 0.9
 
 
+@pytest.mark.parametrize("kind", ["scaled", "close"])
+def test_ann_ranks_all_near_parallel_vectors(kind):
+    """More of a block than single precision can order: scaled copies tie to the least ids, close ones go by double precision."""
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal(64)
+    if kind == "scaled":
+        near = base * 2.0 ** rng.permutation(np.arange(-30, 30))[:, None]
+    else:
+        near = base + 1e-5 * rng.random(400)[:, None] * rng.standard_normal((400, 64))
+    v = np.concatenate([near, rng.standard_normal((200, 64))])
+    ids = rng.permutation(len(v))
+    exact = (v * base).sum(1) / (np.sqrt((v * v).sum(1)) * np.sqrt((base * base).sum()))
+    want = np.lexsort((ids, -exact))[:6]
+    for best in (ann._best, ann._true_best):
+        ((_, rows, cos),) = best(base[None, :], v, ids, 6)
+        assert ids[rows].tolist() == ids[want].tolist() and cos.tolist() == pytest.approx(exact[want].tolist(), abs=1e-15)
+
+
+def test_ann_ties_of_scaled_copies(spark):
+    rng = np.random.default_rng(6)
+    v = rng.standard_normal((400, 16))
+    v[100:150] = v[100] * 2.0 ** rng.permutation(50)[:, None]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = ann.search(df, F.col("id") == 149).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [100, 101, 102, 103, 104]
+
+
 def test_warc_round_trip(spark, sf_dir, tmp_path):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").limit(20).cache()
     sources = [warc.response(str(r["page_id"]), r["url"], r["html"]) for r in pages.collect()]
