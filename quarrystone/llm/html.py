@@ -1,11 +1,12 @@
 """HTML extraction by line-block distribution.
 
 A page is stripped of markup into lines, one for each block of text in page
-order. Elements that are not content by their tag, class, id or role leave
-lines of length 0. Lengths are summed over sliding windows of lines; the sums
-surge where the article begins and dive to 0 where it ends, and the text
-between those points is kept. Where the page marks its article, lines inside
-weigh enough to surge whatever their length, and lines outside weigh nothing.
+order. Elements that are not content by their tag, class, id or role are left
+out, and the lengths of the other lines are summed over sliding windows. The
+article begins where a window surges and goes on to the last line; short lines
+before that stay where they are in the same container, the innermost block
+around the whole of it. Where the page marks its article, the lines inside are
+the text, whatever their length, and lines outside are not.
 """
 
 from __future__ import annotations
@@ -23,8 +24,6 @@ from .common import table
 #: Lines in a window, and the sum of lengths at which a window counts as text.
 WINDOW = 3
 SURGE = 80
-#: Without a marked article, regions below this share of the largest are dropped.
-MINOR = 0.25
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>""", re.S)
 _ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
@@ -75,8 +74,8 @@ def _dropped(tag: str, attrs: str, in_article: bool) -> bool:
     return bool(marks & (NOT_CONTENT - {"header"} if in_article else NOT_CONTENT))
 
 
-def lines(page: str) -> list[tuple[str, bool, bool]]:
-    """(text, kept, in article) for each block of text in page order; text has single spaces, references decoded."""
+def _blocks(page: str) -> tuple[list[tuple[str, bool, bool, int]], list[tuple[int, int]]]:
+    """(text, kept, in article, place) for each block of text, and (a, b) for each block element: it holds the places over a, up to b."""
     # First the elements and where each ends, as tags may be left open.
     events: list[tuple[int, int, str, int, bool]] = []  # start, end, tag, element it opens or closes, opens
     closes: dict[int, int] = {}  # element (its event) -> event that ends it
@@ -119,13 +118,13 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
             stack.append((tag, n))
     implied.update(e for _, e in stack)
     end(0, len(events))
-    out: list[tuple[str, bool, bool]] = []
+    out: list[tuple[str, bool, bool, int]] = []
     text: list[str] = []
     dropped_to, article_to, at = -1, -1, 0
 
     def flush(event: int) -> None:
         if got := " ".join(html.unescape("".join(text)).split()):
-            out.append((got, event > dropped_to, event <= article_to))
+            out.append((got, event > dropped_to, event <= article_to, event))
         text.clear()
 
     for i, (start, stop, tag, element, opens) in enumerate(events):
@@ -151,36 +150,30 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
             article_to = closes[element]
     text.append(page[at:])
     flush(len(events))
-    return out
-
-
-def main_lines(found: list[tuple[str, bool, bool]], window: int = WINDOW, surge: int = SURGE) -> list[str]:
-    """The lines between surge and dive points of the window sums."""
-    marked = any(inside and kept for _, kept, inside in found)
-    lengths = []
-    for text, kept, inside in found:
-        lengths.append(0 if not kept or (marked and not inside) else max(len(text), surge + 1) if marked else len(text))
-    n = len(lengths)
-    sums = [sum(lengths[i : i + window]) for i in range(n)]
-    regions, i = [], 0
-    while i < n:
-        if lengths[i] and sums[i] > surge:  # surge
-            j = i
-            while j < n and sums[j]:  # until the dive
-                j += 1
-            regions.append((i, j))
-            i = j
-        else:
-            i += 1
-    if not regions:
-        regions = [(0, n)]
-    total = [sum(lengths[a:b]) for a, b in regions]
-    enough = 0 if marked else MINOR * max(total)
-    return [found[k][0] for (a, b), size in zip(regions, total, strict=True) if size >= enough for k in range(a, b) if lengths[k]]
+    return out, [(e, closes[e]) for e in attrs_of if events[e][2] in BLOCKS]
+
+
+def lines(page: str) -> list[tuple[str, bool, bool]]:
+    """(text, kept, in article) for each block of text in page order; text has single spaces, references decoded."""
+    return [found[:3] for found in _blocks(page)[0]]
+
+
+def main_lines(found: list[tuple[str, bool, bool, int]], blocks: list[tuple[int, int]], window: int = WINDOW, surge: int = SURGE) -> list[str]:
+    """The lines of the marked article, or else those from the surge of the window sums on and those beside them."""
+    kept = [(text, inside, place) for text, keep, inside, place in found if keep]
+    if any(inside for _, inside, _ in kept):
+        return [text for text, inside, _ in kept if inside]
+    lengths = [len(text) for text, _, _ in kept]
+    first = next((i for i in range(len(kept)) if sum(lengths[i : i + window]) > surge), 0)
+    if not first:
+        return [text for text, _, _ in kept]
+    begin, end = kept[first][2], kept[-1][2]
+    around = max(((a, b) for a, b in blocks if a < begin and end <= b), default=(-1, end))
+    return [text for i, (text, _, place) in enumerate(kept) if i >= first or place > around[0]]
 
 
 def extract_text(page: str | None) -> str:
-    return "\n".join(main_lines(lines(page))) if page else ""
+    return "\n".join(main_lines(*_blocks(page))) if page else ""
 
 
 def extract(pages: DataFrame, html_col: str = "html", out: str = "text") -> DataFrame:

@@ -216,6 +216,18 @@ def test_extract(sf_dir):
         assert html.extract_text(raw) == "\n".join(b for b in blocks if b)
 
 
+def test_extract_keeps_article_text_around_dropped_lines():
+    """Without a marked article neither dropped lines nor shortness split off or drop its lines."""
+    words = lambda n: ("word " * n)[:n].replace(" ", "x")
+    skip, p = "<div class=share>a</div><div class=share>b</div><div class=share>c</div>", lambda n: f"<p>{words(n)}</p>"
+    for sizes in ([600, 0, 100], [20, 0, 600], [5, 6, 7, 8, 9, 0, 600, 0, 4], [600, 0, 3, 0, 10], [5, 0, 6, 0, 7, 0, 8]):
+        page = "<body><div>" + "".join(p(n) if n else skip for n in sizes) + "</div></body>"
+        assert html.extract_text(page).split("\n") == [words(n) for n in sizes if n], sizes
+    # Short lines in another container before the article are no part of it.
+    page = "<body><div>" + p(5) * 4 + "</div><div>" + "".join(p(n) for n in (6, 7, 8, 9, 600)) + skip + p(50) + "</div></body>"
+    assert html.extract_text(page).split("\n") == [words(n) for n in (6, 7, 8, 9, 600, 50)]
+
+
 def pagerank(seeds, edges, damping=0.5, rounds=60):
     nodes = sorted({n for e in edges for n in e[:2]} | set(seeds))
     mass = sum(seeds.values())
