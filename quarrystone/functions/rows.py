@@ -20,8 +20,12 @@ def numbered(df: DataFrame, order: list[str | Column], out: str = ROW_ID) -> Dat
     the ones before it end; only one count for each partition reaches the
     driver. ``order`` should be total: rows that tie are numbered as they come.
     """
-    ordered = settle(df.repartitionByRange(*order).sortWithinPartitions(*order))
-    marked = ordered.withColumn("__m", F.monotonically_increasing_id())
+    return placed(df.repartitionByRange(*order).sortWithinPartitions(*order), out)
+
+
+def placed(df: DataFrame, out: str) -> DataFrame:
+    """Add the 0-based place of each row in the order that ``df`` has."""
+    marked = settle(df).withColumn("__m", F.monotonically_increasing_id())
     counts = marked.groupBy(F.shiftright("__m", 33).alias("part")).count().orderBy("part").collect()
     begin, offsets = 0, []
     for r in counts:

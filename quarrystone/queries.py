@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import prep
-from .functions.rows import numbered
+from .functions.rows import numbered, placed
 from .names import ACTIVE, ROW_ID
 from .operators import checks, joinmode, mask
 from .plans import tpch
@@ -232,6 +232,11 @@ def masked_sort(spark, sf_dir):
     return mask.sort(mask.filter_rows(_orders(spark, sf_dir), _open()), F.desc("o_totalprice")).limit(300)
 
 
+@own("masked_sort_whole", f"WITH {_ORD}, a AS (SELECT *, o_orderstatus = 'O' AS \"{ACTIVE}\" FROM ord) SELECT *, row_number() OVER (ORDER BY \"{ACTIVE}\" DESC, o_totalprice DESC, \"{ROW_ID}\") - 1 AS place FROM a")
+def masked_sort_whole(spark, sf_dir):
+    return placed(mask.sort(mask.filter_rows(_orders(spark, sf_dir), _open()), F.desc("o_totalprice")), "place")
+
+
 @own("masked_aggregate", f"""WITH {_ORD}, a AS (SELECT *, o_orderstatus <> 'P' AS act FROM ord),
     g AS (SELECT o_custkey, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS s, min(o_totalprice) AS lo, max(o_totalprice) AS hi, min("{ROW_ID}") AS f FROM a WHERE act GROUP BY o_custkey)
     SELECT a.o_custkey, n, s, lo, hi, "{ROW_ID}", act AND coalesce("{ROW_ID}" = f, false) AS "{ACTIVE}" FROM a LEFT JOIN g ON a.o_custkey = g.o_custkey""")

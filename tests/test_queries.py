@@ -2,6 +2,7 @@ import pytest
 from differential import connection, same
 
 from quarrystone import queries as core
+from quarrystone.names import ACTIVE
 
 Q, SQL = core.queries(), core.oracle_sql()
 
@@ -38,3 +39,10 @@ def test_entry_without_llm():
 @pytest.mark.parametrize("name,node", [("filter_eq", "PushedFilters: [IsNotNull(l_returnflag), EqualTo(l_returnflag,R)]"), ("micro_aggregate", "ReadSchema: struct<l_partkey:bigint,l_suppkey:bigint>")])
 def test_scans_push_down_and_prune(spark, sf_dir, name, node):
     assert node in Q[name](spark, sf_dir)._jdf.queryExecution().toString()
+
+
+def test_masked_sort_places_inactive_rows_last(spark, sf_dir):
+    got = Q["masked_sort_whole"](spark, sf_dir).orderBy("place").collect()
+    assert len(got) == spark.read.parquet(f"{sf_dir}/orders.parquet").count() and [r["place"] for r in got] == list(range(len(got)))
+    active = [r[ACTIVE] for r in got]
+    assert set(active) == {True, False} and active == sorted(active, reverse=True)
