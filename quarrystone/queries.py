@@ -237,6 +237,11 @@ def masked_sort_whole(spark, sf_dir):
     return placed(mask.sort(mask.filter_rows(_orders(spark, sf_dir), _open()), F.desc("o_totalprice")), "place")
 
 
+@own("order_by_nulls_whole", "SELECT o_orderkey, nullif(o_orderstatus, 'O') AS s, row_number() OVER (ORDER BY nullif(o_orderstatus, 'O') NULLS LAST, o_orderkey) - 1 AS place FROM orders")
+def order_by_nulls_whole(spark, sf_dir):
+    return placed(sql(spark, sf_dir, "SELECT o_orderkey, nullif(o_orderstatus, 'O') AS s FROM orders ORDER BY s NULLS LAST, o_orderkey"), "place")
+
+
 @own("masked_aggregate", f"""WITH {_ORD}, a AS (SELECT *, o_orderstatus <> 'P' AS act FROM ord),
     g AS (SELECT o_custkey, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS s, min(o_totalprice) AS lo, max(o_totalprice) AS hi, min("{ROW_ID}") AS f FROM a WHERE act GROUP BY o_custkey)
     SELECT a.o_custkey, n, s, lo, hi, "{ROW_ID}", act AND coalesce("{ROW_ID}" = f, false) AS "{ACTIVE}" FROM a LEFT JOIN g ON a.o_custkey = g.o_custkey""")

@@ -46,3 +46,10 @@ def test_masked_sort_places_inactive_rows_last(spark, sf_dir):
     assert len(got) == spark.read.parquet(f"{sf_dir}/orders.parquet").count() and [r["place"] for r in got] == list(range(len(got)))
     active = [r[ACTIVE] for r in got]
     assert set(active) == {True, False} and active == sorted(active, reverse=True)
+
+
+def test_order_by_places_nulls_last(spark, sf_dir):
+    got = Q["order_by_nulls_whole"](spark, sf_dir).orderBy("place").collect()
+    assert len(got) == spark.read.parquet(f"{sf_dir}/orders.parquet").count() and [r["place"] for r in got] == list(range(len(got)))
+    null = [r["s"] is None for r in got]
+    assert set(null) == {True, False} and null == sorted(null)
