@@ -17,10 +17,12 @@ from .common import ascii_lower, bounded_broadcast, settle, table
 #: (verdict, host, path)
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 DAMPING = 0.85
-ROUNDS = 40
+#: Scores have settled when none moves by more than this share of itself, so a host just reached has not.
 TOLERANCE = 1e-8
+#: Far beyond what any graph of hosts needs (its longest shortest path and about 113 rounds); to go on is an error.
+MOST_ROUNDS = 10_000
 THRESHOLD = 0.5
-#: Scores this close to the threshold, by rounding or unfinished convergence, count as at it and allow.
+#: Scores this close to the threshold, by rounding or what is below the tolerance, count as at it and allow.
 TIE = 1e-6
 #: Hosts whose scores are broadcast to the pages; with more, the join shuffles and Spark splits a hot host.
 BROADCAST_HOSTS = 50_000
@@ -50,11 +52,13 @@ def host_links(pages: DataFrame, host: Column, html_col: str) -> DataFrame:
     return found.groupBy("src", "dst").agg(F.count("*").cast("double").alias("w"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int | None = None, tolerance: float = TOLERANCE) -> DataFrame:
     """Personalised PageRank: from (host, seed) and (src, dst, w) to (host, score) for all hosts.
 
     Seeds are scaled to sum to 1; hosts without links out send their score
-    back to the seeds. Stops when the scores move by less than ``tolerance``.
+    back to the seeds. Stops when no score moves by more than ``tolerance`` of
+    itself, and fails if that does not come; ``rounds``, if given, stops it
+    after so many whatever the scores do.
     """
     nodes = edges.select(F.col("src").alias("host")).union(edges.select("dst")).union(seeds.select("host")).distinct()
     mass = seeds.agg(F.sum("seed")).first()[0]
@@ -66,19 +70,22 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, roun
     state = settle(start.select("host", (F.coalesce("seed", F.lit(0.0)) / mass).alias("seed"), F.col("sends").isNotNull().alias("sends")).withColumn("score", F.col("seed")))
     if not flow.limit(1).count():
         return state.select("host", "score")
-    for _ in range(rounds):
-        lost = state.agg(F.sum(F.when(~F.col("sends"), F.col("score")))).first()[0] or 0.0
+    unsent = F.sum(F.when(~F.col("sends"), F.col("score")))
+    lost = state.agg(unsent).first()[0] or 0.0
+    for _ in range(MOST_ROUNDS if rounds is None else rounds):
         got = flow.join(state.select(F.col("host").alias("src"), "score"), "src").groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("w") * F.col("score")).alias("got"))
         score = F.col("seed") * (1 - damping + damping * lost) + damping * F.coalesce("got", F.lit(0.0))
         new = settle(state.join(got, "host", "left").select("host", "seed", "sends", F.col("score").alias("old"), score.alias("score")))
-        moved = new.agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0]
-        state = new.drop("old")
-        if moved < tolerance:
-            break
+        lost, moving = new.agg(unsent, F.max(F.abs(F.col("score") - F.col("old")) > tolerance * F.col("score"))).first()
+        lost, state = lost or 0.0, new.drop("old")
+        if not moving:
+            return state.select("host", "score")
+    if rounds is None:
+        raise RuntimeError("the scores did not settle")
     return state.select("host", "score")
 
 
-def judge(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep: tuple[str, ...] = (), rules=RULES, threshold: float = THRESHOLD, rounds: int = ROUNDS) -> DataFrame:
+def judge(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep: tuple[str, ...] = (), rules=RULES, threshold: float = THRESHOLD, rounds: int | None = None) -> DataFrame:
     """For each page: host, path, rule, verdict, and its host's trust and distrust; ``keep`` names columns to pass on.
 
     A null url, or one without ``://``, has an empty host, which no rule fits

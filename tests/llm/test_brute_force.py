@@ -252,6 +252,13 @@ def test_propagation(spark):
     assert {r["host"]: r["score"] for r in got.collect()} == pytest.approx(pagerank(seeds, edges), abs=1e-5)
 
 
+def test_propagation_settles_at_production_damping(spark):
+    """Hosts over 40 links from the seed are reached, and every score is right to a share of itself."""
+    edges = [(f"h{i}", f"h{i + 1}", 1.0) for i in range(44)] + [("h44", "h43", 1.0), ("h0", "a", 2.0), ("a", "h0", 1.0)]
+    got = urlfilter.propagate(spark.createDataFrame([("h0", 1.0)], "host string, seed double"), spark.createDataFrame(edges, "src string, dst string, w double"))
+    assert {r["host"]: r["score"] for r in got.collect()} == pytest.approx(pagerank({"h0": 1.0}, edges, 0.85, 400), rel=1e-6, abs=0)
+
+
 def test_distrust_reaches_those_who_link_to_blocked_hosts(spark):
     link = lambda *hosts: "".join(f'<a href="http://{h}/">x</a>' for h in hosts)
     pages = [(1, "http://bad.com/en/1", ""), (2, "http://fan.info/1", link("bad.com")), (3, "http://good.net/de/1", link("friend.info")), (4, "http://friend.info/1", ""), (5, "http://other.info/1", "")]
