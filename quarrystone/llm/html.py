@@ -48,12 +48,19 @@ READERS = frozenset("comment comments reply replies disqus respond".split())
 _PARTS = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
-def _marks(attrs: str) -> set[str]:
+#: Inside an article their ids are slugs of what they say.
+NAMED_BY_TEXT = frozenset("h1 h2 h3 h4 h5 h6 p".split())
+
+
+def _marks(attrs: str, whole: bool = False, ids: bool = True) -> set[str]:
+    """Words in class, id and role; with ``whole`` only those of names that say nothing else, so ``ad-banner`` but not ``related-work``."""
     found: set[str] = set()
     for name, a, b, c in _ATTR.findall(attrs):
-        if name.lower() in ("class", "id", "role"):
+        if name.lower() in (("class", "id", "role") if ids else ("class", "role")):
             for word in re.split(r"\s+", a or b or c):
-                found.update(x for x in _PARTS.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", word).lower()) if x)
+                parts = {x for x in _PARTS.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", word).lower()) if x}
+                if not whole or parts <= NOT_CONTENT:
+                    found |= parts
     return found
 
 
@@ -68,10 +75,11 @@ def _dropped(tag: str, attrs: str, in_article: bool) -> bool:
         return False
     if re.search(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none", attrs, re.I):
         return True
-    marks = _marks(attrs)
     if tag in ("article", "main"):
-        return bool(marks & READERS)
-    return bool(marks & (NOT_CONTENT - {"header"} if in_article else NOT_CONTENT))
+        return bool(_marks(attrs) & READERS)
+    if in_article:
+        return bool(_marks(attrs, whole=True, ids=tag not in NAMED_BY_TEXT) & (NOT_CONTENT - {"header"}))
+    return bool(_marks(attrs) & NOT_CONTENT)
 
 
 def _blocks(page: str) -> tuple[list[tuple[str, bool, bool, int]], list[tuple[int, int]]]:

@@ -228,6 +228,12 @@ def test_extract_keeps_article_text_around_dropped_lines():
     assert html.extract_text(page).split("\n") == [words(n) for n in (6, 7, 8, 9, 600, 50)]
 
 
+def test_extract_keeps_slugs_inside_an_article():
+    page = """<article><h2 id="social-history">One</h2><h3 id=search>Two</h3><section id="related-work"><p class="search-method">Three<p id="copyright">Four</section>
+      <div class="share">x</div><div class="ad-banner">x</div><div id="socialShare">x</div><p class="advertisement">x</p><section id="comments"><p>x</p></section></article><div class="related-work">x</div>"""
+    assert html.extract_text(page) == "One\nTwo\nThree\nFour"
+
+
 def pagerank(seeds, edges, damping=0.5, rounds=60):
     nodes = sorted({n for e in edges for n in e[:2]} | set(seeds))
     mass = sum(seeds.values())
