@@ -7,7 +7,8 @@ which suffixes have to be sorted together is found first, over all documents:
 1. Every window of ``length`` bytes holds one anchor, its k-gram of least hash,
    so equal windows have equal anchors. Documents are dealt into groups of a
    few MB, and each sends the hashes of its anchors to buckets.
-2. A bucket tells each group which of its anchors other documents have too.
+2. A bucket tells each group which of its anchors other documents have too, and
+   which of those are frequent.
 3. Groups send the stretches around shared anchors, each different one once
    with its least id, to buckets again. Equal stretches merge there. Windows
    that more than one stretch has, by hash, are suffix sorted in pieces, and
@@ -15,23 +16,27 @@ which suffixes have to be sorted together is found first, over all documents:
    its least id is the least of all stretches that hold it.
 4. Groups get the least ids back and cut their documents.
 
-A passage in a third of all documents is sent once by each group. Groups and
+A passage in a third of all documents is sent once by each group. A frequent
+anchor, say of a common phrase with other words around it everywhere, would
+bring all its stretches to one bucket: these are dealt by the ``FINE`` least
+k-grams of a window instead, which equal windows share as well. Groups and
 buckets grow in number with the input, not in size.
+
+Rows travel as Arrow tables, so ids and passed columns are never converted.
 """
 
 from __future__ import annotations
 
-import functools
 import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import columns, table
 from .gsaca import suffix_array
 
 LENGTH = 50
@@ -42,6 +47,10 @@ GROUP_BYTES = 4_000_000
 BUCKET_BYTES = 3_000_000
 #: Bytes of stretches that are suffix sorted at a time; equal windows are never apart, as pieces are cut by window hash.
 SORT_BYTES = 2_000_000
+#: Runs of windows at an anchor, over all documents, from which on it is frequent; so many stretches are about half a bucket's share.
+FREQUENT = 16_384
+#: Least k-grams of a window by which windows at a frequent anchor are dealt.
+FINE = 4
 #: Bytes of text whose hashes are held at a time.
 _SLAB = 1 << 16
 _NO_ID = np.iinfo(np.int64).max
@@ -85,7 +94,6 @@ def _least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(keys[: len(keys) - (width - size)], keys[width - size :]) if width > size else keys
 
 
-@functools.cache
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2^64."""
     up, down = np.full(n, _U(_BASE)), np.full(n, _U(pow(_BASE, -1, 1 << 64)))
@@ -96,15 +104,32 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 _BYTE = np.random.default_rng(11).integers(0, 1 << 63, 256, np.uint64) * _U(2) + _U(1)
 
 
+class _Keys:
+    """Keys of the stretches of a piece of text: a 64-bit polynomial hash of the bytes mixed with the anchor's."""
+
+    def __init__(self, length: int):
+        self.length = length
+        self.up, self.down = _powers(_SLAB + length)
+
+    def __call__(self, piece: np.ndarray, begin: np.ndarray, counts: np.ndarray, anchors: np.ndarray) -> np.ndarray:
+        sums = np.concatenate((np.zeros(1, _U), np.cumsum(_BYTE[piece] * self.up[: len(piece)])))
+        stretch = (sums[begin + counts - 1 + self.length] - sums[begin]) * self.down[begin]
+        return _mixed(stretch + anchors * _U(3) + counts.astype(_U))
+
+
+def _sent(anchors: np.ndarray) -> np.ndarray:
+    return anchors >> _U(64 - 8 * _HASH_BYTES)
+
+
 def runs(raw: np.ndarray, ends: np.ndarray, length: int, keyed: bool = True, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(anchor hash, first window, number of windows, key) for each run of windows that share an anchor.
 
     ``raw`` holds documents one after the other and ``ends`` the end of its
     document for each byte; no window crosses one. ``key`` stands for the
-    bytes of the run: a 64-bit polynomial hash mixed with its anchor's; 0 unless ``keyed``.
+    bytes of the run; 0 unless ``keyed``. No run crosses a slab.
     """
     found: list[list[np.ndarray]] = [[], [], [], []]
-    up, down = _powers(_SLAB + length)
+    keys_of = _Keys(length)
     for a in range(0, max(0, len(raw) - length + 1), _SLAB):
         piece = raw[a : a + _SLAB + length - 1]
         grams = gram_hashes(piece, anchor)
@@ -117,17 +142,39 @@ def runs(raw: np.ndarray, ends: np.ndarray, length: int, keyed: bool = True, anc
         first = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (valid[1:] != valid[:-1] + 1))))
         counts = np.diff(np.append(first, len(valid)))
         begin = valid[first]
-        anchors, key = grams[own[first]], np.zeros(len(begin), _U)
-        if keyed:
-            sums = np.concatenate((np.zeros(1, _U), np.cumsum(_BYTE[piece] * up[: len(piece)])))
-            stretch = (sums[begin + counts - 1 + length] - sums[begin]) * down[begin]
-            key = _mixed(stretch + anchors * _U(3) + counts.astype(_U))
-        for to, part in zip(found, (anchors >> _U(64 - 8 * _HASH_BYTES), begin + a, counts, key), strict=True):
+        anchors = grams[own[first]]
+        key = keys_of(piece, begin, counts, anchors) if keyed else np.zeros(len(begin), _U)
+        for to, part in zip(found, (_sent(anchors), begin + a, counts, key), strict=True):
             to.append(part)
     kinds = (_U, np.int64, np.int64, _U)
     return tuple(np.concatenate(f) if f else np.zeros(0, k) for f, k in zip(found, kinds, strict=True))
 
 
+def finer_runs(raw: np.ndarray, anchors: np.ndarray, first: np.ndarray, counts: np.ndarray, length: int, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs cut where the ``FINE`` least k-grams of their windows change: (hash of those and the anchor, first, number, key, run it was cut from)."""
+    found: list[list[np.ndarray]] = [[], [], [], [], []]
+    keys_of, grams_in = _Keys(length), length - anchor + 1
+    slab = first // _SLAB
+    for number in np.unique(slab).tolist():
+        own = np.flatnonzero(slab == number)
+        a = number * _SLAB
+        piece = raw[a : a + _SLAB + length - 1]
+        grams = gram_hashes(piece, anchor)
+        of = np.repeat(own, counts[own])
+        windows = np.repeat(first[own] - a - np.concatenate(([0], np.cumsum(counts[own])[:-1])), counts[own]) + np.arange(len(of))
+        tags = np.empty(len(of), _U)
+        views = sliding_window_view(grams, grams_in)
+        for i in range(0, len(of), 4096):
+            least = np.partition(views[windows[i : i + 4096]], FINE - 1, axis=1)[:, :FINE]
+            tags[i : i + 4096] = _mixed(_mixed(least).sum(1, dtype=_U) + anchors[of[i : i + 4096]])
+        head = np.flatnonzero(np.concatenate(([True], (tags[1:] != tags[:-1]) | (of[1:] != of[:-1]))))
+        n = np.diff(np.append(head, len(of)))
+        for to, part in zip(found, (_sent(tags[head]), windows[head] + a, n, keys_of(piece, windows[head], n, tags[head]), of[head]), strict=True):
+            to.append(part)
+    kinds = (_U, np.int64, np.int64, _U, np.int64)
+    return tuple(np.concatenate(f) if f else np.zeros(0, k) for f, k in zip(found, kinds, strict=True))
+
+
 def _in(values: np.ndarray, members: np.ndarray) -> np.ndarray:
     """Which values are among the sorted members."""
     if not len(members):
@@ -138,46 +185,57 @@ def _in(values: np.ndarray, members: np.ndarray) -> np.ndarray:
 
 
 class _Group:
-    """Documents of a group in the order of their ids, one after the other."""
+    """Documents of a group, a table with columns id and text, in the order of their ids, one after the other."""
 
-    def __init__(self, frame: pd.DataFrame, length: int, keyed: bool = True):
-        texts = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in frame["text"].tolist()]
-        ids = np.array([_NO_ID if pd.isna(i) else int(i) for i in frame["id"].tolist()], np.int64)
+    def __init__(self, rows: pa.Table, length: int, keyed: bool = True):
+        self.length = length
+        ids = rows["id"].fill_null(_NO_ID).to_numpy()
         self.order = np.argsort(ids, kind="stable")
         self.ids = ids[self.order]
-        self.text = b"".join(texts[i] for i in self.order.tolist())
-        self.raw = np.frombuffer(self.text, np.uint8)
-        sizes = np.array([len(texts[i]) for i in self.order.tolist()], np.int64)
-        self.ends = np.cumsum(sizes)
-        self.begins = self.ends - sizes
-        self.anchors, self.first, self.counts, self.keys = runs(self.raw, np.repeat(self.ends.astype(np.int32), sizes), length, keyed)
+        texts = rows["text"].take(pa.array(self.order)).fill_null(b"").combine_chunks()
+        _, at, data = texts.buffers()
+        width = np.int64 if pa.types.is_large_binary(texts.type) else np.int32
+        borders = np.frombuffer(at, width)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+        self.raw = np.frombuffer(data, np.uint8)[borders[0] : borders[-1]] if data is not None else np.zeros(0, np.uint8)
+        self.begins, self.ends = borders[:-1] - borders[0], borders[1:] - borders[0]
+        self.anchors, self.first, self.counts, self.keys = runs(self.raw, np.repeat(self.ends, self.ends - self.begins), length, keyed)
         self.docs = np.searchsorted(self.ends, self.first, side="right")
 
-    def anchor_sets(self) -> tuple[np.ndarray, np.ndarray]:
-        """(anchors, those of more than one document of the group), sorted."""
+    def anchor_sets(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Anchors, sorted; whether more than one document of the group has them; their runs, 255 at most."""
         order = np.argsort(self.anchors, kind="stable")
         own, docs = self.anchors[order], self.docs[order]
         head = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else np.zeros(0, np.int64)
-        last = np.append(head[1:], len(own)) - 1
-        return own[head], own[head[docs[head] != docs[last]]]
+        last = np.append(head, len(own))[1:] - 1
+        return own[head], docs[head] != docs[last], np.minimum(last + 1 - head, 255).astype(np.uint8)
 
-    def keep(self, shared: np.ndarray) -> None:
-        """Only the runs at shared anchors stay; ``number`` tells which of them have the same bytes."""
+    def keep(self, shared: np.ndarray, frequent: np.ndarray) -> None:
+        """Only the runs at shared anchors stay, finer ones at frequent anchors; ``number`` tells which have the same bytes."""
         at = np.flatnonzero(_in(self.anchors, shared))
-        self.anchors, self.first, self.counts, self.keys, self.docs = (x[at] for x in (self.anchors, self.first, self.counts, self.keys, self.docs))
-        # Documents come by id, so the first run of a number has its least id.
+        often = _in(self.anchors[at], frequent)
+        cut, at = at[often], at[~often]
+        finer = finer_runs(self.raw, self.anchors[cut], self.first[cut], self.counts[cut], self.length)
+        parts = zip((self.anchors, self.first, self.counts, self.keys), finer, strict=False)
+        docs = np.concatenate((self.docs[at], self.docs[cut][finer[4]]))
+        self.anchors, self.first, self.counts, self.keys = (np.concatenate((x[at], y)) for x, y in parts)
+        # In the order of documents, which come by id, so the first run of a number has its least id.
+        order = np.argsort(self.first, kind="stable")
+        self.anchors, self.first, self.counts, self.keys = (x[order] for x in (self.anchors, self.first, self.counts, self.keys))
+        self.docs = docs[order]
         _, self.head, self.number = np.unique(self.keys, return_index=True, return_inverse=True)
 
 
 def _pack(*arrays: np.ndarray | bytes) -> bytes:
     parts = [a if isinstance(a, bytes) else a.tobytes() for a in arrays]
-    return struct.pack(f"<{len(parts)}q", *map(len, parts)) + b"".join(parts)
+    body = b"".join(parts)
+    return struct.pack(f"<{len(parts)}q", *map(len, parts)) + pa.compress(body, "zstd", asbytes=True)
 
 
 def _unpack(blob: bytes, n: int) -> list[bytes]:
-    at, out = 8 * n, []
-    for size in struct.unpack_from(f"<{n}q", blob):
-        out.append(blob[at : at + size])
+    sizes = struct.unpack_from(f"<{n}q", blob)
+    body, at, out = pa.decompress(memoryview(blob)[8 * n :], sum(sizes), "zstd", asbytes=True), 0, []
+    for size in sizes:
+        out.append(body[at : at + size])
         at += size
     return out
 
@@ -254,22 +312,42 @@ def equal_windows(stretches: list[bytes], length: int = LENGTH, sort_bytes: int
         yield chosen, label[place]
 
 
-def _find_shared(frame: pd.DataFrame) -> pd.DataFrame:
-    """Of a bucket's anchors, by group: those that more than one document has."""
-    blobs = [[_hashes(b) for b in _unpack(bytes(blob), 2)] for blob in frame["blob"]]
-    every, n = np.unique(np.concatenate([b[0] for b in blobs]), return_counts=True)
-    shared = np.union1d(every[n > 1], np.concatenate([b[1] for b in blobs]))
-    kept = [(g, own[0][_in(own[0], shared)]) for g, own in zip(frame["g"].tolist(), blobs, strict=True)]
-    return pd.DataFrame([(g, _planes(k, _HASH_BYTES)) for g, k in kept if len(k)], columns=["g", "blob"])
+def _blobs(rows: pa.Table) -> list[bytes]:
+    return rows["blob"].to_pylist()
+
 
+_BLOB = pa.schema([("bucket", pa.int64()), ("g", pa.int64()), ("blob", pa.binary())])
+_LIST = pa.schema([("g", pa.int64()), ("blob", pa.binary())])
+_NOTED = pa.schema([("g", pa.int64()), ("note", pa.bool_()), ("blob", pa.binary())])
 
-def _least_ids(frame: pd.DataFrame, length: int) -> pd.DataFrame:
+
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    return pa.table([[r[i] for r in rows] for i in range(len(schema))], schema=schema)
+
+
+def _find_shared(rows: pa.Table, frequent: int) -> pa.Table:
+    """Of a bucket's anchors, by group: those that more than one document has, and those of them that are frequent."""
+    lists = []
+    for blob in _blobs(rows):
+        own, several, n = _unpack(blob, 3)
+        lists.append((_hashes(own), np.frombuffer(several, bool), np.frombuffer(n, np.uint8)))
+    every, which = np.unique(np.concatenate([own for own, _, _ in lists]), return_inverse=True)
+    groups = np.bincount(which, minlength=len(every))
+    inside = np.bincount(which, weights=np.concatenate([several for _, several, _ in lists]), minlength=len(every))
+    often = np.bincount(which, weights=np.concatenate([n for _, _, n in lists]), minlength=len(every))
+    shared = (groups > 1) | (inside > 0)
+    told = every[shared], every[shared & (often >= frequent)]
+    kept = [(g, [own[_in(own, some)] for some in told]) for g, (own, _, _) in zip(rows["g"].to_pylist(), lists, strict=True)]
+    return _table([(g, _pack(*[_planes(k, _HASH_BYTES) for k in own])) for g, own in kept if len(own[0])], _LIST)
+
+
+def _least_ids(rows: pa.Table, length: int) -> pa.Table:
     """For each group the least ids of the windows of the stretches it sent."""
     own: dict[bytes, int] = {}
     least: list[int] = []
     sent = []
-    for g, blob in zip(frame["g"].tolist(), frame["blob"], strict=True):
-        numbers, ids, sizes, text = _unpack(bytes(blob), 4)
+    for g, blob in zip(rows["g"].to_pylist(), _blobs(rows), strict=True):
+        numbers, ids, sizes, text = _unpack(blob, 4)
         ids, sizes = _from_planes(ids, 8).tolist(), _from_planes(sizes, 4)
         at, mine = 0, np.empty(len(ids), np.int64)
         for i, size in enumerate(sizes.tolist()):
@@ -300,75 +378,76 @@ def _least_ids(frame: pd.DataFrame, length: int) -> pd.DataFrame:
         apart = np.flatnonzero(changed[mine])
         detail = [at_place[begins[n] : begins[n] + sizes[n] - length + 1] for n in mine[apart].tolist()]
         counts = np.array([len(d) for d in detail], np.int32)
-        out.append((g, _pack(numbers, _planes(plain[mine], 8), apart.astype(np.int32), counts, _planes(np.concatenate(detail), 8) if detail else b"")))
-    return pd.DataFrame(out, columns=["g", "blob"])
+        out.append((g, False, _pack(numbers, _planes(plain[mine], 8), apart.astype(np.int32), counts, _planes(np.concatenate(detail), 8) if detail else b"")))
+    return _table(out, _NOTED)
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep: tuple[str, ...] = (), decoded: bool = False, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """For each row: id, n_bytes, spans (removed byte ranges [start, end), maximal), kept (the other bytes) and ``keep``.
+def _whole_letters(raw: np.ndarray, a: int, b: int, x: int, y: int) -> tuple[int, int]:
+    """The span [x, y) of the text [a, b), wider by the bytes of UTF-8 letters that it cuts in two."""
+    while x > a and raw[x] & 0xC0 == 0x80:
+        x -= 1
+    while y < b and raw[y] & 0xC0 == 0x80:
+        y += 1
+    return x, y
 
-    ``decoded`` gives the other bytes as text, without what is left of characters cut in two.
 
-    Null texts are empty. A null id counts as larger than any other; rows of
-    one id, and rows of null ids, remove nothing from each other. Texts
-    shorter than ``length`` bytes stay whole. Only columns named in ``keep``
-    are passed on.
-    """
+def _dedup(docs: DataFrame, id_col: str, text_col: str, length: int, keep: list[str], letters: bool, group_bytes: int, frequent: int) -> DataFrame:
+    """(id, n_bytes, spans, kept, keep0, keep1, ...), whatever the names of the columns in ``keep``."""
     kinds = dict(docs.dtypes)
-    passed = [F.col(c).alias(f"keep{i}") for i, c in enumerate(keep)]
-    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    of = dict(zip(docs.columns, columns(docs), strict=True))
+    total = docs.agg(F.sum(F.octet_length(of[text_col].cast("string")))).first()[0] or 0
     groups, buckets = max(1, -(-total // group_bytes)), max(1, -(-total // BUCKET_BYTES))
-    dealt = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *passed)
-    dealt = dealt.withColumn("g", F.pmod(F.xxhash64("id", "text"), F.lit(groups)))
-    grouped = lambda df: df.groupBy("g")
+    dealt = docs.select(of[id_col].cast("long").alias("id"), of[text_col].cast("string").cast("binary").alias("text"), *[of[c].alias(f"keep{i}") for i, c in enumerate(keep)])
+    # One exchange serves all passes over the documents, so it has all columns.
+    dealt = dealt.withColumn("g", F.pmod(F.xxhash64("id", "text"), F.lit(groups))).groupBy("g")
 
     def of_bucket(hashes: np.ndarray) -> np.ndarray:
         return (hashes % _U(buckets)).astype(np.int64)
 
-    def send_anchors(frame: pd.DataFrame) -> pd.DataFrame:
-        every, twice = _Group(frame, length, keyed=False).anchor_sets()
-        g, out = int(frame["g"].iloc[0]), []
-        to, to2 = of_bucket(every), of_bucket(twice)
-        order, order2 = np.argsort(to, kind="stable"), np.argsort(to2, kind="stable")
-        every, twice, to, to2 = every[order], twice[order2], to[order], to2[order2]
-        for b in np.unique(to).tolist():
-            a, z = np.searchsorted(to, [b, b + 1])
-            a2, z2 = np.searchsorted(to2, [b, b + 1])
-            out.append((b, g, _pack(_planes(every[a:z], _HASH_BYTES), _planes(twice[a2:z2], _HASH_BYTES))))
-        return pd.DataFrame(out, columns=["bucket", "g", "blob"])
-
-    def send_stretches(key, frame: pd.DataFrame, lists: pd.DataFrame) -> pd.DataFrame:
-        if not len(frame) or not len(lists):
-            return pd.DataFrame([], columns=["bucket", "g", "blob"])
-        g, shared = int(key[0]), np.unique(np.concatenate([_hashes(bytes(b)) for b in lists["blob"]]))
-        group = _Group(frame, length)
-        group.keep(shared)
+    def send_anchors(rows: pa.Table) -> pa.Table:
+        every, several, n = _Group(rows, length, keyed=False).anchor_sets()
+        g, to = rows["g"][0].as_py(), of_bucket(every)
+        order = np.argsort(to, kind="stable")
+        every, several, n, to = every[order], several[order], n[order], to[order]
+        starts = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1]))) if len(to) else np.zeros(0, np.int64)
+        ends = np.append(starts, len(to))[1:]
+        return _table([(int(to[a]), g, _pack(_planes(every[a:z], _HASH_BYTES), several[a:z], n[a:z])) for a, z in zip(starts.tolist(), ends.tolist(), strict=True)], _BLOB)
+
+    def send_stretches(key, rows: pa.Table, lists: pa.Table) -> pa.Table:
+        if not len(rows) or not len(lists):
+            return _table([], _BLOB)
+        g, told = key[0].as_py(), [_unpack(b, 2) for b in _blobs(lists)]
+        shared, often = (np.unique(np.concatenate([_hashes(own[i]) for own in told])) for i in (0, 1))
+        group = _Group(rows, length)
+        group.keep(shared, often)
         head = group.head
         ids, sizes = group.ids[group.docs[head]], (group.counts[head] - 1 + length).astype(np.int32)
-        begins, out = group.first[head], [(-1 - g, g, _planes(shared, _HASH_BYTES))]
-        to = of_bucket(group.anchors[head])
-        for b in np.unique(to).tolist():
-            own = np.flatnonzero(to == b)
-            sent = b"".join([group.text[x:y] for x, y in zip(begins[own].tolist(), (begins[own] + sizes[own]).tolist(), strict=True)])
-            out.append((b, g, _pack(_steps(own), _planes(ids[own], 8), _planes(sizes[own], 4), sent)))
-        return pd.DataFrame(out, columns=["bucket", "g", "blob"])
-
-    def sort_bucket(frame: pd.DataFrame) -> pd.DataFrame:
-        if frame["bucket"].iloc[0] < 0:  # a group's note to itself
-            return frame.assign(note=True)[["g", "note", "blob"]]
-        return _least_ids(frame, length).assign(note=False)[["g", "note", "blob"]]
-
-    def cut(key, frame: pd.DataFrame, results: pd.DataFrame) -> pd.DataFrame:
-        group = _Group(frame, length)
-        notes = [bytes(b) for b, note in zip(results["blob"], results["note"], strict=True) if note]
-        spans: list[list[dict]] = [[] for _ in group.ids]
-        kept = [group.text[a:b] for a, b in zip(group.begins.tolist(), group.ends.tolist(), strict=True)]
+        begins, out = group.first[head], [(-1 - g, g, _pack(_planes(shared, _HASH_BYTES), _planes(often, _HASH_BYTES)))]
+        to, text = of_bucket(group.anchors[head]), group.raw.tobytes()
+        order = np.argsort(to, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(to[order])) + 1) if len(order) else []:
+            sent = b"".join([text[x:y] for x, y in zip(begins[own].tolist(), (begins[own] + sizes[own]).tolist(), strict=True)])
+            out.append((int(to[own[0]]), g, _pack(_steps(own), _planes(ids[own], 8), _planes(sizes[own], 4), sent)))
+        return _table(out, _BLOB)
+
+    def sort_bucket(rows: pa.Table) -> pa.Table:
+        if rows["bucket"][0].as_py() < 0:  # a group's note to itself
+            return _table([(g, True, blob) for g, blob in zip(rows["g"].to_pylist(), _blobs(rows), strict=True)], _NOTED)
+        return _least_ids(rows, length)
+
+    def cut(key, rows: pa.Table, results: pa.Table) -> pa.Table:
+        group = _Group(rows, length)
+        told = list(zip(results["note"].to_pylist(), _blobs(results), strict=True))
+        notes = [blob for note, blob in told if note]
+        spans: list[list[dict]] = [[] for _ in range(len(group.ids))]
+        text = group.raw.tobytes()
+        kept = [text[a:b] for a, b in zip(group.begins.tolist(), group.ends.tolist(), strict=True)]
         if notes:
-            group.keep(_hashes(notes[0]))
+            group.keep(*[_hashes(x) for x in _unpack(notes[0], 2)])
             plain, detail = np.full(len(group.head), _NO_ID), {}
-            for blob, note in zip(results["blob"], results["note"], strict=True):
+            for note, blob in told:
                 if not note:
-                    own, least, apart, counts, values = _unpack(bytes(blob), 5)
+                    own, least, apart, counts, values = _unpack(blob, 5)
                     own = _from_steps(own)
                     plain[own] = _from_planes(least, 8)
                     at, values = 0, _from_planes(values, 8)
@@ -383,8 +462,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
                 at = np.flatnonzero(detail[int(group.number[r])] < own_id[r]) + group.first[r]
                 gone.append(at)
                 upto.append(at + length)
-            size = len(group.raw) + 1
-            edge = np.zeros(size, np.int32)
+            edge = np.zeros(len(group.raw) + 1, np.int32)
             np.add.at(edge, np.concatenate(gone), 1)
             np.add.at(edge, np.concatenate(upto), -1)
             removed = np.cumsum(edge[:-1], dtype=np.int32) > 0
@@ -394,20 +472,40 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
                 own = removed[a:b]
                 turns = np.flatnonzero(np.diff(np.concatenate(([0], own.view(np.int8), [0]))))
                 spans[d] = [{"start": x, "end": y} for x, y in zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True)]
+                if letters:
+                    own = own.copy()
+                    for s in spans[d]:
+                        x, y = _whole_letters(group.raw, a, b, a + s["start"], a + s["end"])
+                        own[x - a : y - a] = True
                 kept[d] = group.raw[a:b][~own].tobytes()
-        if decoded:
-            kept = [b.decode("utf-8", "ignore") for b in kept]
-        out = frame.iloc[group.order][["id", *[f"keep{i}" for i in range(len(keep))]]].reset_index(drop=True)
-        return out.assign(n_bytes=group.ends - group.begins, spans=spans, kept=kept)
+        order = pa.array(group.order)
+        passed = {f"keep{i}": rows[f"keep{i}"].take(order) for i in range(len(keep))}
+        span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        made = {"n_bytes": pa.array(group.ends - group.begins), "spans": pa.array(spans, span), "kept": pa.array(kept, rows["text"].type)}
+        return pa.table({"id": rows["id"].take(order), **passed, **made})
 
     blob = "bucket long, g long, blob binary"
-    slim = dealt.select("id", "text", "g")
-    lists = grouped(slim).applyInPandas(send_anchors, blob).groupBy("bucket").applyInPandas(_find_shared, "g long, blob binary")
-    sent = grouped(slim).cogroup(grouped(lists)).applyInPandas(send_stretches, blob)
-    results = sent.groupBy("bucket").applyInPandas(sort_bucket, "g long, note boolean, blob binary")
-    out = ", ".join(["id long", *[f"keep{i} {kinds[c]}" for i, c in enumerate(keep)], "n_bytes long", "spans array<struct<start: long, end: long>>", "kept string" if decoded else "kept binary"])
-    done = grouped(dealt).cogroup(grouped(results)).applyInPandas(cut, out)
-    return done.select("id", "n_bytes", "spans", "kept", *[F.col(f"keep{i}").alias(c) for i, c in enumerate(keep)])
+    lists = dealt.applyInArrow(send_anchors, blob).groupBy("bucket").applyInArrow(lambda rows: _find_shared(rows, frequent), "g long, blob binary")
+    sent = dealt.cogroup(lists.groupBy("g")).applyInArrow(send_stretches, blob)
+    results = sent.groupBy("bucket").applyInArrow(sort_bucket, "g long, note boolean, blob binary")
+    out = ", ".join(["id long", *[f"keep{i} {kinds[c]}" for i, c in enumerate(keep)], "n_bytes long", "spans array<struct<start: long, end: long>>", "kept binary"])
+    return dealt.cogroup(results.groupBy("g")).applyInArrow(cut, out)
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep: tuple[str, ...] = (), letters: bool = False, group_bytes: int = GROUP_BYTES, frequent: int = FREQUENT) -> DataFrame:
+    """For each row: id, n_bytes, spans (removed byte ranges [start, end), maximal), kept (the other bytes) and ``keep``.
+
+    With ``letters`` a UTF-8 letter of which a byte goes is left out of
+    ``kept`` as a whole; spans are as they are.
+
+    Null texts are empty. A null id counts as larger than any other (so
+    2^63 - 1 is not to be used as one); rows of one id, and rows of null ids,
+    remove nothing from each other. Texts shorter than ``length`` bytes stay
+    whole. Columns named in ``keep`` are passed on unchanged under their
+    names, others are ignored; an empty table gives an empty one.
+    """
+    found = _dedup(docs, id_col, text_col, length, list(keep), letters, group_bytes, frequent)
+    return found.select("id", "n_bytes", "spans", "kept", *[F.col(f"keep{i}").alias(c) for i, c in enumerate(keep)])
 
 
 def op8_suffixdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -420,11 +518,17 @@ def op8_suffixdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: texts without what they repeat from documents with smaller ids, ``n_chars`` to match.
 
-    A character of which a byte goes goes whole. Documents of which nothing but white space is left go.
+    A character of which a byte goes goes whole. Documents of which nothing
+    but white space is left go, null and empty texts among them. All other
+    columns are passed on unchanged, whatever their names; a null id counts as
+    the largest, repeated rows lose nothing to each other, and an empty table
+    gives an empty one.
     """
-    rest = [c for c in docs.columns if c not in ("text", "n_chars")]
-    texts = dedup(docs, keep=tuple(rest), decoded=True).withColumnRenamed("kept", "text").where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return texts.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    rest = [c for c, kind in docs.dtypes if c not in ("text", "n_chars") and kind != "void"]
+    found = _dedup(docs, "doc_id", "text", LENGTH, rest, True, GROUP_BYTES, FREQUENT)
+    text = F.col("kept").cast("string")
+    made = {c: F.col(f"keep{i}") for i, c in enumerate(rest)} | {"text": text, "n_chars": F.char_length(text).cast("long")}
+    return found.where(text.rlike(r"[^\x20\x09-\x0D]")).select(*[made.get(c, F.lit(None)).alias(c) for c in docs.columns])
 
 
 ORACLE_SQL = r"""
