@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import string
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, settle
 
-__all__ = ["ALNUM_WORD", "SPACE_WORD", "ascii_lower", "bounded_broadcast", "checkpoint_dir", "settle", "smallest", "table", "words"]
+__all__ = ["ALNUM_WORD", "SPACE_WORD", "ascii_lower", "bounded_broadcast", "checkpoint_dir", "columns", "digest", "settle", "sampled_texts", "smallest", "stored", "table", "unused", "words"]
 
 #: Words of ASCII letters and digits and of anything beyond ASCII, in text whose A-Z are lower-cased.
 ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -42,6 +43,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """All columns, whatever characters their names hold."""
+    return [F.col("`{}`".format(c.replace("`", "``"))) for c in df.columns]
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, longer by underscores until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def digest(text: Column) -> Column:
+    """32 bytes that stand for a text; null for null."""
+    return F.unhex(F.sha2(text.cast("binary"), 256))
+
+
+def stored(df: DataFrame, row: str) -> DataFrame:
+    """``df`` with a number ``row`` of each row, in the shared folder.
+
+    A row number given while a plan runs changes when the plan runs again, be
+    it for another column or a lost executor; one that is read back does not.
+    """
+    folder = f"{checkpoint_dir(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    void = {c for c, kind in df.dtypes if kind == "void"}  # Parquet has no such type
+    kept = [c for name, c in zip(df.columns, columns(df), strict=True) if name not in void]
+    df.select(*kept, F.monotonically_increasing_id().alias(row)).write.parquet(folder)
+    back = df.sparkSession.read.parquet(folder)
+    return back.select(*[F.lit(None).alias(name) if name in void else c for name, c in zip(df.columns, columns(df), strict=True)], row)
+
+
 def smallest(df: DataFrame, group: str, draw: str, k: int) -> DataFrame:
     """The ``k`` rows of each group with the smallest ``draw``, a 64-bit hash of something unique.
 
@@ -56,3 +89,15 @@ def smallest(df: DataFrame, group: str, draw: str, k: int) -> DataFrame:
     near = cells.join(bounded_broadcast(cuts, cuts.count(), 20_000), F.col(group) == F.col("__group")).where("__cell <= __cut")
     ranked = near.withColumn("__n", F.row_number().over(Window.partitionBy(group).orderBy(draw)))
     return ranked.where(F.col("__n") <= k).select(*df.columns)
+
+
+def sampled_texts(rated: DataFrame, group: str, text: str, k: int) -> DataFrame:
+    """(group, text): at most ``k`` different texts of each group, those of the smallest hashes, the same ones at every run.
+
+    Copies count once, so what is returned is bounded by the number of groups
+    and ``k`` whatever the table repeats; rows of a null group or text are none.
+    """
+    keyed = rated.select(F.col(group).alias("group"), F.col(text).alias("text")).where("group is not null and text is not null").withColumn("h", digest(F.col("text")))
+    chosen = settle(smallest(keyed.select("group", "h").distinct().withColumn("draw", F.xxhash64("h")), "group", "draw", k).select("group", "h"))
+    picked = keyed.join(bounded_broadcast(chosen, chosen.count(), 50_000), ["group", "h"], "left_semi")
+    return picked.groupBy("group", "h").agg(F.first("text").alias("text")).select("group", "text")

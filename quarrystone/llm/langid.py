@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import itertools
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,11 +22,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import smallest, table
+from .common import columns, sampled_texts, table, unused
 
-#: Training texts of each language at most, and their length at most; the bound on what is fetched.
+#: Training texts of each language, of all languages together, and their length, at most: the bound on what is fetched.
 SAMPLE = 300
+SAMPLE_TEXTS = 6_000
 SAMPLE_CHARS = 20_000
+#: Languages that are learned, at most; of more, those with most rows.
+MOST_LANGUAGES = 200
 #: Languages with a codeword table by enumeration; with more, codewords are drawn.
 EXHAUSTIVE = 5
 FEATURES = 1 << 15
@@ -33,7 +37,11 @@ ORDERS = (1, 2, 3)
 #: A text is ambiguous if the second language is at least this likely.
 AMBIGUOUS = 0.4
 UNKNOWN = "und"
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: Numbers that ``\w`` takes for letters: superscripts, fractions, Roman numerals and the like.
+_NUMBERS = "".join(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
+_NOT_LETTERS = re.compile(rf"[\W\d_{_NUMBERS}]+")
+#: What stands around each text, so that no n-gram reaches into another.
+_PAD = b" " * 2
 #: Bytes of text whose n-grams are hashed at a time.
 _SLAB = 1 << 18
 
@@ -60,7 +68,7 @@ def prepared(text: str) -> bytes:
 
 
 def ngram_ids(raw: np.ndarray) -> Iterator[np.ndarray]:
-    """For each order the hashed n-gram that ends at each byte (the first few look back at what precedes)."""
+    """For each order the hashed n-gram that ends at each byte (the first few look back at zeros)."""
     x = raw.astype(np.uint32)
     h = np.zeros(len(x), np.uint32)
     for n in range(1, max(ORDERS) + 1):
@@ -71,6 +79,12 @@ def ngram_ids(raw: np.ndarray) -> Iterator[np.ndarray]:
             yield (mixed ^ (mixed >> np.uint32(13))) % np.uint32(FEATURES)
 
 
+def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Texts one after the other with a pad before and after each, and where each begins; its share goes on to the next begin."""
+    begins = np.cumsum([len(_PAD)] + [len(t) + len(_PAD) for t in texts])
+    return np.frombuffer(_PAD + b"".join(t + _PAD for t in texts), np.uint8), begins
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -92,18 +106,18 @@ class Model:
         return out
 
     def _slab(self, texts: list[bytes]) -> np.ndarray:
-        lengths = np.array([len(t) for t in texts])
-        raw, total = np.frombuffer(b"".join(texts), np.uint8), np.zeros((len(texts), self.weights.shape[1]))
-        starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+        raw, begins = joined(texts)
+        starts, ends, total = begins[:-1], begins[1:], np.zeros((len(texts), self.weights.shape[1]))
         for a in range(0, len(raw), _SLAB):  # a long text goes piece by piece
             piece = raw[max(0, a - max(ORDERS)) : a + _SLAB]
             skip = min(a, max(ORDERS))
+            inside = np.flatnonzero((starts < a + _SLAB) & (ends > a))
+            if not len(inside):
+                continue
+            at = np.clip(starts[inside] - a, 0, None)
             for ids in ngram_ids(piece):
-                scores = self.weights[ids[skip:]]
-                at = np.clip(starts - a, 0, None)
-                inside = np.flatnonzero((starts < a + _SLAB) & (starts + lengths > a))
-                total[inside] += np.add.reduceat(scores, at[inside], axis=0)
-        return total * (self.slope / np.sqrt(lengths)[:, None])
+                total[inside] += np.add.reduceat(self.weights[ids[skip:]], at, axis=0, dtype=np.float64)
+        return total * (self.slope / np.sqrt([len(t) for t in texts])[:, None])
 
     def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Likelihoods of the languages from loss-weighted distances to their codewords, and their order."""
@@ -128,8 +142,9 @@ def fit(samples: list[tuple[str, str]]) -> Model:
     index = {lang: i for i, lang in enumerate(languages)}
     counts = np.zeros((len(languages), FEATURES))
     for got, lang in pieces:
-        for ids in ngram_ids(np.frombuffer(got, np.uint8)):
-            counts[index[lang]] += np.bincount(ids, minlength=FEATURES)
+        raw, _ = joined([got])
+        for ids in ngram_ids(raw):
+            counts[index[lang]] += np.bincount(ids[len(_PAD) :], minlength=FEATURES)
     rate = counts / np.maximum(counts.sum(1, keepdims=True), 1)  # each language counts alike
     weights = np.zeros((FEATURES, code.shape[1]), np.float32)
     for b in range(code.shape[1]):
@@ -149,13 +164,15 @@ def fit(samples: list[tuple[str, str]]) -> Model:
     return model
 
 
-def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = SAMPLE, max_chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
-    """Whole texts of at most ``per_language`` ids of each language, none over ``max_chars``, the same ones at every run; null ids are left out."""
-    usable = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (F.char_length(text_col) <= max_chars))
-    drawn = usable.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id")).distinct().withColumn("draw", F.xxhash64("id"))
-    chosen = smallest(drawn, "lang", "draw", per_language).select("id").distinct()
-    rows = usable.join(F.broadcast(chosen), usable[id_col] == chosen["id"], "left_semi").select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"), F.col(id_col).alias("i")).collect()
-    return [(r["t"], r["l"]) for r in sorted(rows, key=lambda r: (r["l"], str(r["i"]), r["t"]))]
+def training_sample(docs: DataFrame, text_col: str, lang_col: str, per_language: int = SAMPLE, max_texts: int = SAMPLE_TEXTS, max_chars: int = SAMPLE_CHARS, most: int = MOST_LANGUAGES) -> list[tuple[str, str]]:
+    """(text, language): whole different texts, ``per_language`` and ``max_texts`` at most, none over ``max_chars``, the same ones at every run."""
+    usable = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (F.char_length(text_col) <= max_chars)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    counted = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()
+    if not counted:
+        return []
+    known = usable.where(F.col("lang").isin([r["lang"] for r in counted]))
+    rows = sampled_texts(known, "lang", "text", max(1, min(per_language, max_texts // len(counted)))).collect()
+    return sorted((r["text"], r["group"]) for r in rows)
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", out: str = "lang_id") -> DataFrame:
@@ -189,7 +206,8 @@ def held_out(id_col: Column) -> Column:
 
 
 def trained(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    return fit(training_sample(docs.where(~held_out(F.col(id_col))), id_col, text_col, lang_col))
+    """The model of the rows that are not held out; a row of a null id is left out as well."""
+    return fit(training_sample(docs.where(F.col(id_col).isNotNull() & ~held_out(F.col(id_col))), text_col, lang_col))
 
 
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,6 +217,11 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without an identifiable language go; ``lang`` of the others is what was identified."""
-    found = predict(docs, trained(docs), out="__lang_id").where(F.col("__lang_id.lang") != UNKNOWN)
-    return found.withColumn("lang", F.col("__lang_id.lang")).select(*docs.columns)
+    """Pipeline stage: documents without an identifiable language go; ``lang`` of the others is what was identified.
+
+    Null texts and texts without a letter go, and all if nothing was learned.
+    All other columns are passed on unchanged, repeated rows are kept.
+    """
+    out = unused(docs, "__lang_id")
+    found = predict(docs, trained(docs), out=out).where(F.col(out)["lang"] != UNKNOWN)
+    return found.select(*[F.col(out)["lang"].alias(name) if name == "lang" else c for name, c in zip(docs.columns, columns(docs), strict=True)])

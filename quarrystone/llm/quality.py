@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import smallest, table
+from .common import sampled_texts, smallest, table
 
 GRADES = 3
 #: Rated documents of each grade in the training sample at most, and their length at most.
@@ -133,11 +133,12 @@ def rated(labels: DataFrame) -> DataFrame:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, per_grade: int = SAMPLE, max_chars: int = SAMPLE_CHARS) -> list[tuple[str, int]]:
-    """At most ``per_grade`` rated whole texts of each grade, none over ``max_chars``, the same ones at every run."""
-    chosen = smallest(rated(labels).withColumn("draw", F.xxhash64("rated_id")), "grade", "draw", per_grade).select("rated_id", "grade")
+    """At most ``per_grade`` different rated whole texts of each grade, none over ``max_chars``, the same ones at every run."""
+    ids = smallest(rated(labels).withColumn("draw", F.xxhash64("rated_id")), "grade", "draw", per_grade).select("rated_id", "grade")
     usable = docs.where(F.col("text").isNotNull() & (F.char_length("text") <= max_chars)).select("doc_id", "text")
-    rows = usable.join(F.broadcast(chosen), usable["doc_id"] == chosen["rated_id"]).select("doc_id", "text", "grade").collect()
-    return [(r["text"], r["grade"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]
+    # As many ids as the sample has texts at most, but any number of rows may have them.
+    rows = sampled_texts(usable.join(F.broadcast(ids), usable["doc_id"] == ids["rated_id"]), "grade", "text", per_grade).collect()
+    return sorted((r["text"], r["group"]) for r in rows)
 
 
 def grade(docs: DataFrame, model: Model, text_col: str = "text", out: str = "quality") -> DataFrame:
