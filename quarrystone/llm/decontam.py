@@ -7,6 +7,9 @@ the rarest in the corpus. Document shingles are joined with those prefix
 shingles only; length and position bounds and an exact comparison of the words
 in place decide. Documents are read twice (shingle counts, then the join) and
 never shuffled: what moves is one row for each document and each match.
+
+A benchmark too large to be broadcast is joined by shuffling hashes and
+positions instead; only documents with a candidate are looked at again.
 """
 
 from __future__ import annotations
@@ -14,10 +17,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORD, ascii_lower, settle, table, words
+from .common import ALNUM_WORD, ascii_lower, bounded_broadcast, columns, digest, settle, stored, table, unused, words
 
-#: Windows of the benchmark that are broadcast at a time; at about 200 bytes each, 40 MB.
+#: Windows of a benchmark that are broadcast, at most; at about 200 bytes each, 40 MB.
 BLOCK_WINDOWS = 200_000
+#: Digests of contaminated texts that are broadcast, at most: 32 bytes each and the table around them, 40 MB.
+BROADCAST_TEXTS = 400_000
+#: Parts into which copies of one text are dealt where digests are joined by shuffling.
+SALTS = 32
 
 
 def _shingle(tokens: Column, at: Column, width: int) -> Column:
@@ -35,54 +42,52 @@ def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str, window
     return items.select("item", "ws", starts.alias("at")).select("item", F.slice("ws", F.col("at"), window).alias("win")).distinct()
 
 
-def _positions(docs: DataFrame) -> DataFrame:
-    """A row for each word position; an empty document gives one with a null position."""
-    return docs.select("rid", "id", "ws", F.size("ws").alias("n"), F.posexplode_outer("ws").alias("pos", "w"))
+def _hashed(docs: DataFrame, widths: list[int]) -> DataFrame:
+    """(..., n, pos, nth, h): the shingle of each width at each word of ``docs`` (columns and ``ws``), null past the end; without words one row of null pos for each width."""
+    each = docs.select("*", F.size("ws").alias("n"), F.posexplode_outer("ws").alias("pos", "w")).drop("w")
+    h = [F.when(F.col("pos") <= F.col("n") - width, _shingle(F.col("ws"), F.col("pos"), width)) for width in widths]
+    if len(widths) == 1:
+        return each.withColumn("nth", F.lit(0)).withColumn("h", h[0])
+    return each.select("*", F.posexplode(F.array(*h)).alias("nth", "h"))
+
+
+def _anchors(shingles: DataFrame, counts: DataFrame) -> DataFrame:
+    """(wid, len, win, h, off): the rarest shingle of each window. A window of which a shingle never occurs cannot occur."""
+    found = shingles.join(counts, "h").groupBy("wid", "len", "width")
+    found = found.agg(F.count("*").alias("k"), F.min(F.struct("seen", "h", "off")).alias("a"), F.first("win").alias("win"))
+    return found.where(F.col("k") == F.col("len") - F.col("width") + 1).select("wid", "len", "win", F.col("a.h").alias("h"), F.col("a.off").alias("off"))
 
 
-def _matches(docs: DataFrame, wins: DataFrame, widths: list[int], shingle: int) -> DataFrame:
-    """(rid, id, n, start, len, wid): occurrences of windows, and at least one row for each document."""
+def _matches(docs: DataFrame, wins: DataFrame, widths: list[int], shingle: int, block_windows: int, total: int) -> DataFrame:
+    """(rid, id, n, start, len, wid) from (rid, id, ws): occurrences of windows, and at least one row for each document."""
     wins = wins.withColumn("len", F.size("win")).withColumn("width", F.least(F.lit(shingle), F.col("len")))
     wins = wins.withColumn("wid", F.md5(F.array_join("win", " ")))
-    parts = []
-    for width in widths:
-        own = wins.where(F.col("width") == width)
-        at = F.explode(F.sequence(F.lit(0), F.col("len") - width))
-        parts.append(own.select("wid", "win", "len", "width", at.alias("off")).withColumn("h", _shingle(F.col("win"), F.col("off"), width)))
-    shingles = parts[0]
-    for part in parts[1:]:
-        shingles = shingles.unionByName(part)
-    shingles = settle(shingles)
-
-    def keyed(width: int) -> DataFrame:
-        return _positions(docs).withColumn("h", _shingle(F.col("ws"), F.col("pos"), width)).withColumn("width", F.lit(width))
-
-    vocabulary = shingles.select("h", "width").distinct()
-    counts = None
-    for width in widths:
-        seen = keyed(width).where(F.col("pos") <= F.col("n") - width).select("h", "width")
-        part = seen.join(F.broadcast(vocabulary.where(F.col("width") == width).select("h")), "h", "left_semi").groupBy("h", "width").agg(F.count("*").alias("seen"))
-        counts = part if counts is None else counts.unionByName(part)
-    # A window of which one shingle never occurs cannot occur; of the others the rarest shingle is the prefix.
-    anchors = settle(
-        shingles.join(counts, ["h", "width"])
-        .groupBy("wid", "len", "width")
-        .agg(F.count("*").alias("k"), F.min(F.struct("seen", "h", "off")).alias("a"), F.first("win").alias("win"))
-        .where(F.col("k") == F.col("len") - F.col("width") + 1)
-        .select("wid", "len", "width", "win", F.col("a.h").alias("h"), F.col("a.off").alias("off"))
-    )
-    out = None
-    for i, width in enumerate(widths):
-        d, a = keyed(width).drop("w", "width"), F.broadcast(anchors.where(F.col("width") == width).drop("width"))
-        start = F.col("pos") - F.col("off")
-        fits = (start >= 0) & (start + F.col("len") <= F.col("n"))
-        same = F.slice("ws", F.greatest(start, F.lit(0)) + 1, F.col("len")) == F.col("win")
-        hit = d.join(a, (d["h"] == a["h"]) & fits & same, "left" if i == 0 else "inner")
-        if i == 0:
-            hit = hit.where(F.col("wid").isNotNull() | F.col("pos").isNull() | (F.col("pos") == 0))
-        hit = hit.select("rid", "id", "n", start.alias("start"), "len", "wid")
-        out = hit if out is None else out.unionByName(hit)
-    return out
+    placed = wins.select("wid", "win", "len", "width", F.explode(F.sequence(F.lit(0), F.col("len") - F.col("width"))).alias("off"))
+    shingles = settle(placed.withColumn("h", F.coalesce(*[F.when(F.col("width") == k, _shingle(F.col("win"), F.col("off"), k)) for k in widths])))
+    vocabulary = shingles.select("h").distinct()
+    small = total <= block_windows
+    seen = _hashed(docs.select("ws"), widths).select("h").where("h is not null")
+    if small:
+        counts = seen.join(F.broadcast(vocabulary), "h", "left_semi").groupBy("h").agg(F.count("*").alias("seen"))
+    else:
+        counts = seen.groupBy("h").agg(F.count("*").alias("seen")).join(vocabulary, "h", "left_semi")
+    anchors = settle(_anchors(shingles, counts))
+    start = F.col("pos") - F.col("off")
+    fits = (start >= 0) & (start + F.col("len") <= F.col("n"))
+    same = F.slice("ws", F.greatest(F.col("start"), F.lit(0)) + 1, F.col("len")) == F.col("win")
+    found = ["rid", "id", "n", "start", "len", "wid"]
+    if small:
+        d, a = _hashed(docs, widths), F.broadcast(anchors)
+        there = F.slice("ws", F.greatest(start, F.lit(0)) + 1, F.col("len")) == F.col("win")
+        hit = d.join(a, (d["h"] == a["h"]) & fits & there, "left")
+        one = (F.col("pos").isNull() | (F.col("pos") == 0)) & (F.col("nth") == 0)
+        return hit.where(F.col("wid").isNotNull() | one).withColumn("start", start).select(*found)
+    # Hashes and positions meet the anchors by shuffling; only then are the texts of candidates joined.
+    d = _hashed(docs, widths).where("h is not null").select("rid", "n", "pos", "h")
+    met = d.join(anchors, "h").where(fits).select("rid", start.alias("start"), "len", "wid", "win")
+    hits = docs.select("rid", "id", "ws", F.size("ws").alias("n")).join(met, "rid").where(same).select(*found)
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("start", "int"), ("len", "int"), ("wid", "string"))]
+    return hits.union(docs.select("rid", "id", F.size("ws").alias("n"), *none))
 
 
 def decontaminate(
@@ -98,20 +103,20 @@ def decontaminate(
     repeated rows or ids give a row each. Windows that items share count for
     each of them; items of one id and repeated items count once. An empty
     benchmark hits nothing; extra columns are ignored. A benchmark of more
-    than ``block_windows`` distinct windows is taken in blocks of that size,
-    each joined with all documents.
+    than ``block_windows`` distinct windows is not broadcast but shuffled.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), words(ascii_lower(F.col(text_col)), ALNUM_WORD).alias("ws"))
     of_item = settle(benchmark_windows(benchmark, item_col, item_text_col, window).withColumn("wid", F.md5(F.array_join("win", " "))))
     wins = of_item.select("win").distinct().withColumn("k", F.least(F.lit(shingle), F.size("win")))
     sizes = {r["k"]: r["n"] for r in wins.groupBy("k").agg(F.count("*").alias("n")).collect()}  # at most `shingle` rows
     widths, total = sorted(sizes, reverse=True), sum(sizes.values())
-    found = rows.select("rid", "id", F.size("ws").alias("n"), *[F.lit(None).cast(t).alias(c) for c, t in (("start", "int"), ("len", "int"), ("wid", "string"))])
-    blocks = -(-total // block_windows)
-    for b in range(blocks):
-        part = wins.where(F.pmod(F.xxhash64("win"), F.lit(blocks)) == b).select("win") if blocks > 1 else wins.select("win")
-        hits = _matches(rows, part, widths, shingle)
-        found = hits if b == 0 else found.unionByName(hits)
+    given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    # The shuffled join reads documents again by their number, which therefore has to be stored.
+    numbered = stored(given, "rid") if total > block_windows else given.withColumn("rid", F.monotonically_increasing_id())
+    rows = numbered.select("rid", "id", words(ascii_lower(F.col("t")), ALNUM_WORD).alias("ws"))
+    if total:
+        found = _matches(rows, wins.select("win"), widths, shingle, block_windows, total)
+    else:
+        found = rows.select("rid", "id", F.size("ws").alias("n"), *[F.lit(None).cast(t).alias(c) for c, t in (("start", "int"), ("len", "int"), ("wid", "string"))])
     end = F.col("start") + F.col("len")
     before = Window.partitionBy("rid").orderBy("start", "len").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("rid").orderBy("start", "len").rowsBetween(Window.unboundedPreceding, 0)
@@ -151,11 +156,24 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: drop contaminated documents, keep the others unchanged."""
-    names = docs.columns
-    keyed = docs.withColumn("__row", F.monotonically_increasing_id())
-    bad = decontaminate(keyed, table(spark, sf_dir, "benchmark"), id_col="__row").where(contaminated()).select(F.col("id").alias("__row"))
-    return keyed.join(bad, "__row", "left_anti").select(*names)
+    """Pipeline stage: drop contaminated documents, keep the others unchanged, with all their columns.
+
+    The decision is one on the text, so rows are found again by its digest:
+    copies go together. Null and empty texts stay, as do null ids and repeated
+    rows; an empty table or benchmark drops nothing.
+    """
+    mark = unused(docs, "__text")
+    found = decontaminate(docs.select(digest(F.col("text")).alias("id"), "text"), table(spark, sf_dir, "benchmark"), id_col="id")
+    bad = settle(found.where(contaminated()).select("id").distinct())
+    bad = bad.withColumnRenamed("id", mark)
+    keyed = docs.withColumn(mark, digest(F.col("text")))
+    if (n := bad.count()) <= BROADCAST_TEXTS:
+        clean = keyed.join(bounded_broadcast(bad, n, BROADCAST_TEXTS), mark, "left_anti")
+    else:
+        salt = unused(docs, "__salt")
+        salted = bad.select(mark, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt))
+        clean = keyed.withColumn(salt, (F.monotonically_increasing_id() % SALTS).cast("int")).join(salted, [mark, salt], "left_anti")
+    return clean.select(*columns(docs))
 
 
 _LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -25,7 +25,7 @@ import itertools
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORD, ascii_lower, settle, table, words
+from .common import SPACE_WORD, ascii_lower, columns, settle, stored, table, unused, words
 
 #: The base reference, a fixed value.
 BASE = 0x5851F42D4C957F2D
@@ -162,9 +162,13 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Groups are those of op4: three-word shingles and at most two bits. Near
     copies beyond two bits stay, among them about a ninth of the pairs whose
-    five-word similarity is 0.8 or more (12 of 102 on sf0.01).
+    five-word similarity is 0.8 or more (12 of 102 on sf0.01). Rows are stored
+    with a number first, by which they are found again; all columns are
+    passed on unchanged. Texts without words, null ones included, are copies
+    of each other. An empty table gives an empty one.
     """
-    keyed = docs.withColumn("__row", F.monotonically_increasing_id())
-    found = near_duplicates(keyed, row_col="__row")
-    first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "rid")).alias("m")).select(F.col("m.rid").alias("__row"))
-    return keyed.join(first, "__row", "left_semi").select(*docs.columns)
+    row = unused(docs, "__row")
+    kept = stored(docs, row)
+    found = near_duplicates(kept.select(row, "doc_id", "text"), row_col=row)
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "rid")).alias("m")).select(F.col("m.rid").alias(row))
+    return kept.join(first, row, "left_semi").select(*columns(docs))
