@@ -1,19 +1,26 @@
 """HTML extraction by line-block distribution.
 
 A page is stripped of markup into lines, one for each block of text in page
-order. Elements that are not content by their tag, class, id or role are left
-out, and the lengths of the other lines are summed over sliding windows. The
-article begins where a window surges and goes on to the last line; short lines
-before that stay where they are in the same container, the innermost block
-around the whole of it. Where the page marks its article, the lines inside are
-the text, whatever their length, and lines outside are not.
+order. Markup serves as evidence only: a line inside an element that is
+boilerplate by its tag, class, id or role weighs nothing at all and is no part
+of the distribution, nor are lines outside the article of a page that marks
+one; text inside links does not count either. The weights of the other lines
+are summed over sliding windows. The text begins where a window surges and
+ends where the last one dives; a stretch of windows without any weight between
+them, such as a list of links, is left out. Short lines before the surge and
+after the dive stay where they stand in the same container, the innermost
+block around the lines that surge by themselves.
+
+All passes take time in proportion to the page, whatever is left open in it.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -21,14 +28,17 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Lines in a window, and the sum of lengths at which a window counts as text.
+#: Lines in a window, and the sum of weights above which a window counts as text.
 WINDOW = 3
 SURGE = 80
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>""", re.S)
-_ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+_STOP = re.compile(r"""=\s*+(["'])|>""")
+_ATTR = re.compile(r"""(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""")
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*+:\s*+none", re.I)
 #: Elements whose content is no markup; it ends at the closing tag only.
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
+_CLOSERS = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in sorted(RAW)}
 DROPPED = frozenset("head nav footer aside form button select option menu dialog svg canvas object audio video map datalist".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
@@ -37,34 +47,98 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An element of these ends where one of the named begins.
 ENDED_BY = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
-#: Words in a class, id or role that mark what is not the article.
-NOT_CONTENT = frozenset(
-    "ad ads advert adverts advertisement advertising adsense adslot sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification "
-    "alert sidebar menu menus nav navbar navigation breadcrumb breadcrumbs masthead header footer comment comments disqus reply replies respond share sharing "
-    "social related recommended recommendations newsletter subscribe subscription signup login popup modal overlay toolbar pagination pager widget widgets skip copyright "
-    "disclaimer contentinfo complementary search dialog menubar".split()
-)
 READERS = frozenset("comment comments reply replies disqus respond".split())
-_PARTS = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
-
-
+#: Names that mark adverts, notices, menus, sidebars and comments, wherever they stand.
+NOT_ARTICLE = READERS | frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adsense adslot sponsor sponsored banner cookie cookies consent gdpr notice notices "
+    "sidebar menu menus menubar nav navbar navigation breadcrumb breadcrumbs masthead footer contentinfo".split()
+)
+#: Names that mark more: outside a marked article always, inside only what holds no paragraph, as buttons do not.
+NOT_CONTENT = NOT_ARTICLE | frozenset(
+    "promo promotion notification alert header share sharing social related recommended recommendations newsletter subscribe subscription signup login popup modal overlay "
+    "toolbar pagination pager widget widgets skip copyright disclaimer complementary search dialog".split()
+)
+#: Words that say nothing by themselves in a name of several, so ``ad-box`` is an advert and ``related-work`` no widget.
+NEUTRAL = frozenset(
+    "area bar block body bottom box btn button buttons card col column container content div element embed fixed form global group holder inner item items js left link links list "
+    "main outer page panel primary region right row secondary section site slot small sticky thread title top unit wrap wrapper zone".split()
+)
+_PARTS = re.compile(r"[^a-z0-9]+")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre table dl".split())
 #: Inside an article their ids are slugs of what they say.
 NAMED_BY_TEXT = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 
 
-def _marks(attrs: str, whole: bool = False, ids: bool = True) -> set[str]:
-    """Words in class, id and role; with ``whole`` only those of names that say nothing else, so ``ad-banner`` but not ``related-work``."""
-    found: set[str] = set()
+class Tag(NamedTuple):
+    start: int
+    end: int
+    name: str  # empty for comments and declarations
+    closing: bool
+    attrs: str
+    inner: tuple[int, int] | None  # what a raw element holds; it then ends with the closing tag
+
+
+def tags(page: str) -> Iterator[Tag]:
+    """The tags of a page. From a tag that nothing ends on, the rest is text."""
+    at, size, quoted = 0, len(page), True
+    while (start := page.find("<", at)) >= 0:
+        for opener, closer in (("<!--", "-->"), ("<![CDATA[", "]]>")):
+            if page.startswith(opener, start):
+                end = page.find(closer, start + len(opener))
+                at = end + len(closer) if end >= 0 else size
+                yield Tag(start, at, "", False, "", None)
+                break
+        else:
+            closing = page.startswith("/", start + 1)
+            name = _NAME.match(page, start + 1 + closing)
+            if not name and page[start + 1 : start + 2] not in ("!", "?"):
+                at = start + 1
+                continue
+            end = _tag_end(page, name.end()) if name and quoted else -1
+            if end < 0:
+                # Quotes that do not close: from here on a tag ends at the first bracket.
+                quoted = quoted and not name
+                end = page.find(">", start)
+            if end < 0:
+                return
+            at = end + 1
+            tag, attrs = (name[0].lower(), page[name.end() : end]) if name else ("", "")
+            inner = None
+            if tag in RAW and not closing and not attrs.endswith("/"):
+                stop = _CLOSERS[tag].search(page, at)
+                inner = (at, stop.start() if stop else size)
+                at = (page.find(">", stop.end()) + 1 if stop else 0) or size
+            yield Tag(start, at, tag, closing, attrs, inner)
+
+
+def _tag_end(page: str, at: int) -> int:
+    while m := _STOP.search(page, at):
+        if not m[1]:
+            return m.start()
+        at = page.find(m[1], m.end()) + 1
+        if not at:
+            return -1
+    return -1
+
+
+def attributes(attrs: str) -> Iterator[tuple[str, str]]:
     for name, a, b, c in _ATTR.findall(attrs):
-        if name.lower() in (("class", "id", "role") if ids else ("class", "role")):
-            for word in re.split(r"\s+", a or b or c):
-                parts = {x for x in _PARTS.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", word).lower()) if x}
-                if not whole or parts <= NOT_CONTENT:
-                    found |= parts
-    return found
+        yield name.lower(), a or b or c
+
 
+def _named(attrs: str, names: frozenset[str], ids: bool = True) -> bool:
+    """Whether class, id or role has one of the names, alone or with neutral words."""
+    for name, value in attributes(attrs):
+        if name in (("class", "id", "role") if ids else ("class", "role")):
+            for word in value.split():
+                parts = {x for x in _PARTS.split(_CAMEL.sub("-", word).lower()) if x and not x[0].isdigit()}
+                if parts & names and parts <= names | NEUTRAL:
+                    return True
+    return False
 
-def _dropped(tag: str, attrs: str, in_article: bool) -> bool:
+
+def _boilerplate(tag: str, attrs: str, in_article: bool, paragraphs: bool = True) -> bool:
     if tag in DROPPED:
         return True
     if tag in ("html", "body"):
@@ -73,78 +147,94 @@ def _dropped(tag: str, attrs: str, in_article: bool) -> bool:
         return not in_article
     if not attrs:
         return False
-    if re.search(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none", attrs, re.I):
+    if _HIDDEN.search(attrs):
         return True
     if tag in ("article", "main"):
-        return bool(_marks(attrs) & READERS)
+        return _named(attrs, READERS)
     if in_article:
-        return bool(_marks(attrs, whole=True, ids=tag not in NAMED_BY_TEXT) & (NOT_CONTENT - {"header"}))
-    return bool(_marks(attrs) & NOT_CONTENT)
+        return _named(attrs, NOT_ARTICLE if paragraphs or tag in PARAGRAPHS else NOT_CONTENT - {"header"}, ids=tag not in NAMED_BY_TEXT)
+    return _named(attrs, NOT_CONTENT)
+
 
+class Line(NamedTuple):
+    text: str
+    kept: bool  # in no boilerplate
+    inside: bool  # in a marked article
+    place: int  # the event at which it ends
+    plain: int  # characters outside links
 
-def _blocks(page: str) -> tuple[list[tuple[str, bool, bool, int]], list[tuple[int, int]]]:
-    """(text, kept, in article, place) for each block of text, and (a, b) for each block element: it holds the places over a, up to b."""
+
+def _blocks(page: str) -> tuple[list[Line], list[tuple[int, int]]]:
+    """The lines, and (a, b) for each block element but the whole page: it holds the places over a, up to b."""
     # First the elements and where each ends, as tags may be left open.
     events: list[tuple[int, int, str, int, bool]] = []  # start, end, tag, element it opens or closes, opens
     closes: dict[int, int] = {}  # element (its event) -> event that ends it
     implied: set[int] = set()
     stack: list[tuple[str, int]] = []
+    open_tags: dict[str, int] = {}
     attrs_of: dict[int, str] = {}
-    at, size = 0, len(page)
 
     def end(depth: int, event: int) -> None:
         while len(stack) > depth:
-            closes[stack[-1][1]] = event
-            stack.pop()
+            tag, element = stack.pop()
+            closes[element] = event
+            open_tags[tag] -= 1
 
-    while m := _TOKEN.search(page, at):
-        at = m.end()
-        name = m[2] or m[5]
+    for start, at, tag, closing, attrs, inner in tags(page):
         n = len(events)
-        if not name:
-            events.append((m.start(), at, "", -1, False))
+        if not tag or inner:
+            events.append((start, at, "", -1, False))
             continue
-        tag, closing, attrs = name.lower(), m[1] or m[4], m[3] or m[6] or ""
         if closing:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
-            if depth >= 0:
-                implied.update(e for _, e in stack[depth + 1 :])
+            if open_tags.get(tag):
+                depth = len(stack) - 1
+                while stack[depth][0] != tag:
+                    implied.add(stack[depth][1])
+                    depth -= 1
                 end(depth, n)
-            events.append((m.start(), at, tag, -1, False))
+            events.append((start, at, tag, -1, False))
             continue
         while stack and tag in ENDED_BY.get(stack[-1][0], ()):
             end(len(stack) - 1, n)
-        if tag in RAW and not attrs.endswith("/"):
-            stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
-            stop_at = page.find(">", stop.end()) + 1 if stop else size
-            at = stop_at or size
-            events.append((m.start(), at, "", -1, False))
-            continue
-        events.append((m.start(), at, tag, n, True))
+        events.append((start, at, tag, n, True))
         if tag not in VOID and not (attrs.endswith("/") and tag not in BLOCKS):
             attrs_of[n] = attrs
             stack.append((tag, n))
+            open_tags[tag] = open_tags.get(tag, 0) + 1
     implied.update(e for _, e in stack)
     end(0, len(events))
-    out: list[tuple[str, bool, bool, int]] = []
+    # For each event the next that opens a paragraph.
+    following = [len(events)] * (len(events) + 1)
+    for i in range(len(events) - 1, -1, -1):
+        following[i] = i if events[i][4] and events[i][2] in PARAGRAPHS else following[i + 1]
+    out: list[Line] = []
     text: list[str] = []
-    dropped_to, article_to, at = -1, -1, 0
+    plain: list[str] = []
+    dropped_to, article_to, link_to, at = -1, -1, -1, 0
 
     def flush(event: int) -> None:
         if got := " ".join(html.unescape("".join(text)).split()):
-            out.append((got, event > dropped_to, event <= article_to, event))
+            out.append(Line(got, event > dropped_to, event <= article_to, event, sum(map(len, html.unescape("".join(plain)).split()))))
         text.clear()
+        plain.clear()
+
+    def add(i: int, part: str) -> None:
+        text.append(part)
+        if i > link_to:
+            plain.append(part)
 
     for i, (start, stop, tag, element, opens) in enumerate(events):
-        text.append(page[at:start])
+        add(i, page[at:start])
         at = stop
         if not tag:
             continue
         if tag == "br":
-            text.append(" ")
+            add(i, " ")
+        if tag == "a" and element in attrs_of:
+            link_to = max(link_to, closes[element])
         if tag not in BLOCKS and element not in attrs_of and i not in (dropped_to, article_to):
             continue
-        drops = opens and element in attrs_of and i > dropped_to and _dropped(tag, attrs_of[element], i <= article_to)
+        drops = opens and element in attrs_of and i > dropped_to and _boilerplate(tag, attrs_of[element], i <= article_to, following[i + 1] < closes[element])
         if tag in BLOCKS or drops or i in (dropped_to, article_to):
             flush(i)
         if not opens or element not in attrs_of:
@@ -152,13 +242,13 @@ def _blocks(page: str) -> tuple[list[tuple[str, bool, bool, int]], list[tuple[in
         if drops:
             dropped_to = closes[element]
             if element in implied:  # left open: it goes no farther than the article
-                marked = (j for j in range(i + 1, closes[element]) if events[j][4] and events[j][2] in ("article", "main") and not _dropped(events[j][2], attrs_of.get(j, ""), False))
+                marked = (j for j in range(i + 1, closes[element]) if events[j][4] and events[j][2] in ("article", "main") and not _boilerplate(events[j][2], attrs_of.get(j, ""), False))
                 dropped_to = next(marked, closes[element]) - 1
         elif tag in ("article", "main") and i > dropped_to and closes[element] > article_to:
             article_to = closes[element]
-    text.append(page[at:])
+    add(len(events), page[at:])
     flush(len(events))
-    return out, [(e, closes[e]) for e in attrs_of if events[e][2] in BLOCKS]
+    return out, [(e, closes[e]) for e in attrs_of if events[e][2] in BLOCKS and events[e][2] not in ("html", "body")]
 
 
 def lines(page: str) -> list[tuple[str, bool, bool]]:
@@ -166,18 +256,69 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
     return [found[:3] for found in _blocks(page)[0]]
 
 
-def main_lines(found: list[tuple[str, bool, bool, int]], blocks: list[tuple[int, int]], window: int = WINDOW, surge: int = SURGE) -> list[str]:
-    """The lines of the marked article, or else those from the surge of the window sums on and those beside them."""
-    kept = [(text, inside, place) for text, keep, inside, place in found if keep]
-    if any(inside for _, inside, _ in kept):
-        return [text for text, inside, _ in kept if inside]
-    lengths = [len(text) for text, _, _ in kept]
-    first = next((i for i in range(len(kept)) if sum(lengths[i : i + window]) > surge), 0)
-    if not first:
-        return [text for text, _, _ in kept]
-    begin, end = kept[first][2], kept[-1][2]
-    around = max(((a, b) for a, b in blocks if a < begin and end <= b), default=(-1, end))
-    return [text for i, (text, _, place) in enumerate(kept) if i >= first or place > around[0]]
+def surge_and_dive(weights: list[int], window: int = WINDOW, surge: int = SURGE) -> tuple[int, int] | None:
+    """The first line with weight from the first window over ``surge`` on, and the last up to the last such window; none if there is none."""
+    total, dense = sum(weights[:window]), []
+    for i in range(len(weights)):
+        if total > surge:
+            dense.append(i)
+        total += (weights[i + window] if i + window < len(weights) else 0) - weights[i]
+    if not dense:
+        return None
+    begin, end = dense[0], min(dense[-1] + window, len(weights)) - 1
+    while not weights[begin]:
+        begin += 1
+    while not weights[end]:
+        end -= 1
+    return begin, end
+
+
+def _valleys(weights: list[int], window: int) -> set[int]:
+    """Lines of runs without weight that fill a window."""
+    found: set[int] = set()
+    start = 0
+    for i in range(len(weights) + 1):
+        if i == len(weights) or weights[i]:
+            if i - start >= window:
+                found.update(range(start, i))
+            start = i + 1
+    return found
+
+
+def container(core: list[int], places: list[int], blocks: list[tuple[int, int]]) -> tuple[int, int] | None:
+    """The innermost block that holds the core lines and at least one more."""
+    first, last = places[core[0]], places[core[-1]]
+    for a, b in sorted(((a, b) for a, b in blocks if a < first and last <= b), reverse=True):
+        if bisect_right(places, b) - bisect_right(places, a) > core[-1] - core[0] + (len(core) == 1):
+            return a, b
+    return None
+
+
+def main_lines(found: list[Line], blocks: list[tuple[int, int]], window: int = WINDOW, surge: int = SURGE) -> list[str]:
+    """The lines between surge and dive, and those beside them that are text of the same container."""
+    marked = any(line.kept and line.inside for line in found)
+    own = [line for line in found if line.kept and (line.inside or not marked)]
+    weights = [len(line.text) if marked else line.plain for line in own]
+    if not (at := surge_and_dive(weights, window, surge)):
+        return [line.text for line in own]
+    begin, end = at
+    valleys = _valleys(weights, window)
+    core = [i for i in range(begin, end + 1) if weights[i] > surge] or [begin, end]
+    places = [line.place for line in own]
+    around = container(core, places, blocks)
+    out = []
+    for i, line in enumerate(own):
+        if marked:
+            stays = True
+        elif core[0] <= i <= core[-1]:
+            stays = i not in valleys
+        elif around:
+            stays = around[0] < line.place <= around[1] and weights[i] > 0
+        else:
+            stays = begin <= i <= end and i not in valleys
+        if stays:
+            out.append(line.text)
+    return out
 
 
 def extract_text(page: str | None) -> str:
@@ -187,7 +328,9 @@ def extract_text(page: str | None) -> str:
 def extract(pages: DataFrame, html_col: str = "html", out: str = "text") -> DataFrame:
     """Add ``out``, the main text of each page, from the whole html; null and empty pages give an empty text.
 
-    Other columns, ``out`` apart, stay as they are; repeated rows are kept.
+    Other columns, ``out`` apart, stay as they are; repeated rows are kept and
+    an empty table gives an empty one. A page of any length, however broken,
+    takes time in proportion to it.
     """
 
     @F.pandas_udf("string")
