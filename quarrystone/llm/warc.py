@@ -15,6 +15,7 @@ import hashlib
 import html as htmllib
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .html import lines
+from .html import attributes, lines, tags
 
 VERSION = "WARC/1.1"
 #: Namespace of derived record ids, a fixed value.
@@ -30,9 +31,10 @@ NAMESPACE = uuid.UUID("6f2d1c1e-9a53-5b0c-8d57-0f6f1f7f5a11")
 #: The date of records made from pages, which have none.
 DATE = "2024-01-01T00:00:00Z"
 SCHEMA = "warc_type string, record_id string, refers_to string, target_uri string, headers map<string,string>, block binary"
-_TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.I | re.S)
-_LANG = re.compile(r"<html[^>]*\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
-_LINK = re.compile(r"<a\s[^>]*\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_VERSION = re.compile(rb"WARC/\d+\.\d+\r\n")
+#: Bytes of gzip that are unpacked at a time, and of a record's headers at most.
+_PIECE = 1 << 20
+_HEADER_BYTES = 1 << 20
 
 
 def digest(block: bytes) -> str:
@@ -45,10 +47,28 @@ def record_id(*name: str) -> str:
 
 def plain_text(page: str) -> str:
     """All text of the body, a block a line; scripts, styles and the head are no text."""
-    head_end = re.search(r"</head\s*>|<body\b", page, re.I)
+    head_end = re.search(r"</head\s*+>|<body\b", page, re.I)
     return "\n".join(text for text, _, _ in lines(page[head_end.start() :] if head_end else page))
 
 
+def _clean(text: str) -> str:
+    return " ".join(htmllib.unescape(text).split())
+
+
+def about_page(page: str) -> list[tuple[str, str]]:
+    """Title, language and links of a page, as far as it has them."""
+    title = lang = None
+    links = []
+    for tag in tags(page):
+        if tag.name == "title" and tag.inner and title is None:
+            title = _clean(page[slice(*tag.inner)])
+        elif tag.name == "html" and not tag.closing and lang is None:
+            lang = next((v for k, v in attributes(tag.attrs) if k == "lang"), None)
+        elif tag.name == "a" and not tag.closing:
+            links += [("outlink", _clean(v)) for k, v in attributes(tag.attrs) if k == "href"][:1]
+    return [("title", title)] * (title is not None) + [("language", lang)] * bool(lang) + links
+
+
 def response(key: str, uri: str | None, page: str | None, date: str = DATE) -> dict:
     """A response record for a fetched page."""
     payload = (page or "").encode("utf-8", "replace")
@@ -84,12 +104,9 @@ def derive(headers: dict[str, str], block: bytes) -> list[dict]:
         page = body.decode("utf-8", "replace")
     source, kept = headers.get("WARC-Record-ID", ""), {k: headers[k] for k in ("WARC-Target-URI", "WARC-Date") if headers.get(k) is not None}
     payload_digest = headers.get("WARC-Payload-Digest") or digest(body)
-    title, lang = _TITLE.search(page), _LANG.search(page)
     about = [("source-record-id", source), ("source-payload-digest", payload_digest), ("source-block-digest", headers.get("WARC-Block-Digest") or digest(block or b"")), ("source-content-length", str(len(body)))]
     about += [(f"source-header-{k.lower()}", v) for k, v in fields]
-    about += [("title", " ".join(htmllib.unescape(title[1]).split()))] if title else []
-    about += [("language", lang[1])] if lang else []
-    about += [("outlink", " ".join(htmllib.unescape(a or b or c).split())) for a, b, c in _LINK.findall(page)]
+    about += about_page(page)
     blocks = {"metadata": ("application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in about).encode()), "conversion": ("text/plain; charset=utf-8", plain_text(page).encode())}
     out = []
     for warc_type, (content_type, own) in blocks.items():
@@ -107,20 +124,80 @@ def serialise(headers: dict[str, str], block: bytes) -> bytes:
     return ("\r\n".join(lines_) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
 
 
+def unpacked(data: bytes) -> Iterator[bytes]:
+    """A file's bytes piece by piece, unpacked if it is gzip (one member or many); a damaged member ends there, the next goes on."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    view, at = memoryview(data), 0
+    while at >= 0:
+        member = zlib.decompressobj(31)
+        begin, used = at, at
+        try:
+            while not member.eof and used < len(data):
+                piece = member.decompress(view[used : used + _PIECE])
+                used += _PIECE
+                yield piece
+                while member.unconsumed_tail:
+                    yield member.decompress(member.unconsumed_tail)
+            at = min(used, len(data)) - len(member.unused_data) if member.eof else len(data)
+        except zlib.error:
+            at = begin + 2
+        at = data.find(b"\x1f\x8b\x08", at)
+
+
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """The records of a WARC file, plain or gzipped (one member or many)."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while (start := data.find(b"WARC/", at)) >= 0:
-        end = data.index(b"\r\n\r\n", start)
+    """The whole records of a WARC file, plain or gzipped."""
+    return ((headers, block) for headers, block, error in read(data) if error is None)
+
+
+def read(data: bytes) -> Iterator[tuple[dict[str, str], bytes, str | None]]:
+    """(headers, block, error) of the records of a WARC file; what is damaged is reported, and the next record looked for.
+
+    Errors are headers that do not end or are too long, a length that is no
+    number, and a block that is cut off, of which what is there is given.
+    """
+    pieces, buffer, more = unpacked(data), bytearray(), True
+
+    def have(n: int) -> bool:
+        nonlocal more
+        while more and len(buffer) < n:
+            piece = next(pieces, None)
+            more = piece is not None
+            buffer.extend(piece or b"")
+        return len(buffer) >= n
+
+    while True:
+        start = buffer.find(b"WARC/")
+        if start < 0:
+            del buffer[: max(0, len(buffer) - 4)]
+            if not have(len(buffer) + 1):
+                return
+            continue
+        del buffer[:start]
+        while (end := buffer.find(b"\r\n\r\n")) < 0 and len(buffer) < _HEADER_BYTES and have(len(buffer) + 1):
+            pass
+        again = [m.start() for m in _VERSION.finditer(buffer, 5, max(end, 0))]
+        if end < 0 or again:
+            yield {}, b"", "headers do not end"
+            del buffer[: again[-1] if again else 5]
+            continue
         headers = {}
-        for line in data[start:end].decode("utf-8", "replace").split("\r\n")[1:]:
+        for line in buffer[:end].decode("utf-8", "replace").split("\r\n")[1:]:
             k, _, v = line.partition(":")
             headers[k.strip()] = v.strip()
-        size = int(headers.get("Content-Length", 0))
-        yield headers, data[end + 4 : end + 4 + size]
-        at = end + 4 + size
+        length = headers.get("Content-Length", "0")
+        if not (length.isascii() and length.isdigit()):
+            yield headers, b"", "the length is no number"
+            del buffer[:5]
+            continue
+        size = int(length)
+        whole = have(end + 4 + size)
+        block = bytes(buffer[end + 4 : end + 4 + size])
+        # A block that holds the beginning of another record was cut off before that.
+        cut = -1 if whole else block.find(b"\r\n\r\nWARC/")
+        yield headers, block if cut < 0 else block[:cut], None if whole else "the block is cut off"
+        del buffer[: end + 4 + (size if cut < 0 else cut)]
 
 
 def _rows(made: list[tuple[tuple, dict]], keep: list[str]) -> pd.DataFrame:
@@ -166,23 +243,28 @@ def derive_pages(pages: DataFrame, key_col: str = "page_id", url_col: str = "url
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(headers, block) of all records of the WARC files at ``path``; a file is read whole by one task."""
+    """(path, headers, block, error) of all records of the WARC files at ``path``; error is null for whole records.
+
+    A file is one task's work, as a gzip file cannot be entered in the middle;
+    of what it unpacks to, a record at a time is held. Damaged records are
+    rows with an error, and the others of their file are read.
+    """
 
     def records(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for data in frame["content"]:
-                for h, b in parse(bytes(data)):
-                    yield pd.DataFrame({"headers": [h], "block": [b]})
+            for name, data in zip(frame["path"], frame["content"], strict=True):
+                for h, b, error in read(bytes(data)):
+                    yield pd.DataFrame({"path": [name], "headers": [h], "block": [b], "error": [error]})
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(records, "headers map<string,string>, block binary")
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(records, "path string, headers map<string,string>, block binary, error string")
 
 
 def to_warc(records: DataFrame) -> DataFrame:
-    """(record_id, record): each record's bytes as a gzip member; members can be joined in any order to a WARC file."""
+    """(record_id, record): each record's bytes as a gzip member; members can be joined in any order to a WARC file. Null headers are none, a null block is empty."""
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            got = [gzip.compress(serialise(dict(h), bytes(b)), mtime=0) for h, b in zip(frame["headers"], frame["block"], strict=True)]
+            got = [gzip.compress(serialise(dict(h or {}), bytes(b) if b is not None else b""), mtime=0) for h, b in zip(frame["headers"], frame["block"], strict=True)]
             yield pd.DataFrame({"record_id": frame["record_id"], "record": got})
 
     return records.select("record_id", "headers", "block").mapInPandas(pack, "record_id string, record binary")
