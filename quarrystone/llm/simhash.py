@@ -5,16 +5,17 @@ fingerprints. Two fingerprints that differ in ``d`` bits differ by at most
 ``d`` in every coordinate, so a pair with a larger coordinate difference is
 discarded unseen, and the survivors are verified bit by bit.
 
-The references are a base and the base with one small block of bits flipped
-each. The difference of the base's coordinate and a block's tells the distance
-inside that block alone, and at most two blocks can change between fingerprints
-that differ in two bits: of four groups of blocks, two agree in every
-coordinate. Candidates are joined on those two groups (six choices), which is
-what makes the pivot table searchable without comparing all pairs.
-
-A cell with many members (a large group of near copies) is not paired at all:
-its members meet at the fingerprints one flip away, of which two within two
-bits share one. Such a meeting point has at most 65 members.
+The references are a base and the base with one bit flipped each. The
+difference of the base's coordinate and a bit's tells that bit's distance
+alone. Coordinates are joined in four groups, and as at most two bits differ,
+two groups agree in every coordinate: candidates share one of six pairs of
+groups, 32 bits, which is what makes the pivot table searchable without
+comparing all pairs.
+
+A cell with many members (a large group of near copies) is divided again in
+the same way: the coordinates that are not agreed on yet form four groups, two
+of which agree. Each time half of the rest is agreed on, until a cell has few
+members; with two coordinates left it has four at most.
 """
 
 from __future__ import annotations
@@ -29,9 +30,8 @@ from .common import SPACE_WORD, ascii_lower, columns, settle, stored, table, unu
 
 #: The base reference, a fixed value.
 BASE = 0x5851F42D4C957F2D
-BLOCK_BITS = 2
 GROUPS = 4
-#: Fingerprints of a cell that are compared in pairs; larger cells go by way of common neighbours.
+#: Fingerprints of a cell that are compared in pairs; larger cells are divided by further coordinates.
 CELL = 64
 #: Shingles for each partial count, so that a 16-bit lane cannot overflow into the sign.
 CHUNK = 32767
@@ -58,8 +58,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def pivots() -> list[int]:
-    block = (1 << BLOCK_BITS) - 1
-    return [BASE, *[BASE ^ (block << i) for i in range(0, 64, BLOCK_BITS)]]
+    return [BASE, *[BASE ^ (1 << i) for i in range(64)]]
 
 
 def distances(fp: Column) -> Column:
@@ -67,51 +66,48 @@ def distances(fp: Column) -> Column:
     return F.array(*[F.bit_count(fp.bitwiseXOR(F.lit(_long(p)))).cast("byte") for p in pivots()])
 
 
-def _cells(fps: DataFrame) -> DataFrame:
-    """(choice, key, fp, d): each fingerprint under the two groups of coordinates that may agree, for each choice."""
-    blocks = 64 // BLOCK_BITS
-    per = blocks // GROUPS
-    inside = [(F.get("d", F.lit(0)) - F.get("d", F.lit(i + 1)) + BLOCK_BITS).cast("long") for i in range(blocks)]  # twice the distance inside the block
+def _near(most: int) -> Column:
+    """The coordinates allow it, and the bits confirm it."""
+    apart = F.greatest(*[F.abs(F.get("a.d", F.lit(i)).cast("int") - F.get("b.d", F.lit(i)).cast("int")) for i in range(65)])
+    return (apart <= most) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= most)
 
-    def code(group: int) -> Column:
-        return functools.reduce(lambda a, b: a * (2 * BLOCK_BITS + 1) + b, inside[group * per : (group + 1) * per])
 
-    coded = fps.withColumn("d", distances(F.col("fp"))).select("fp", "d", *[code(g).alias(f"g{g}") for g in range(GROUPS)])
-    pairs = [F.struct(F.lit(n).alias("choice"), (F.col(f"g{a}") * 1_000_003_999 + F.col(f"g{b}")).alias("key")) for n, (a, b) in enumerate(itertools.combinations(range(GROUPS), 2))]
-    return coded.select("fp", "d", F.explode(F.array(*pairs)).alias("c")).select("c.choice", "c.key", "fp", "d")
+def _choices(rest: list[int]) -> list[list[int]]:
+    """The coordinates of each two of four groups."""
+    groups = [rest[i * len(rest) // GROUPS : (i + 1) * len(rest) // GROUPS] for i in range(GROUPS)]
+    return [a + b for a, b in itertools.combinations(groups, 2)]
 
 
-def _near(most: int) -> Column:
-    """The coordinates allow it, and the bits confirm it."""
-    apart = F.greatest(*[F.abs(F.get("a.d", F.lit(i)).cast("int") - F.get("b.d", F.lit(i)).cast("int")) for i in range(64 // BLOCK_BITS + 1)])
-    return (apart <= most) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= most)
+def _flags(places: list[int]) -> Column:
+    """For each of the places a bit: whether the fingerprint differs from the base there, by its coordinates."""
+    bits = [F.when(F.get("d", F.lit(0)) > F.get("d", F.lit(i + 1)), F.lit(_long(1 << i))).otherwise(F.lit(0).cast("long")) for i in places]
+    return functools.reduce(lambda a, b: a.bitwiseOR(b), bits)
 
 
 def links(fps: DataFrame, most: int = 2, cell: int = CELL) -> DataFrame:
-    """(src, dst), src < dst, over distinct fingerprints ``fp``: links that connect whatever is within ``most`` (1 or 2) bits.
-
-    Every link is within ``most`` bits. Inside cells of up to ``cell`` members
-    all are found; members of larger cells are linked through the least
-    member around each meeting point, which joins the same components.
-    """
+    """(src, dst), src < dst: all pairs of the distinct fingerprints ``fp`` that are within ``most`` (1 or 2) bits."""
     if most not in (1, 2):
         raise ValueError("the coordinate groups are laid out for one or two bits")
-    cells = _cells(fps)
-    size = settle(cells.groupBy("choice", "key").agg(F.count("*").alias("members")).where("members > 1"))
-    small = cells.join(size.where(F.col("members") <= cell).drop("members"), ["choice", "key"])
-    a, b = small.alias("a"), small.alias("b")
-    same = (F.col("a.choice") == F.col("b.choice")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp"))
-    found = a.join(b, same & _near(most)).select(F.col("a.fp").alias("src"), F.col("b.fp").alias("dst"))
-    large = cells.select("choice", "key", "fp").join(size.where(F.col("members") > cell).drop("members"), ["choice", "key"], "left_semi").select("fp").distinct()
-    flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_long(1 << i))) for i in range(64)])
-    around = large.select("fp", F.explode(flips).alias("at"))
-    if most == 1:  # a fingerprint and its own neighbours only
-        around = large.select("fp", F.col("fp").alias("at")).union(around.join(large.select(F.col("fp").alias("at")), "at", "left_semi").select("fp", "at"))
-        stars = around.where("fp <> at").select(F.least("fp", "at").alias("src"), F.greatest("fp", "at").alias("dst"))
-    else:
-        least = around.groupBy("at").agg(F.min("fp").alias("src"), F.count("*").alias("k")).where("k > 1")
-        stars = around.join(least, "at").where("fp <> src").select("src", F.col("fp").alias("dst"))
-    return found.union(stars).distinct()
+    table = settle(fps.withColumn("d", distances(F.col("fp"))).select("fp", "d", _flags(list(range(64))).alias("flags")))
+    # What a cell agrees on: the coordinates (as a mask) and their values.
+    choices = [functools.reduce(lambda a, i: a | 1 << i, places, 0) for places in _choices(list(range(64)))]
+    cells = table.select("fp", "flags", F.explode(F.array(*[F.lit(_long(m)) for m in choices])).alias("mask")).withColumn("key", F.col("flags").bitwiseAND(F.col("mask")))
+    found, left = None, 32
+    while True:
+        size = settle(cells.groupBy("mask", "key").agg(F.count("*").alias("members")).where("members > 1"))
+        small = cells.join(size.where(F.col("members") <= (cell if left > 2 else 4)).drop("members"), ["mask", "key"]).join(table.select("fp", "d"), "fp")
+        a, b = small.alias("a"), small.alias("b")
+        same = (F.col("a.mask") == F.col("b.mask")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp"))
+        pairs = settle(a.join(b, same & _near(most)).select(F.col("a.fp").alias("src"), F.col("b.fp").alias("dst")).distinct())
+        found = pairs if found is None else found.union(pairs)
+        large = size.where(F.col("members") > cell).drop("members")
+        masks = [r["mask"] for r in large.select("mask").distinct().collect()] if left > 2 else []  # as many as there are choices
+        if not masks:
+            return found.distinct()
+        divided = {m: [_long(m & (1 << 64) - 1 | functools.reduce(lambda x, i: x | 1 << i, p, 0)) for p in _choices([i for i in range(64) if not m >> i & 1])] for m in masks}
+        finer = F.create_map(*itertools.chain.from_iterable((F.lit(m), F.array(*[F.lit(x) for x in parts])) for m, parts in divided.items()))
+        cells = settle(cells.join(large, ["mask", "key"]).select("fp", "flags", F.explode(F.element_at(finer, F.col("mask"))).alias("mask")).distinct().withColumn("key", F.col("flags").bitwiseAND(F.col("mask"))))
+        left //= 2
 
 
 def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
