@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import chain
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,13 +23,12 @@ def numbered(df: DataFrame, order: list[str | Column], out: str = ROW_ID) -> Dat
 
 def placed(df: DataFrame, out: str) -> DataFrame:
     """Add the 0-based place of each row in the order that ``df`` has."""
-    marked = settle(df).withColumn("__m", F.monotonically_increasing_id())
-    counts = marked.groupBy(F.shiftright("__m", 33).alias("part")).count().orderBy("part").collect()
+    marked = settle(df).withColumn("__m", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__m", 33))
+    counts = marked.groupBy("__part").count().orderBy("__part").collect()
     begin, offsets = 0, []
     for r in counts:
-        offsets.append((F.lit(r["part"]), F.lit(begin).cast("long")))
+        offsets.append((r["__part"], begin))
         begin += r["count"]
-    if not offsets:
-        return marked.select(*df.columns, F.lit(0).cast("long").alias(out))
-    shift = F.element_at(F.create_map(*chain.from_iterable(offsets)), F.shiftright("__m", 33))
-    return marked.select(*df.columns, (F.col("__m").bitwiseAND(F.lit(_PLACE)) + shift).alias(out))
+    # A row for each partition, so the table is small whatever the input.
+    shift = F.broadcast(df.sparkSession.createDataFrame(offsets, "__part long, __shift long"))
+    return marked.join(shift, "__part").select(*df.columns, (F.col("__m").bitwiseAND(F.lit(_PLACE)) + F.col("__shift")).alias(out))
