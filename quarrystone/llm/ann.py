@@ -5,7 +5,8 @@ random projection and shift, and ordered along a Hilbert curve. Spark sorts
 each order by range partitioning; a query looks at the vectors within a window
 of ranks on every curve, and the windows are merged and reranked by the exact
 cosine. The half-width of the windows is the smallest that finds enough true
-neighbours for a bounded sample of queries. Every vector is in every order.
+neighbours for a bounded sample of queries. Every vector is in every order,
+and is compared in full where a window meets it.
 
 Equal vectors are one entry with the few smallest ids it can ever contribute,
 so ties and large groups of copies cost nothing.
@@ -14,7 +15,6 @@ so ties and large groups of copies cost nothing.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -23,12 +23,12 @@ from pyspark.sql import functions as F
 
 from .common import settle, table
 
-CURVES = 8
+CURVES = 16
 #: Dimensions of a projection and bits of each; their product fits a signed 64-bit key.
-PROJECTED, BITS = 6, 10
+PROJECTED, BITS = 10, 6
 #: Queries on which the window is fitted, at most, and the share of true neighbours it must reach there.
 FIT_QUERIES = 64
-FIT_RECALL = 0.97
+FIT_RECALL = 0.95
 #: Vectors of a block, within which queries and vectors are multiplied; queries that meet a block in one task at most.
 BLOCK = 2048
 QUERY_CHUNK = 20_000
@@ -118,7 +118,9 @@ def _true_best(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int
 
 def distinct_vectors(vectors: DataFrame, id_col: str, vector_col: str, k: int) -> tuple[DataFrame, DataFrame]:
     """(valid rows, entries): (id, h, v), and for each different vector (vid, h, v, ids): its least id and the k + 1 least."""
-    v = F.col(vector_col).cast("array<double>")
+    v = F.col(vector_col)
+    if dict(vectors.dtypes)[vector_col] not in ("array<float>", "array<double>"):
+        v = v.cast("array<double>")
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull())
     rows = rows.where(~F.exists("v", bad) & F.exists("v", lambda x: x != 0)).select("id", F.xxhash64("v").alias("h"), "v")
@@ -149,11 +151,10 @@ def curve_ranks(entries: DataFrame, curves: int) -> DataFrame:
         offsets[(r["part"], r["curve"])] = seen[r["curve"]] - begun.get(r["part"], 0)
         begun[r["part"]] = begun.get(r["part"], 0) + r["n"]
         seen[r["curve"]] += r["n"]
-    if not offsets:
-        return numbered.select("curve", "vid", F.lit(0).cast("long").alias("rank"))
-    shift = F.create_map(*chain.from_iterable((F.lit(p * curves + c), F.lit(o).cast("long")) for (p, c), o in offsets.items()))
+    shift = entries.sparkSession.createDataFrame([(p, c, o) for (p, c), o in offsets.items()], "part long, curve int, shift long")
     place = F.col("m").bitwiseAND(F.lit((1 << 33) - 1))
-    return settle(numbered.select("curve", "vid", (place + F.element_at(shift, F.shiftright("m", 33) * curves + F.col("curve"))).alias("rank")))
+    placed = numbered.withColumn("part", F.shiftright("m", 33)).join(F.broadcast(shift), ["part", "curve"])
+    return settle(placed.select("curve", "vid", (place + F.col("shift")).alias("rank")))
 
 
 def fitted_width(entries: DataFrame, ranks: DataFrame, asked: DataFrame, k: int, sample: int = FIT_QUERIES, recall: float = FIT_RECALL) -> int:
@@ -199,7 +200,7 @@ def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str
     # A block is at most a quarter of a window wide, but no smaller than is worth a multiplication.
     block = max(min(block, width // 4), 128)
     chunks = max(1, -(-(2 * width + block) // (block * QUERY_CHUNK)), -(-asked.count() // (QUERY_CHUNK * 64)))
-    placed = ranks.join(entries.select("vid", F.col("v").cast("array<double>").alias("v"), "ids"), "vid")
+    placed = ranks.join(entries.select("vid", "v", "ids"), "vid")
     placed = placed.select("curve", F.floor(F.col("rank") / block).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "vid", "v", "ids")
     seen = F.sequence(F.floor(F.greatest(F.col("rank") - width, F.lit(0)) / block), F.floor((F.col("rank") + width) / block))
     looks = ranks.join(asked, "vid").select(F.col("curve").alias("curve2"), F.explode(seen).alias("block2"), F.pmod(F.xxhash64("vid"), F.lit(chunks)).cast("int").alias("chunk2"), F.col("vid").alias("q"), F.col("v").alias("qv"))

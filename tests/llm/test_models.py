@@ -140,3 +140,44 @@ def test_op6_grades_like_its_model(spark, sf_dir):
         t1, t2 = (1 / (1 + math.exp(-(s - c))) for c in model.thresholds)
         assert (r["p_not_toxic"], r["p_good"], r["expected_grade"]) == pytest.approx((t1, t2, t1 + t2), abs=1e-9)
         assert r["toxic"] == (r["p_not_toxic"] < quality.TOXIC_BELOW) and r["keep"] == (not r["toxic"] and r["p_good"] >= quality.KEPT_FROM)
+
+
+def test_ann_scores_few_rows_of_structured_vectors(spark, monkeypatch):
+    """Vectors near a curved surface of few dimensions: windows are narrow, and what they score is a small share of the table."""
+    from quarrystone.llm import ann
+
+    rng = np.random.default_rng(9)
+    n = 12_000
+    t = rng.random((n, 3)) * 3
+    v = np.hstack([np.sin(t @ rng.normal(0, 1, (3, 40)) + rng.random(40)), 0.01 * rng.standard_normal((n, 8))])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    widths = []
+    fitted = ann.fitted_width
+    monkeypatch.setattr(ann, "fitted_width", lambda *a: widths.append(fitted(*a)) or widths[-1])
+    rows = ann.search(df, F.col("id") % 200 == 0).collect()
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    hit = 0
+    for q in range(0, n, 200):
+        s = u @ u[q]
+        s[q] = -9
+        hit += len(set(np.argsort(-s)[:5].tolist()) & {r["vec_id"] for r in rows if r["query_id"] == q})
+    assert hit / (n / 200 * 5) >= 0.9
+    scored = ann.CURVES * (2 * widths[0] + 2 * 128)
+    assert widths[0] < 64 and scored < 0.6 * n
+
+
+def test_op7_recall_over_all_queries(spark, sf_dir):
+    rows = registry.queries()["op7_ann"](spark, sf_dir).collect()
+    data = {r["vec_id"]: r["embedding"] for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect() if r["embedding"] is not None and any(r["embedding"])}
+    ids = np.array(sorted(data))
+    u = np.array([data[i] for i in ids.tolist()], float)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    hit = total = 0
+    for q in ids[ids % 50 == 0].tolist():
+        s = u @ u[np.searchsorted(ids, q)]
+        s[np.searchsorted(ids, q)] = -9
+        want = ids[np.lexsort((ids, -s))[:5]]
+        got = [r for r in rows if r["query_id"] == q]
+        assert sorted(r["rank"] for r in got) == [1, 2, 3, 4, 5]
+        hit, total = hit + len(set(want.tolist()) & {r["vec_id"] for r in got}), total + 5
+    assert hit >= 0.9 * total
