@@ -24,8 +24,10 @@ MOST_ROUNDS = 10_000
 THRESHOLD = 0.5
 #: Scores this close to the threshold, by rounding or what is below the tolerance, count as at it and allow.
 TIE = 1e-6
-#: Hosts whose scores are broadcast to the pages; with more, the join shuffles and Spark splits a hot host.
+#: Hosts whose scores are broadcast, to links and to pages; with more, the joins shuffle.
 BROADCAST_HOSTS = 50_000
+#: Parts into which the links of a hub are dealt where scores are shuffled.
+SALTS = 32
 
 _LINK = r"""(?i)\bhref\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
 
@@ -70,10 +72,19 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, roun
     state = settle(start.select("host", (F.coalesce("seed", F.lit(0.0)) / mass).alias("seed"), F.col("sends").isNotNull().alias("sends")).withColumn("score", F.col("seed")))
     if not flow.limit(1).count():
         return state.select("host", "score")
+    small = state.count() <= BROADCAST_HOSTS
+    if not small:
+        flow = settle(flow.withColumn("salt", F.pmod(F.xxhash64("dst"), F.lit(SALTS))))
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+
+    def sent(state: DataFrame) -> DataFrame:
+        scores = state.select(F.col("host").alias("src"), "score")
+        return flow.join(F.broadcast(scores), "src") if small else flow.join(scores.withColumn("salt", salts), ["src", "salt"])
+
     unsent = F.sum(F.when(~F.col("sends"), F.col("score")))
     lost = state.agg(unsent).first()[0] or 0.0
     for _ in range(MOST_ROUNDS if rounds is None else rounds):
-        got = flow.join(state.select(F.col("host").alias("src"), "score"), "src").groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("w") * F.col("score")).alias("got"))
+        got = sent(state).groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("w") * F.col("score")).alias("got"))
         score = F.col("seed") * (1 - damping + damping * lost) + damping * F.coalesce("got", F.lit(0.0))
         new = settle(state.join(got, "host", "left").select("host", "seed", "sends", F.col("score").alias("old"), score.alias("score")))
         lost, moving = new.agg(unsent, F.max(F.abs(F.col("score") - F.col("old")) > tolerance * F.col("score"))).first()

@@ -265,6 +265,14 @@ def test_propagation_settles_at_production_damping(spark):
     assert {r["host"]: r["score"] for r in got.collect()} == pytest.approx(pagerank({"h0": 1.0}, edges, 0.85, 400), rel=1e-6, abs=0)
 
 
+def test_propagation_by_shuffling(spark, monkeypatch):
+    """As with broadcast scores, where a hub holds most links."""
+    monkeypatch.setattr(urlfilter, "BROADCAST_HOSTS", 0)
+    edges = [("hub", f"h{i}", 1.0) for i in range(60)] + [(f"h{i}", f"h{i + 1}", 2.0) for i in range(30)] + [("h5", "hub", 1.0)]
+    got = urlfilter.propagate(spark.createDataFrame([("h1", 1.0)], "host string, seed double"), spark.createDataFrame(edges, "src string, dst string, w double"), damping=0.5, rounds=12)
+    assert {r["host"]: r["score"] for r in got.collect()} == pytest.approx(pagerank({"h1": 1.0}, edges, 0.5, 12), rel=1e-9, abs=1e-12)
+
+
 def test_distrust_reaches_those_who_link_to_blocked_hosts(spark):
     link = lambda *hosts: "".join(f'<a href="http://{h}/">x</a>' for h in hosts)
     pages = [(1, "http://bad.com/en/1", ""), (2, "http://fan.info/1", link("bad.com")), (3, "http://good.net/de/1", link("friend.info")), (4, "http://friend.info/1", ""), (5, "http://other.info/1", "")]
