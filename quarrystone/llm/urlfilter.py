@@ -155,7 +155,7 @@ rounds(i, state) AS (
   UNION ALL
   SELECT i + 1, (SELECT map_from_entries(list((n.side || ' ' || n.host, n.seed * (0.15 + 0.85 * coalesce((SELECT sum(state[d.side || ' ' || d.host]) FROM init d WHERE d.side = n.side AND NOT d.sends), 0))
     + 0.85 * coalesce((SELECT sum(f.w * state[f.side || ' ' || f.src]) FROM flow f WHERE f.side = n.side AND f.dst = n.host), 0)))) FROM init n)
-  FROM rounds WHERE i < 40 AND EXISTS (SELECT 1 FROM flow)),
+  FROM rounds WHERE i < 200 AND EXISTS (SELECT 1 FROM flow)),
 final AS (SELECT arg_max(state, i) AS state FROM rounds),
 scores AS (SELECT host, sum(CASE WHEN side = 'allow' THEN v ELSE 0 END) AS trust, sum(CASE WHEN side = 'block' THEN v ELSE 0 END) AS distrust
   FROM (SELECT side, host, state[side || ' ' || host] * (SELECT sum(n) FROM start WHERE start.side = init.side) AS v FROM init, final) AS x GROUP BY host)
