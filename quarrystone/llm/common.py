@@ -8,9 +8,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir, settle
+from ..session import checkpoint_dir, delete, settle
 
-__all__ = ["ALNUM_WORD", "SPACE_WORD", "ascii_lower", "bounded_broadcast", "checkpoint_dir", "columns", "digest", "settle", "sampled_texts", "smallest", "stored", "table", "unused", "words"]
+__all__ = ["ALNUM_WORD", "SPACE_WORD", "ascii_lower", "bounded_broadcast", "checkpoint_dir", "columns", "delete", "digest", "settle", "sampled_texts", "smallest", "stored", "table", "unused", "words"]
 
 #: Words of ASCII letters and digits and of anything beyond ASCII, in text whose A-Z are lower-cased.
 ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
