@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..names import ACTIVE, ROW_ID, next_power_of_two
-from .rows import numbered
+from .rows import placed_and_counted
 from .types import DECIMAL
 
 
@@ -61,8 +61,14 @@ def drop_null_rows(df: DataFrame) -> DataFrame:
 
 def add_row_id(df: DataFrame, key: list[str] | None = None) -> DataFrame:
     """Number the rows from 0 by ``key``, then by all other columns, nulls first."""
+    return row_ids(df, key)[0]
+
+
+def row_ids(df: DataFrame, key: list[str] | None = None) -> tuple[DataFrame, int]:
+    """The numbered rows and how many they are."""
     rest = [c for c in df.columns if c not in (key or [])]
-    return numbered(df, [F.col(f"`{c}`").asc_nulls_first() for c in [*(key or []), *rest]])
+    order = [F.col(f"`{c}`").asc_nulls_first() for c in [*(key or []), *rest]]
+    return placed_and_counted(df.repartitionByRange(*order).sortWithinPartitions(*order), ROW_ID)
 
 
 def add_mask(df: DataFrame) -> DataFrame:
@@ -89,4 +95,5 @@ def preprocess(df: DataFrame, key: list[str] | None = None, without_nulls: bool
     out = decimalize(out)
     if without_nulls:
         out = drop_null_rows(out)
-    return pad_pow2(add_mask(add_row_id(out, key)))
+    ids, n = row_ids(out, key)
+    return pad_pow2(add_mask(ids), n)

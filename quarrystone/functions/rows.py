@@ -23,6 +23,11 @@ def numbered(df: DataFrame, order: list[str | Column], out: str = ROW_ID) -> Dat
 
 def placed(df: DataFrame, out: str) -> DataFrame:
     """Add the 0-based place of each row in the order that ``df`` has."""
+    return placed_and_counted(df, out)[0]
+
+
+def placed_and_counted(df: DataFrame, out: str) -> tuple[DataFrame, int]:
+    """The same, and how many rows there are, which numbering them tells."""
     marked = settle(df).withColumn("__m", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__m", 33))
     counts = marked.groupBy("__part").count().orderBy("__part").collect()
     begin, offsets = 0, []
@@ -31,4 +36,4 @@ def placed(df: DataFrame, out: str) -> DataFrame:
         begin += r["count"]
     # A row for each partition, so the table is small whatever the input.
     shift = F.broadcast(df.sparkSession.createDataFrame(offsets, "__part long, __shift long"))
-    return marked.join(shift, "__part").select(*df.columns, (F.col("__m").bitwiseAND(F.lit(_PLACE)) + F.col("__shift")).alias(out))
+    return marked.join(shift, "__part").select(*df.columns, (F.col("__m").bitwiseAND(F.lit(_PLACE)) + F.col("__shift")).alias(out)), begin

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rows import numbered
 from ..names import ACTIVE, ROW_ID
 
 
@@ -28,16 +29,22 @@ def filter_check(before: DataFrame, after: DataFrame, predicate: Column) -> Data
     return expected.join(after.select(ROW_ID, F.col(ACTIVE).alias("got")), ROW_ID, "full").where(~F.col("want").eqNullSafe(F.col("got")))
 
 
+def _by_id(a: DataFrame, b: DataFrame, columns: list[str], wrong) -> DataFrame:
+    """Rows of both under one id that are ``wrong`` together, and those of either without a partner."""
+    x, y = a.select(ROW_ID, *columns).withColumn("__a", F.lit(True)).alias("a"), b.select(ROW_ID, *columns).withColumn("__b", F.lit(True)).alias("b")
+    joined = x.join(y, F.col(f"a.{ROW_ID}").eqNullSafe(F.col(f"b.{ROW_ID}")), "full")
+    alone = F.col("__a").isNull() | F.col("__b").isNull()
+    return joined.where(alone | wrong(_same("a", "b", columns))).select(F.coalesce(f"a.{ROW_ID}", f"b.{ROW_ID}").alias(ROW_ID), *[F.col(f"a.`{c}`") for c in columns])
+
+
 def equal(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows of one id agree in all columns."""
-    x, y = a.alias("a"), b.alias("b")
-    return x.join(y, F.col(f"a.{ROW_ID}") == F.col(f"b.{ROW_ID}")).where(~_same("a", "b", columns)).select("a.*")
+    """Both have the same ids, and rows of one id agree in all columns."""
+    return _by_id(a, b, columns, lambda same: ~same)
 
 
 def unequal(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows of one id differ in some column."""
-    x, y = a.alias("a"), b.alias("b")
-    return x.join(y, F.col(f"a.{ROW_ID}") == F.col(f"b.{ROW_ID}")).where(_same("a", "b", columns)).select("a.*")
+    """Both have the same ids, and rows of one id differ in some column."""
+    return _by_id(a, b, columns, lambda same: same)
 
 
 def boolean(df: DataFrame, column: str) -> DataFrame:
@@ -96,20 +103,30 @@ def cyclic_shift(left: DataFrame, right: DataFrame, n: int, columns: list[str],
     return prescribed_permutation(left, right, (F.col(ROW_ID) + by) % n, columns)
 
 
+def _neighbours(df: DataFrame, columns: list[str], position: str) -> tuple[DataFrame, DataFrame]:
+    """(position, x0, ...) and (y0, ...) of each row and the one after it, under the place ``__p`` of the former.
+
+    Positions may have gaps, as those of filtered tables do: rows are numbered
+    densely first. The next row is found by a join, so no task holds more
+    than its share.
+    """
+    rows = numbered(df.select(F.col(position).alias("__at"), *[F.col(c).alias(f"x{i}") for i, c in enumerate(columns)]), ["__at"], "__p")
+    after = rows.select((F.col("__p") - 1).alias("__p"), F.col("__at").alias("__next"), *[F.col(f"x{i}").alias(f"y{i}") for i in range(len(columns))])
+    return rows, after
+
+
 def sorted_rows(df: DataFrame, keys: list[tuple[str, bool]], strict: bool = False, position: str = ROW_ID) -> DataFrame:
     """Rows by ``position`` are in lexicographic order of (column, ascending), nulls lowest; ``strict`` forbids ties.
 
-    Each row is compared with the next, found by a join on its position, so no
-    task holds more than its share.
+    Gives the positions of rows that the next one should not follow.
     """
-    x = df.select(F.col(position).alias("__p"), *[F.col(c).alias(f"x{i}") for i, (c, _) in enumerate(keys)])
-    y = df.select((F.col(position) - 1).alias("__p"), *[F.col(c).alias(f"y{i}") for i, (c, _) in enumerate(keys)])
+    x, y = _neighbours(df, [c for c, _ in keys], position)
     wrong = F.lit(strict)
     for i, (_, ascending) in reversed(list(enumerate(keys))):
         a, b = F.col(f"x{i}"), F.col(f"y{i}")
         less = F.when(a.isNull(), b.isNotNull()).when(b.isNull(), False).otherwise(a < b)
         wrong = F.when(a.eqNullSafe(b), wrong).otherwise(~less if ascending else less)
-    return x.join(y, "__p").where(wrong).select(F.col("__p").alias(position))
+    return x.join(y, "__p").where(wrong).select(F.col("__at").alias(position))
 
 
 def no_duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -162,7 +179,8 @@ def folded(df: DataFrame, columns: list[str], out: str = "fold") -> DataFrame:
 
 
 def ties(df: DataFrame, keys: list[str], position: str = ROW_ID) -> DataFrame:
-    """Whether each row's keys equal those of the row before it inside the partition of its first key."""
-    before = Window.partitionBy(keys[0]).orderBy(position)
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lag(c).over(before)) for c in keys])
-    return df.withColumn("tie", F.coalesce(same & F.lag(position).over(before).isNotNull(), F.lit(False)))
+    """(position, keys, tie): whether each row's keys equal those of the row right before it."""
+    x, y = _neighbours(df, keys, position)
+    same = reduce(lambda a, b: a & b, [F.col(f"x{i}").eqNullSafe(F.col(f"y{i}")) for i in range(len(keys))])
+    told = x.join(y, "__p").select(F.col("__next").alias("__at"), same.alias("tie"))
+    return x.join(told, "__at", "left").select(F.col("__at").alias(position), *[F.col(f"x{i}").alias(c) for i, c in enumerate(keys)], F.coalesce("tie", F.lit(False)).alias("tie"))

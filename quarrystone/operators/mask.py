@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.prep import pad_pow2
 from ..functions.rows import numbered
 from ..names import ACTIVE, ROW_ID, SYSTEM, data_columns
-
+from .joinmode import MANY_TO_ONE, ONE_TO_MANY, ONE_TO_ONE, Keys, join_mode
 
 
 def compact(df: DataFrame) -> DataFrame:
@@ -34,10 +34,9 @@ def filter_rows(df: DataFrame, predicate: Column) -> DataFrame:
 
 def limit(df: DataFrame, n: int, offset: int = 0) -> DataFrame:
     """Of the active rows by row id keep those from ``offset`` on, ``n`` at most."""
-    window = df.where(F.col(ACTIVE)).select(ROW_ID).orderBy(ROW_ID).offset(offset).limit(n).agg(F.min(ROW_ID), F.max(ROW_ID)).first()
-    if window[0] is None:
-        return df.withColumn(ACTIVE, F.lit(False))
-    return df.withColumn(ACTIVE, F.col(ACTIVE) & F.col(ROW_ID).between(window[0], window[1]))
+    window = df.where(F.col(ACTIVE)).select(ROW_ID).orderBy(ROW_ID).offset(offset).limit(n).agg(F.min(ROW_ID).alias("__from"), F.max(ROW_ID).alias("__to"))
+    kept = F.col(ACTIVE) & F.coalesce(F.col(ROW_ID).between(F.col("__from"), F.col("__to")), F.lit(False))
+    return df.crossJoin(F.broadcast(window)).withColumn(ACTIVE, kept).select(*[f"`{c}`" for c in df.columns])  # one row
 
 
 def sort(df: DataFrame, *keys: Column) -> DataFrame:
@@ -92,6 +91,21 @@ def join_key(fk: DataFrame, pk: DataFrame, on: list[tuple[str, str]], checked: b
     return joined.select(*[f"l.`{c}`" for c in data_columns(fk.columns)], *[f"r.`{c}`" for c in data_columns(pk.columns)], ROW_ID, F.col("__on").alias(ACTIVE))
 
 
+def join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], left_keys: Keys, right_keys: Keys, how: str = "inner", checked: bool = True) -> DataFrame:
+    """Join as the declared keys allow: a side that refers to unique keys keeps its rows and ids, any other join makes new ones.
+
+    ``left_keys`` and ``right_keys`` say what is known of the sides, also
+    whether they are filtered. Columns come in the order left, right.
+    """
+    mode = join_mode(left_keys, right_keys, on, how)
+    if mode in (MANY_TO_ONE, ONE_TO_ONE):
+        return join_key(left, right, on, checked)
+    if mode == ONE_TO_MANY:
+        names = [f"`{c}`" for c in (*data_columns(left.columns), *data_columns(right.columns), *SYSTEM)]
+        return join_key(right, left, [(b, a) for a, b in on], checked).select(*names)
+    return join_many(left, right, on, how)
+
+
 def rematerialize(df: DataFrame) -> DataFrame:
     """The active rows alone, numbered anew in the order of their ids and padded to a power of two."""
     active = df.where(F.col(ACTIVE)).withColumnRenamed(ROW_ID, "__old")

@@ -20,6 +20,22 @@ def test_sorted(spark, t):
     assert [r[0] for r in checks.sorted_rows(nulls, [("k", True)]).collect()] == [1]
 
 
+def test_rows_without_a_partner_violate(t):
+    assert checks.holds(checks.equal(t, t, ["k", "v"])) and checks.holds(checks.unequal(t, t.withColumn("v", F.col("v") + 1), ["v"]))
+    assert [r[0] for r in checks.equal(t, t.where("k <> 3 or v <> 6"), ["k"]).collect()] == [6]
+    assert checks.unequal(t, t.limit(0), ["k"]).count() == 8 and checks.equal(t.limit(0), t, ["k"]).count() == 8
+
+
+def test_sorted_with_gaps(t):
+    apart = t.where(F.col(ROW_ID) % 3 == 0)
+    assert checks.holds(checks.sorted_rows(apart, [("v", True)])) and [r[0] for r in checks.sorted_rows(apart, [("v", False)]).orderBy(ROW_ID).collect()] == [0, 3]
+
+
+def test_ties_are_between_neighbours(spark):
+    df = spark.createDataFrame([(0, "a"), (2, "b"), (5, "a"), (7, "a"), (9, None), (11, None)], f"`{ROW_ID}` long, k string")
+    assert [r["tie"] for r in checks.ties(df, ["k"]).orderBy(ROW_ID).collect()] == [False, False, False, True, False, True]
+
+
 def test_multisets(t):
     twice = t.union(t)
     assert checks.holds(checks.permutation(t, t.orderBy(F.desc("v"))))
