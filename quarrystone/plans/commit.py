@@ -8,6 +8,7 @@ a succinct or hiding commitment.
 
 from __future__ import annotations
 
+import hashlib
 import json
 from dataclasses import asdict, dataclass, field
 
@@ -15,10 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.prep import add_mask, add_row_id
+from ..functions.prep import add_mask, row_ids
 from ..functions.types import require_committable
 from ..names import ACTIVE, ROW_ID, next_power_of_two
-from ..session import settle
 from ..sources.tables import stem
 
 #: Children of a node: the most rows, and then hashes, that one group gathers.
@@ -34,6 +34,7 @@ class Manifest:
     log_size: int
     root: str
     columns: dict[str, str] = field(default_factory=dict)
+    key: list[str] = field(default_factory=list)  # by which rows were numbered first
 
     def spark_schema(self) -> T.StructType:
         return T.StructType.fromJson(self.schema)
@@ -51,44 +52,62 @@ def _encoded(c: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("-"))
 
 
-def normalised(df: DataFrame, key: list[str] | None = None) -> DataFrame:
-    """With row id and mask, added if missing."""
-    if ROW_ID not in df.columns:
-        df = add_row_id(df, key)
-    return df if ACTIVE in df.columns else add_mask(df)
+def normalised(df: DataFrame, key: list[str] | None = None) -> tuple[DataFrame, int]:
+    """With row id and mask, added if missing, and how many rows there are."""
+    if ROW_ID in df.columns:
+        n = df.count()
+    else:
+        df, n = row_ids(df, key)
+    return (df if ACTIVE in df.columns else add_mask(df)), n
 
 
-def digests(df: DataFrame) -> dict[str, str]:
+def digests(df: DataFrame, rows: int | None = None) -> dict[str, str]:
     """The root hash of each column, by name, over all rows in the order of their ids."""
+    return _tree(df, df.count() if rows is None else rows)[0]
+
+
+def _tree(df: DataFrame, rows: int) -> tuple[dict[str, str], int]:
+    """The root hashes and how many rows are active, in one plan: as many levels as the rows need.
+
+    A group gathers its members once for all columns; members are ``FAN`` at most.
+    """
     columns = [c for c in df.columns if c != ROW_ID]
-    block = F.floor(F.col(ROW_ID) / FAN)
-    leaf = lambda c: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("at"), F.col(c).alias("h")))), lambda x: x["h"]), ""), 256).alias(c)
     names = {c: f"c{i}" for i, c in enumerate(columns)}
-    level = df.select(F.col(ROW_ID).alias("at"), block.alias("up"), *[F.sha2(_encoded(F.col(f"`{c}`")), 256).alias(n) for c, n in names.items()])
+    act = F.col(ACTIVE).cast("long") if ACTIVE in columns else F.lit(1).cast("long")
+    up = F.floor(F.col("at") / FAN)
+    level = df.select(F.col(ROW_ID).alias("at"), act.alias("active"), *[F.sha2(_encoded(F.col(f"`{c}`")), 256).alias(n) for c, n in names.items()])
+    left = rows
     while True:
-        level = settle(level.groupBy("up").agg(*[leaf(n) for n in names.values()]))
-        if level.limit(2).count() <= 1:
+        own = F.array_sort(F.collect_list(F.struct("at", *names.values())))
+        level = level.groupBy(up.alias("at")).agg(F.sum("active").alias("active"), own.alias("own"))
+        level = level.select("at", "active", *[F.sha2(F.array_join(F.col("own")[n], ""), 256).alias(n) for n in names.values()])
+        left = -(-left // FAN)
+        if left <= 1:
             break
-        level = level.select(F.col("up").alias("at"), F.floor(F.col("up") / FAN).alias("up"), *names.values())
     found = level.first()
-    return {c: (found[n] if found else "") for c, n in names.items()}
+    return {c: (found[n] if found else "") for c, n in names.items()}, found["active"] if found else 0
 
 
 def commit(df: DataFrame, table: str, key: list[str] | None = None) -> Manifest:
     """The manifest of a table; nested columns are refused."""
     require_committable(df.schema)
-    full = normalised(df, key)
-    counts = full.agg(F.count("*").alias("n"), F.count(F.when(F.col(ACTIVE), 1)).alias("a")).first()
-    columns = digests(full)
-    spark = df.sparkSession
-    root = spark.range(1).select(F.sha2(F.lit("|".join(f"{c}:{columns[c]}" for c in sorted(columns)) + f"|{counts['n']}"), 256)).first()[0]
-    return Manifest(table, json.loads(df.schema.json()), counts["n"], counts["a"], max(0, next_power_of_two(counts["n"]).bit_length() - 1), root, columns)
+    full, rows = normalised(df, key)
+    columns, active = _tree(full, rows)
+    root = hashlib.sha256(("|".join(f"{c}:{columns[c]}" for c in sorted(columns)) + f"|{rows}").encode()).hexdigest()
+    return Manifest(table, json.loads(df.schema.json()), rows, active, max(0, next_power_of_two(rows).bit_length() - 1), root, columns, list(key or []))
 
 
 def commit_path(spark: SparkSession, path: str, key: list[str] | None = None) -> Manifest:
     return commit(spark.read.parquet(path), stem(path), key)
 
 
+def listing(spark: SparkSession, path: str) -> list[list]:
+    """[file, length, time of change] of each file of a table."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted([s.getPath().toString(), s.getLen(), s.getModificationTime()] for s in fs.listStatus(at))
+
+
 class ManifestCache:
     """Manifests by the files of a table, so an unchanged table is hashed once in a session."""
 
@@ -96,9 +115,7 @@ class ManifestCache:
         self._known: dict[tuple, Manifest] = {}
 
     def get(self, spark: SparkSession, path: str, key: list[str] | None = None) -> Manifest:
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        own = tuple(sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(at)))
+        own = (*map(tuple, listing(spark, path)), tuple(key or ()))
         if own not in self._known:
             self._known[own] = commit_path(spark, path, key)
         return self._known[own]

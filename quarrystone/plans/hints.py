@@ -32,6 +32,13 @@ def suggest(nodes: dict[str, DataFrame], under_check: tuple[str, ...] = (), trun
     return hints
 
 
+def sound(df: DataFrame, path: str, hints: list[dict]) -> bool:
+    """Whether the hints for a masked result change none of its rows: only what has no active row may be cut off."""
+    own = [h for h in hints if h["path"] == path]
+    known = all(h["hint"] in (REMATERIALIZE, TRUNCATE) for h in own)
+    return known and (not any(h["hint"] == TRUNCATE for h in own) or not df.where(F.col(ACTIVE)).limit(1).count())
+
+
 def apply(df: DataFrame, path: str, hints: list[dict]) -> DataFrame:
     from ..operators.mask import rematerialize
 

@@ -13,7 +13,7 @@ from ..functions.prep import preprocess
 from ..sources.tables import expand, register, stem
 from . import graph
 from .certify import Certificate, Report, prove, verify
-from .commit import Manifest, commit_path
+from .commit import Manifest, ManifestCache, listing
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
@@ -45,42 +45,57 @@ class Stats:
 
 @dataclass
 class Workspace:
-    """A folder for manifests, results and certificates."""
+    """A folder for manifests, results and certificates; a table whose files stay the same is hashed once in a session."""
 
     spark: SparkSession
     folder: str
     stats: Stats = field(default_factory=Stats)
+    cache: ManifestCache = field(default_factory=ManifestCache)
 
     def setup(self) -> None:
         write_text(self.spark, f"{self.folder}/workspace.json", json.dumps({"format_version": 1, "engine": self.spark.version}))
 
     def commit(self, path: str, key: list[str] | None = None) -> Manifest:
-        made = self.stats.timed("commit", lambda: commit_path(self.spark, path, key), table=stem(path))
+        made = self.stats.timed("commit", lambda: self.cache.get(self.spark, path, key), table=stem(path))
         write_text(self.spark, f"{self.folder}/{made.table}.commitment.json", made.to_json())
+        write_text(self.spark, f"{self.folder}/{made.table}.files.json", json.dumps(listing(self.spark, path)))
+        self.stats.rows[-1] |= {"rows": made.rows, "columns": len(made.columns)}
         return made
 
     def manifest(self, table: str) -> Manifest:
         return Manifest.from_json(read_text(self.spark, f"{self.folder}/{table}.commitment.json"))
 
-    def prove(self, sql: str, paths: list[str], name: str = "answer", hints: list[dict] | None = None) -> Certificate:
+    def stale(self, path: str) -> bool:
+        """Whether a table has no commitment, or its files are others than those committed."""
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{stem(path)}.files.json")
+        if not at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            return True
+        return json.loads(read_text(self.spark, f"{self.folder}/{stem(path)}.files.json")) != listing(self.spark, path)
+
+    def prove(self, sql: str, paths: list[str], name: str = "answer", applied: list[dict] | None = None) -> Certificate:
         tables = list(expand(self.spark, paths).values())
         manifests = [self.manifest(stem(p)) for p in tables]
-        made = self.stats.timed("prove", lambda: prove(self.spark, sql, tables, manifests, f"{self.folder}/{name}.result.parquet", hints))
-        write_text(self.spark, f"{self.folder}/{name}.certificate.json", made.to_json())
+        made = self.stats.timed("prove", lambda: prove(self.spark, sql, tables, manifests, f"{self.folder}/{name}.result.parquet", applied))
+        text = made.to_json()
+        write_text(self.spark, f"{self.folder}/{name}.certificate.json", text)
+        self.stats.rows[-1] |= {"rows": made.rows, "certificate_bytes": len(text), "plan": made.plan}
         return made
 
-    def verify(self, sql: str, paths: list[str], name: str = "answer", result_path: str | None = None) -> Report:
+    def verify(self, sql: str, paths: list[str], name: str = "answer", result_path: str | None = None, fresh: bool = True) -> Report:
+        """Check a certificate. With ``fresh`` off, tables whose files have not changed since this session hashed them are not hashed again."""
         tables = list(expand(self.spark, paths).values())
         certificate = Certificate.from_json(read_text(self.spark, f"{self.folder}/{name}.certificate.json"))
         result = self.spark.read.parquet(result_path or f"{self.folder}/{name}.result.parquet")
-        return self.stats.timed("verify", lambda: verify(self.spark, sql, tables, [self.manifest(stem(p)) for p in tables], certificate, result))
+        recommit = None if fresh else lambda p, key: self.cache.get(self.spark, p, key)
+        return self.stats.timed("verify", lambda: verify(self.spark, sql, tables, [self.manifest(stem(p)) for p in tables], certificate, result, recommit))
 
     def prove_and_verify(self, sql: str, paths: list[str], name: str = "answer") -> Report:
         """All steps in one call; commitments that are missing or stale are made anew."""
         for p in expand(self.spark, paths).values():
-            self.commit(p)
+            if self.stale(p):
+                self.commit(p)
         self.prove(sql, paths, name)
-        return self.verify(sql, paths, name)
+        return self.verify(sql, paths, name, fresh=False)
 
 
 def query(spark: SparkSession, sql: str, paths: list[str], dot: bool = False) -> DataFrame | str:
