@@ -87,3 +87,13 @@ QUERIES = {
         WHERE c_nationkey IN (1, 3, 5, 7, 9, 11, 13) AND {money('c_acctbal')} > (SELECT CAST(sum({money('c_acctbal')}) AS DOUBLE) / count(*) FROM customer WHERE c_acctbal > 0)
         AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000)) AS c GROUP BY code""",
 }
+
+#: The catalogue's reports with their order and limit, ties broken by key.
+TOP = {
+    "tpch_q2_top": "tpch_q2 ORDER BY s_acctbal DESC, n_name, s_name, p_partkey LIMIT 100",
+    "tpch_q3_top": "tpch_q3 ORDER BY revenue DESC, o_orderdate, l_orderkey LIMIT 10",
+    "tpch_q10_top": "tpch_q10 ORDER BY revenue DESC, c_custkey LIMIT 20",
+    "tpch_q18_top": "tpch_q18 ORDER BY o_totalprice DESC, o_orderdate, o_orderkey LIMIT 100",
+    "tpch_q21_top": "tpch_q21 ORDER BY numwait DESC, s_name LIMIT 100",
+}
+QUERIES |= {name: QUERIES[text.split(" ", 1)[0]] + " " + text.split(" ", 1)[1] for name, text in TOP.items()}

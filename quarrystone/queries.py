@@ -6,6 +6,7 @@ runs this library's own operators and has SQL written for comparison.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +18,8 @@ from .names import ACTIVE, ROW_ID
 from .operators import checks, joinmode, mask
 from .plans import tpch
 from .plans.tpch import money, total
-from .session import settle
+from .plans.workflow import Workspace
+from .session import checkpoint_dir, settle
 from .sources.constraints import STAR
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -121,6 +123,13 @@ PLAIN: dict[str, str] = {
     "micro_join": "SELECT l_orderkey, o_custkey FROM lineitem JOIN orders ON l_partkey = o_custkey WHERE o_totalprice > 400000",
     "micro_join_key": "SELECT l_orderkey, l_linenumber, p_size FROM lineitem JOIN part ON l_partkey = p_partkey",
     "micro_limit": "SELECT l_orderkey FROM lineitem ORDER BY l_orderkey LIMIT 10",
+    "limit_small": "SELECT l_suppkey FROM lineitem ORDER BY l_orderkey, l_linenumber, l_suppkey LIMIT 128",
+    "limit_filter": "SELECT l_suppkey FROM lineitem WHERE l_partkey = 214 ORDER BY l_orderkey, l_linenumber, l_suppkey LIMIT 256",
+    # more of what only the plain layer covers
+    "ilike": "SELECT p_partkey, p_name ILIKE '%ROD%' AS rod, p_name NOT ILIKE 's%' AS no_s FROM part",
+    "unary_minus": "SELECT s_suppkey, - s_acctbal AS owed, -(s_nationkey + 1) AS n, + s_nationkey AS same FROM supplier",
+    "join_natural": "SELECT o_orderkey, k, c_name FROM (SELECT o_custkey AS k, o_orderkey FROM orders) AS o NATURAL JOIN (SELECT c_custkey AS k, c_name FROM customer) AS c",
+    "median": "SELECT l_returnflag, median(l_quantity) AS mid, round(stddev_pop(l_quantity), 6) AS spread FROM lineitem GROUP BY l_returnflag",
 }
 PLAIN |= tpch.QUERIES
 
@@ -150,6 +159,8 @@ def _open() -> Column:
 
 
 
+_KEYS = {t.table: t.keys() for t in STAR}
+
 Query = Callable[[SparkSession, str], DataFrame]
 OWN: dict[str, tuple[Query, str]] = {}
 
@@ -288,6 +299,92 @@ def rematerialize(spark, sf_dir):
     return mask.rematerialize(mask.project(t, "o_orderkey"))
 
 
+@own("similar_to", "SELECT p_partkey, p_name SIMILAR TO '(small|large) .*' AS sized FROM part")
+def similar_to(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").rlike("^(?:(small|large) .*)$").alias("sized"))
+
+
+@own("array_agg", "SELECT o_custkey, array_to_string(list_sort(array_agg(o_orderkey)), ',') AS orders FROM orders GROUP BY o_custkey")
+def array_agg(spark, sf_dir):
+    return sql(spark, sf_dir, "SELECT o_custkey, array_join(transform(array_sort(array_agg(o_orderkey)), x -> CAST(x AS STRING)), ',') AS orders FROM orders GROUP BY o_custkey")
+
+
+@own("join_by_keys", f"""WITH {_ORD}, {_CUS} SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, c_custkey, c_nationkey, c_mktsegment, o."{ROW_ID}", o_orderstatus = 'O' AND c_custkey IS NOT NULL AS "{ACTIVE}"
+    FROM ord o LEFT JOIN cus c ON o_custkey = c_custkey""")
+def join_by_keys(spark, sf_dir):
+    """The declared keys make it a join that keeps the orders, from either side."""
+    return mask.join(mask.filter_rows(_orders(spark, sf_dir), _open()), _customers(spark, sf_dir), [("o_custkey", "c_custkey")], _KEYS["orders"], _KEYS["customer"])
+
+
+@own("join_by_keys_swapped", f"""WITH {_ORD}, {_CUS} SELECT c_custkey, c_nationkey, c_mktsegment, o_orderkey, o_custkey, o_orderstatus, o_totalprice, o."{ROW_ID}", c_custkey IS NOT NULL AS "{ACTIVE}"
+    FROM ord o LEFT JOIN cus c ON o_custkey = c_custkey""")
+def join_by_keys_swapped(spark, sf_dir):
+    return mask.join(_customers(spark, sf_dir), _orders(spark, sf_dir), [("c_custkey", "o_custkey")], _KEYS["customer"], _KEYS["orders"])
+
+
+@own("join_filtered_key_side", f"""WITH {_ORD}, {_CUS} SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, c_custkey, c_nationkey, c_mktsegment,
+    row_number() OVER (ORDER BY o."{ROW_ID}", c."{ROW_ID}") - 1 AS "{ROW_ID}", true AS "{ACTIVE}" FROM ord o JOIN cus c ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING'""")
+def join_filtered_key_side(spark, sf_dir):
+    """A filter under the key side makes it a join of many to many, with new row ids."""
+    c = mask.filter_rows(_customers(spark, sf_dir), F.col("c_mktsegment") == "BUILDING")
+    filtered = next(t for t in STAR if t.table == "customer").keys(filtered=True)
+    return mask.join(_orders(spark, sf_dir), c, [("o_custkey", "c_custkey")], _KEYS["orders"], filtered)
+
+
+def _digest_sql(columns: list[str], of: str) -> str:
+    """For each column the root over leaves of 1,024 rows; two levels, which are enough for a million rows."""
+    cell = lambda c: f"sha256(coalesce('=' || CAST({c} AS VARCHAR), '-'))"
+    leaves = ", ".join(f"sha256(string_agg({cell(c)}, '' ORDER BY rid)) AS {c}" for c in columns)
+    roots = " UNION ALL ".join(f"SELECT '{c}' AS name, CASE WHEN count(*) = 1 THEN any_value({c}) ELSE sha256(string_agg({c}, '' ORDER BY up)) END AS digest FROM leaves" for c in columns)
+    return f"WITH rows AS ({of}), leaves AS (SELECT rid // 1024 AS up, {leaves} FROM rows GROUP BY rid // 1024) {roots}"
+
+
+@own("commit_nation", _digest_sql(["n_nationkey", "n_name", "n_regionkey", ACTIVE], f'SELECT *, true AS "{ACTIVE}", row_number() OVER (ORDER BY n_nationkey) - 1 AS rid FROM nation'))
+def commit_nation(spark, sf_dir):
+    return _commitment(spark, table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"), "nation")
+
+
+@own("commit_orders", _digest_sql(["o_orderkey", "o_custkey", "o_orderstatus", ACTIVE], f'SELECT *, true AS "{ACTIVE}", row_number() OVER (ORDER BY o_orderkey) - 1 AS rid FROM orders'))
+def commit_orders(spark, sf_dir):
+    return _commitment(spark, table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), "orders")
+
+
+def _commitment(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    from .plans.commit import commit
+
+    return spark.createDataFrame(list(commit(df, name).columns.items()), "name string, digest string")
+
+
+_ASKED = "SELECT o_orderpriority, count(*) AS n, max(o_totalprice) AS most FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_nationkey < 12 GROUP BY o_orderpriority"
+
+
+def _proved(spark: SparkSession, sf_dir: str) -> tuple[Workspace, list[str]]:
+    space, paths = Workspace(spark, f"{checkpoint_dir(spark)}/workspace-{uuid.uuid4().hex}"), [f"{sf_dir}/{t}.parquet" for t in ("orders", "customer")]
+    for p in paths:
+        space.commit(p)
+    space.prove(_ASKED, paths)
+    return space, paths
+
+
+@own("prove_result", _ASKED)
+def prove_result(spark, sf_dir):
+    space, _ = _proved(spark, sf_dir)
+    return spark.read.parquet(f"{space.folder}/answer.result.parquet")
+
+
+_CHECKS = ("query", "engine", "tables", "data of orders", "data of customer", "plan", "hints", "result schema", "result digest", "result")
+
+
+@own("verify_report", "SELECT * FROM (VALUES " + ", ".join(f"('{c}', true, {str(c not in ('result digest', 'result')).lower()})" for c in _CHECKS) + ") AS t(check_name, honest, tampered)")
+def verify_report(spark, sf_dir):
+    """What each check says of the answer that was proved, and of one with a row too many."""
+    space, paths = _proved(spark, sf_dir)
+    result = spark.read.parquet(f"{space.folder}/answer.result.parquet")
+    result.union(result.limit(1)).write.parquet(f"{space.folder}/other.parquet")
+    honest, other = space.verify(_ASKED, paths, fresh=False), space.verify(_ASKED, paths, result_path=f"{space.folder}/other.parquet", fresh=False)
+    return spark.createDataFrame([(c, ok, other.checks[c]) for c, ok in honest.checks.items()], "check_name string, honest boolean, tampered boolean")
+
+
 def _verdicts(spark: SparkSession, results: dict[str, DataFrame]) -> DataFrame:
     """How many rows violate each check, in one plan."""
     parts = [df.agg(F.lit(name).alias("check_name"), F.count("*").alias("violations")) for name, df in results.items()]
@@ -310,6 +407,33 @@ def chk_equal(spark, sf_dir):
     return _verdicts(spark, {"eq": checks.equal(t, other, ["o_custkey"]), "neq": checks.unequal(t, other, ["o_custkey"])})
 
 
+@own("chk_rejects", """SELECT * FROM (VALUES ('eq, a row missing', 1), ('neq, all rows missing', 25), ('sorted, gaps', 12), ('sorted, gaps, descending', 0), ('limit, too few', 1)) AS t(check_name, violations)""")
+def chk_rejects(spark, sf_dir):
+    """Violations that show only if rows without a partner and ids with gaps are looked at."""
+    t = settle(masked(spark, sf_dir, "nation", ["n_nationkey", "n_regionkey"]))
+    even = t.where(F.col(ROW_ID) % 2 == 0)  # ids 0, 2, ... 24
+    found = {
+        "eq, a row missing": checks.equal(t, t.where(F.col(ROW_ID) != 7), ["n_nationkey"]), "neq, all rows missing": checks.unequal(t, t.limit(0), ["n_nationkey"]),
+        "sorted, gaps": checks.sorted_rows(even, [("n_nationkey", False)]), "sorted, gaps, descending": checks.sorted_rows(even.withColumn(ROW_ID, 24 - F.col(ROW_ID)), [("n_nationkey", False)]),
+        "limit, too few": checks.limit_check(t, mask.limit(t, 4), 5),
+    }
+    return _verdicts(spark, found)
+
+
+@own("chk_ties", "SELECT o_orderkey, coalesce(o_orderstatus = lag(o_orderstatus) OVER w AND o_custkey % 2 = lag(o_custkey % 2) OVER w, false) AS tie FROM orders WINDOW w AS (ORDER BY o_orderkey)")
+def chk_ties(spark, sf_dir):
+    t = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", (F.col("o_custkey") % 2).alias("odd"))
+    return checks.ties(t, ["o_orderstatus", "odd"], "o_orderkey").select("o_orderkey", "tie")
+
+
+@own("chk_prescribed_perm_whole", "SELECT 'shift' AS check_name, 0 AS violations UNION ALL SELECT 'stay', count(*) FROM orders")
+def chk_prescribed_perm_whole(spark, sf_dir):
+    t = settle(masked(spark, sf_dir, "orders", ["o_orderkey", "o_custkey"]))
+    n = t.count()
+    shifted = t.withColumn(ROW_ID, F.pmod(F.col(ROW_ID) - 1, F.lit(n)))
+    return _verdicts(spark, {"shift": checks.cyclic_shift(t, shifted, n, ["o_orderkey"]), "stay": checks.cyclic_shift(t, t, n, ["o_orderkey"])})
+
+
 @own("chk_bool", "SELECT 'flag' AS check_name, 0 AS violations UNION ALL SELECT 'size', count(*) FROM part WHERE p_size NOT IN (0, 1)")
 def chk_bool(spark, sf_dir):
     t = table(spark, sf_dir, "part").withColumn("flag", F.col("p_size") > 5)
@@ -431,7 +555,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .plans.certify import result_check as check
 
     t = prep.preprocess(table(spark, sf_dir, "lineitem"), _ALL_LINES)
-    answer = mask.compact(mask.project(mask.filter_rows(t, F.col("l_returnflag") == "R"), "l_orderkey", "l_extendedprice"))
+    answer = settle(mask.compact(mask.project(mask.filter_rows(t, F.col("l_returnflag") == "R"), "l_orderkey", "l_extendedprice")))
     plain = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select("l_orderkey", prep.as_decimal(F.col("l_extendedprice")).alias("l_extendedprice"))
     wrong = F.broadcast(check(answer, plain).agg(F.count("*").alias("violations")))  # one row
     return answer.groupBy("l_orderkey").agg(F.count("*").alias("returned"), F.sum("l_extendedprice").cast("decimal(38,3)").alias("price")).crossJoin(wrong)
