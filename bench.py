@@ -44,10 +44,13 @@ def main() -> None:
         except Exception as e:  # a query that fails is missing from the figures, and named
             print(f"{name}: {str(e)[:300]}", file=sys.stderr)
     with tempfile.TemporaryDirectory() as folder:
-        space, table = Workspace(spark, folder), f"{SF_DIR}/orders.parquet"
-        sql = "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY o_orderpriority"
-        for step, run in (("commit_orders", lambda: space.commit(table)), ("prove_orders", lambda: space.prove(sql, [table])), ("verify_orders", lambda: space.verify(sql, [table]))):
-            found[step] = round(timed(run), 3)
+        table, sql = f"{SF_DIR}/orders.parquet", "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY o_orderpriority"
+        took: dict[str, list[float]] = {}
+        for i in range(1 + RUNS):  # each time a new workspace, which knows no manifest
+            space = Workspace(spark, f"{folder}/{i}")
+            for step, run in (("commit_orders", lambda: space.commit(table)), ("prove_orders", lambda: space.prove(sql, [table])), ("verify_orders", lambda: space.verify(sql, [table]))):
+                took.setdefault(step, []).append(timed(run))
+        found |= {step: round(min(times[1:]), 3) for step, times in took.items()}
     print(json.dumps({"metric": "headline_total", "value": round(sum(found.values()), 3), "unit": "sec", "queries": found, "sf": SF_DIR.rstrip("/").rpartition("sf")[2], "cpus": int(CPUS)}))
 
 

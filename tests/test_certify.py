@@ -126,3 +126,60 @@ def test_command_line(spark, sf_dir, tmp_path, capsys):
     assert cli.main(["query", *paths, "--query", "SELECT 1 AS x FROM nation WHERE false"]) == 0
     assert "Query returned 0 rows." in capsys.readouterr().out
     assert cli.main(["data-prep", *paths, "--output", f"{tmp_path}/nation.parquet"]) == 0
+
+
+def test_hints_are_applied_and_checked(spark, sf_dir, tmp_path):
+    """A masked table with few active rows is compacted before the query; a hint that would lose rows is refused."""
+    space = Workspace(spark, str(tmp_path))
+    from quarrystone.functions.prep import preprocess
+    from quarrystone.operators.mask import filter_rows
+
+    t = filter_rows(preprocess(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderstatus", "o_totalprice"), ["o_orderkey"]), F.col("o_orderstatus") == "P")
+    t.write.parquet(f"{tmp_path}/orders.parquet")
+    path, sql = f"{tmp_path}/orders.parquet", "SELECT count(*) AS n, sum(o_totalprice) AS s FROM orders"
+    assert space.stale(path)
+    assert space.prove_and_verify(sql, [path]).ok and not space.stale(path)
+    made = space.prove(sql, [path])
+    assert [(h["path"], h["hint"]) for h in made.hints] == [("orders", "rematerialize")]
+    plain = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderstatus = 'P'").count()
+    assert spark.read.parquet(f"{tmp_path}/answer.result.parquet").first()["n"] == plain
+    space.prove(sql, [path], "cut", [{"path": "orders", "hint": "truncate"}])
+    report = space.verify(sql, [path], "cut", fresh=False)
+    assert not report.checks["hints"] and not report.ok
+    assert len([r for r in space.stats.rows if r["step"] == "commit"]) == 1 and {"rows", "columns"} <= set(space.stats.rows[0])
+
+
+def test_commit_by_key_verifies(spark, tmp_path):
+    spark.createDataFrame([(3, "a"), (1, "c"), (2, "b")], "x int, y string").coalesce(1).write.parquet(f"{tmp_path}/t.parquet")
+    space = Workspace(spark, f"{tmp_path}/space")
+    made = space.commit(f"{tmp_path}/t.parquet", ["y"])
+    assert made.key == ["y"] and made.root != commit_path(spark, f"{tmp_path}/t.parquet").root
+    space.prove("SELECT max(x) AS m FROM t", [f"{tmp_path}/t.parquet"])
+    assert space.verify("SELECT max(x) AS m FROM t", [f"{tmp_path}/t.parquet"]).ok
+
+
+def test_a_tree_of_three_levels(spark, monkeypatch):
+    from quarrystone.plans import commit as module
+
+    monkeypatch.setattr(module, "FAN", 4)
+    df = spark.range(50).select(F.col("id").alias("x"))
+    a = commit(df, "t")
+    assert a == commit(df.repartition(7), "t") and a.root != commit(df.where("x <> 20"), "t").root
+    import hashlib
+
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    level = [sha(f"={i}") for i in range(50)]
+    while len(level) > 1:
+        level = [sha("".join(level[i : i + 4])) for i in range(0, len(level), 4)]
+    assert a.columns["x"] == level[0]
+
+
+def test_clusters_need_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from quarrystone import session
+
+    none = SimpleNamespace(isEmpty=lambda: True)
+    context = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none)))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.checkpoint_dir(SimpleNamespace(conf={}, sparkContext=context))
