@@ -29,6 +29,8 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--key", action="append")
         if verb in ("prove", "verify"):
             p.add_argument("--name", default="answer")
+        if verb == "prove":
+            p.add_argument("--without-rule", action="append", default=[])
         if verb == "verify":
             p.add_argument("--result-path")
         if verb == "query":
@@ -62,6 +64,7 @@ def main(argv: list[str] | None = None) -> int:
             for path in args.parquet_path:
                 print(space.commit(path, args.key).root)
         elif args.verb == "prove":
+            space.rules = space.rules.without(*args.without_rule) if args.without_rule else space.rules
             print(space.prove(sql, args.parquet_path, args.name).result)
         else:
             report = space.verify(sql, args.parquet_path, args.name, args.result_path)

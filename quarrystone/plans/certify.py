@@ -22,6 +22,7 @@ from ..operators.checks import holds, permutation
 from ..sources.tables import active, schema_only, stem
 from . import graph, hints
 from .commit import Manifest, commit_path, find
+from .rules import Rules
 
 
 @dataclass
@@ -34,6 +35,7 @@ class Certificate:
     result: str
     schema: dict
     hints: list[dict] = field(default_factory=list)
+    rules: dict[str, str] = field(default_factory=dict)
 
     def to_json(self) -> str:
         return json.dumps(asdict(self), indent=1, sort_keys=True)
@@ -84,12 +86,19 @@ def plan_of(spark: SparkSession, sql: str, manifests: list[Manifest]) -> str:
     return graph.plan_hash(spark.sql(sql))
 
 
-def prove(spark: SparkSession, sql: str, paths: list[str], manifests: list[Manifest], result_path: str, applied: list[dict] | None = None) -> Certificate:
+def prove(spark: SparkSession, sql: str, paths: list[str], manifests: list[Manifest], result_path: str, applied: list[dict] | None = None, rules: Rules | None = None) -> Certificate:
     """Answer ``sql`` over the active rows, write the result, and certify it.
 
     ``applied`` are hints by table for masked tables; if none are given, those
-    that the row counts suggest are applied and recorded.
+    that the row counts suggest are applied and recorded. ``rules`` override
+    the planner's.
     """
+    rules = rules or Rules()
+    with rules.applied(spark):
+        return _prove(spark, sql, paths, manifests, result_path, applied, rules)
+
+
+def _prove(spark: SparkSession, sql: str, paths: list[str], manifests: list[Manifest], result_path: str, applied: list[dict] | None, rules: Rules) -> Certificate:
     if len(paths) != len(manifests):
         raise ValueError("one commitment is needed for each table")
     own = {stem(p): find(manifests, stem(p)) for p in paths}
@@ -99,7 +108,7 @@ def prove(spark: SparkSession, sql: str, paths: list[str], manifests: list[Manif
     _views(spark, paths, applied)
     spark.sql(sql).write.mode("overwrite").parquet(result_path)
     result = spark.read.parquet(result_path)
-    return Certificate(sql, spark.version, plan, {t: m.root for t, m in own.items()}, result.count(), multiset_digest(result), json.loads(result.schema.json()), applied)
+    return Certificate(sql, spark.version, plan, {t: m.root for t, m in own.items()}, result.count(), multiset_digest(result), json.loads(result.schema.json()), applied, rules.settings)
 
 
 def result_check(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -112,6 +121,14 @@ def verify(spark: SparkSession, sql: str, paths: list[str], manifests: list[Mani
 
     ``recommit`` makes the manifest of a path and a key; by default from the data.
     """
+    rules = Rules(certificate.rules)
+    if not rules.sound:
+        return Report({"rules": False})
+    with rules.applied(spark):
+        return Report({"rules": True} | _verify(spark, sql, paths, manifests, certificate, result, recommit))
+
+
+def _verify(spark: SparkSession, sql: str, paths: list[str], manifests: list[Manifest], certificate: Certificate, result: DataFrame, recommit: Callable[[str, list[str]], Manifest] | None) -> dict[str, bool]:
     recommit = recommit or (lambda p, key: commit_path(spark, p, key))
     checks = {"query": certificate.sql == sql, "engine": certificate.engine == spark.version}
     own = {m.table: m for m in manifests}
@@ -128,4 +145,4 @@ def verify(spark: SparkSession, sql: str, paths: list[str], manifests: list[Mani
         _views(spark, paths, certificate.hints)
         replay = spark.sql(sql)
         checks["result"] = replay.columns == result.columns and holds(result_check(replay, result))
-    return Report(checks)
+    return checks

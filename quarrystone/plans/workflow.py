@@ -14,6 +14,7 @@ from ..sources.tables import expand, register, stem
 from . import graph
 from .certify import Certificate, Report, prove, verify
 from .commit import Manifest, ManifestCache, listing
+from .rules import Rules
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
@@ -51,6 +52,7 @@ class Workspace:
     folder: str
     stats: Stats = field(default_factory=Stats)
     cache: ManifestCache = field(default_factory=ManifestCache)
+    rules: Rules = field(default_factory=Rules)
 
     def setup(self) -> None:
         write_text(self.spark, f"{self.folder}/workspace.json", json.dumps({"format_version": 1, "engine": self.spark.version}))
@@ -75,7 +77,7 @@ class Workspace:
     def prove(self, sql: str, paths: list[str], name: str = "answer", applied: list[dict] | None = None) -> Certificate:
         tables = list(expand(self.spark, paths).values())
         manifests = [self.manifest(stem(p)) for p in tables]
-        made = self.stats.timed("prove", lambda: prove(self.spark, sql, tables, manifests, f"{self.folder}/{name}.result.parquet", applied))
+        made = self.stats.timed("prove", lambda: prove(self.spark, sql, tables, manifests, f"{self.folder}/{name}.result.parquet", applied, self.rules))
         text = made.to_json()
         write_text(self.spark, f"{self.folder}/{name}.certificate.json", text)
         self.stats.rows[-1] |= {"rows": made.rows, "certificate_bytes": len(text), "plan": made.plan}

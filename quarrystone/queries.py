@@ -372,7 +372,7 @@ def prove_result(spark, sf_dir):
     return spark.read.parquet(f"{space.folder}/answer.result.parquet")
 
 
-_CHECKS = ("query", "engine", "tables", "data of orders", "data of customer", "plan", "hints", "result schema", "result digest", "result")
+_CHECKS = ("rules", "query", "engine", "tables", "data of orders", "data of customer", "plan", "hints", "result schema", "result digest", "result")
 
 
 @own("verify_report", "SELECT * FROM (VALUES " + ", ".join(f"('{c}', true, {str(c not in ('result digest', 'result')).lower()})" for c in _CHECKS) + ") AS t(check_name, honest, tampered)")
@@ -385,6 +385,40 @@ def verify_report(spark, sf_dir):
     return spark.createDataFrame([(c, ok, other.checks[c]) for c, ok in honest.checks.items()], "check_name string, honest boolean, tampered boolean")
 
 
+@own("schema_only", "SELECT 'nation' AS name, count(*) AS rows, 3 AS columns FROM nation WHERE false UNION ALL SELECT 'orders', count(*), 6 FROM orders WHERE false")
+def schema_only(spark, sf_dir):
+    """Tables known by their commitment alone can be planned on, and are empty."""
+    from .sources.tables import schema_only as empty
+
+    made = {name: empty(spark, f"empty_{name}", table(spark, sf_dir, name).schema) for name in ("nation", "orders")}
+    counted = [df.agg(F.lit(name).alias("name"), F.count("*").alias("rows")).withColumn("columns", F.lit(len(df.columns))) for name, df in made.items()]
+    return counted[0].union(counted[1])
+
+
+@own("path_expansion", "SELECT * FROM (VALUES " + ", ".join(f"('{t}')" for t in sorted((*TABLES, "documents", "embeddings", "pages", "benchmark", "labels", "conversations"))) + ") AS t(name)")
+def path_expansion(spark, sf_dir):
+    from .sources.tables import expand
+
+    return spark.createDataFrame([(name,) for name in expand(spark, [sf_dir])], "name string")
+
+
+@own("constraints_hold", "SELECT * FROM (VALUES " + ", ".join(f"('{t.table}', 0)" for t in STAR) + ") AS t(name, broken)")
+def constraints_hold(spark, sf_dir):
+    from .sources.constraints import broken
+
+    tables = {t.table: table(spark, sf_dir, t.table) for t in STAR}
+    return spark.createDataFrame([(t.table, len(broken(t, tables))) for t in STAR], "name string, broken long")
+
+
+@own("lookup_by_schema", "SELECT 'nation' AS by_name, 'region' AS by_schema")
+def lookup_by_schema(spark, sf_dir):
+    """A commitment is found by the name of its table, or by its schema if no name fits."""
+    from .plans.commit import commit, find
+
+    known = [commit(table(spark, sf_dir, t), t) for t in ("nation", "region")]
+    return spark.createDataFrame([(find(known, "nation").table, find(known, "renamed", table(spark, sf_dir, "region").schema).table)], "by_name string, by_schema string")
+
+
 def _verdicts(spark: SparkSession, results: dict[str, DataFrame]) -> DataFrame:
     """How many rows violate each check, in one plan."""
     parts = [df.agg(F.lit(name).alias("check_name"), F.count("*").alias("violations")) for name, df in results.items()]

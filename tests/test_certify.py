@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrystone import cli
-from quarrystone.plans import graph
+from quarrystone.plans import graph, workflow
 from quarrystone.plans.commit import ManifestCache, commit, commit_path, find
 from quarrystone.plans.workflow import Workspace, prepare, query
 from quarrystone.sources.tables import expand, register
@@ -183,3 +183,23 @@ def test_clusters_need_a_shared_folder(monkeypatch):
     context = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none)))
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.checkpoint_dir(SimpleNamespace(conf={}, sparkContext=context))
+
+
+def test_rules_are_recorded_and_checked(spark, sf_dir, tmp_path):
+    from quarrystone.plans.rules import Rules
+
+    rules = Rules().without("ConstantFolding").set("spark.sql.autoBroadcastJoinThreshold", "-1").without("PushDownPredicates")
+    space, path, sql = Workspace(spark, str(tmp_path), rules=rules), f"{sf_dir}/nation.parquet", "SELECT count(*) + (1 + 2) AS n FROM nation WHERE n_regionkey = 1 + 1"
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    space.commit(path)
+    made = space.prove(sql, [path])
+    assert made.rules == rules.settings and made.rules["spark.sql.optimizer.excludedRules"].count("optimizer") == 2
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before and spark.conf.get("spark.sql.optimizer.excludedRules", None) is None
+    plain = Workspace(spark, str(tmp_path))
+    assert plain.verify(sql, [path]).ok, "a checker plans with the rules of the certificate"
+    assert plain.prove(sql, [path], "plain").plan != made.plan
+    with pytest.raises(ValueError):
+        rules.set("spark.sql.ansi.enabled", "false")
+    made.rules["spark.sql.ansi.enabled"] = "false"
+    workflow.write_text(spark, f"{tmp_path}/answer.certificate.json", made.to_json())
+    assert plain.verify(sql, [path]).checks == {"rules": False}
