@@ -104,7 +104,6 @@ PLAIN: dict[str, str] = {
     "join_using": "SELECT n_name, a.n_regionkey AS r FROM nation a JOIN (SELECT r_regionkey AS n_regionkey FROM region) b USING (n_regionkey)",
     # order, windows, sets
     "order_by_topk": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20",
-    "order_by_nulls": "SELECT o_orderkey, nullif(o_orderstatus, 'O') AS s FROM orders ORDER BY s NULLS LAST, o_orderkey LIMIT 50",
     "limit_offset": "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 25 OFFSET 10",
     "win_row_number": "SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS BIGINT) AS rn FROM orders",
     "win_rank": "SELECT p_partkey, CAST(rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS BIGINT) AS r, CAST(dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS BIGINT) AS d, CAST(ntile(4) OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) AS INT) AS q FROM part",
@@ -238,11 +237,6 @@ def masked_limit(spark, sf_dir):
     return mask.limit(mask.filter_rows(_orders(spark, sf_dir), _open()), 100, 5)
 
 
-@own("masked_sort", f"WITH {_ORD} SELECT *, o_orderstatus = 'O' AS \"{ACTIVE}\" FROM ord ORDER BY \"{ACTIVE}\" DESC, o_totalprice DESC, \"{ROW_ID}\" LIMIT 300")
-def masked_sort(spark, sf_dir):
-    return mask.sort(mask.filter_rows(_orders(spark, sf_dir), _open()), F.desc("o_totalprice")).limit(300)
-
-
 @own("masked_sort_whole", f"WITH {_ORD}, a AS (SELECT *, o_orderstatus = 'O' AS \"{ACTIVE}\" FROM ord) SELECT *, row_number() OVER (ORDER BY \"{ACTIVE}\" DESC, o_totalprice DESC, \"{ROW_ID}\") - 1 AS place FROM a")
 def masked_sort_whole(spark, sf_dir):
     return placed(mask.sort(mask.filter_rows(_orders(spark, sf_dir), _open()), F.desc("o_totalprice")), "place")
