@@ -38,8 +38,8 @@ ORDERS = (1, 2, 3)
 AMBIGUOUS = 0.4
 UNKNOWN = "und"
 #: Numbers that ``\w`` takes for letters: superscripts, fractions, Roman numerals and the like.
-_NUMBERS = "".join(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
-_NOT_LETTERS = re.compile(rf"[\W\d_{_NUMBERS}]+")
+_NUMBERS = frozenset(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
+_NOT_LETTERS = re.compile(r"[\W\d_]+")
 #: What stands around each text, so that no n-gram reaches into another.
 _PAD = b" " * 2
 #: Bytes of text whose n-grams are hashed at a time.
@@ -64,7 +64,10 @@ def codewords(k: int) -> np.ndarray:
 
 def prepared(text: str) -> bytes:
     """Letters in lower case, a space for all else."""
-    return (" " + _NOT_LETTERS.sub(" ", text.lower()).strip() + " ").encode("utf-8", "replace")
+    letters = _NOT_LETTERS.sub(" ", text.lower())
+    if not letters.isascii() and (numbers := _NUMBERS.intersection(letters)):
+        letters = " ".join(letters.translate(dict.fromkeys(map(ord, numbers), " ")).split())
+    return (" " + letters.strip() + " ").encode("utf-8", "replace")
 
 
 def ngram_ids(raw: np.ndarray) -> Iterator[np.ndarray]:
@@ -116,7 +119,7 @@ class Model:
                 continue
             at = np.clip(starts[inside] - a, 0, None)
             for ids in ngram_ids(piece):
-                total[inside] += np.add.reduceat(self.weights[ids[skip:]], at, axis=0, dtype=np.float64)
+                total[inside] += np.add.reduceat(self.weights[ids[skip:]].astype(np.float64), at, axis=0)
         return total * (self.slope / np.sqrt([len(t) for t in texts])[:, None])
 
     def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
