@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from quarrystone.llm import decontam, langid, mixing, simhash, suffixdedup
-from quarrystone.llm.common import checkpoint_dir, delete
+from quarrystone.llm.common import checkpoint_dir, delete, temporary
 
 STAGES = [
     ("language ID", langid.stage),
@@ -29,7 +29,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
+        with temporary(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
         if i:
             delete(spark, f"{folder}/{i - 1}")

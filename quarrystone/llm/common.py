@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import string
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, delete, settle
 
-__all__ = ["ALNUM_WORD", "SPACE_WORD", "ascii_lower", "bounded_broadcast", "checkpoint_dir", "columns", "delete", "digest", "settle", "sampled_texts", "smallest", "stored", "table", "unused", "words"]
+__all__ = ["ALNUM_WORD", "SPACE_WORD", "ascii_lower", "bounded_broadcast", "checkpoint_dir", "columns", "delete", "digest", "settle", "sampled_texts", "smallest", "stored", "table", "temporary", "unused", "words"]
 
 #: Words of ASCII letters and digits and of anything beyond ASCII, in text whose A-Z are lower-cased.
 ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -61,6 +64,22 @@ def digest(text: Column) -> Column:
     return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
+_WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``stored`` writes inside are deleted at the end; what reads them has to be written by then."""
+    written: list[str] = []
+    token = _WRITTEN.set(written)
+    try:
+        yield
+    finally:
+        _WRITTEN.reset(token)
+        for folder in written:
+            delete(spark, folder)
+
+
 def stored(df: DataFrame, row: str) -> DataFrame:
     """``df`` with a number ``row`` of each row, in the shared folder.
 
@@ -68,6 +87,8 @@ def stored(df: DataFrame, row: str) -> DataFrame:
     it for another column or a lost executor; one that is read back does not.
     """
     folder = f"{checkpoint_dir(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    if (written := _WRITTEN.get()) is not None:
+        written.append(folder)
     void = {c for c, kind in df.dtypes if kind == "void"}  # Parquet has no such type
     kept = [c for name, c in zip(df.columns, columns(df), strict=True) if name not in void]
     df.select(*kept, F.monotonically_increasing_id().alias(row)).write.parquet(folder)

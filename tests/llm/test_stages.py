@@ -194,3 +194,25 @@ def test_stored_rows_keep_their_numbers(spark):
     kept = common.stored(df, "row")
     a, b = kept.select("id", "row").collect(), kept.select("row", "id", "nothing").collect()
     assert {r["id"]: r["row"] for r in a} == {r["id"]: r["row"] for r in b} and len({r["row"] for r in a}) == 1000
+
+
+def test_what_a_stage_stores_goes_with_it(spark):
+    from pathlib import Path
+
+    def folders():
+        return {p for p in Path(common.checkpoint_dir(spark).removeprefix("file:")).glob("rows-*")}
+
+    before = folders()
+    with common.temporary(spark):
+        assert common.stored(spark.range(5), "row").count() == 5 and len(folders() - before) == 1
+    assert folders() == before
+
+
+def test_run_leaves_the_result_only(spark, table):
+    from pathlib import Path
+
+    top = Path(common.checkpoint_dir(spark).removeprefix("file:"))
+    before = set(top.glob("*-*"))
+    out = corpus_pipeline.run(spark, table)
+    made = [p for p in set(top.glob("pipeline-*")) - before]
+    assert len(made) == 1 and [p.name for p in made[0].iterdir()] == ["4"] and set(top.glob("rows-*")) <= before and out.count() > 0
