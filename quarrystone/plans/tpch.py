@@ -21,11 +21,20 @@ def total(x: str, places: int = 2) -> str:
 _NET = f"{money('l_extendedprice')} * (1 - {money('l_discount')})"
 REVENUE = total(_NET, 4)
 _PROFIT = f"{money('l_extendedprice')} * (1 - {money('l_discount')}) - ps_supplycost * {money('l_quantity')}"
-#: What suppliers offer, from what they shipped.
-PARTSUPP = (
-    f"partsupp AS (SELECT l_partkey AS ps_partkey, l_suppkey AS ps_suppkey, min(CAST(floor(l_extendedprice / l_quantity / 2) AS DECIMAL(18,2))) AS ps_supplycost, "
-    f"CAST(sum({money('l_quantity')}) AS DECIMAL(18,2)) AS ps_availqty FROM lineitem GROUP BY l_partkey, l_suppkey)"
-)
+
+
+def partsupp(where: str) -> str:
+    """What suppliers offer, from what they shipped; ``where`` keeps the parts or suppliers that a query looks at, before they are grouped."""
+    return (
+        f"partsupp AS (SELECT l_partkey AS ps_partkey, l_suppkey AS ps_suppkey, min(CAST(floor(l_extendedprice / l_quantity / 2) AS DECIMAL(18,2))) AS ps_supplycost, "
+        f"CAST(sum({money('l_quantity')}) AS DECIMAL(18,2)) AS ps_availqty FROM lineitem WHERE {where} GROUP BY l_partkey, l_suppkey)"
+    )
+
+
+def _parts(condition: str) -> str:
+    return f"l_partkey IN (SELECT p_partkey FROM part WHERE {condition})"
+
+
 _LATE = "l_shipdate > o_orderdate + INTERVAL 60 DAYS"
 
 QUERIES = {
@@ -33,7 +42,7 @@ QUERIES = {
         {total(_NET + " * (1 + " + money('l_tax') + ")", 4)} AS sum_charge, round(CAST(sum({money('l_quantity')}) AS DOUBLE) / count(*), 6) AS avg_qty,
         round(CAST(sum({money('l_discount')}) AS DOUBLE) / count(*), 6) AS avg_disc, count(*) AS count_order
         FROM lineitem WHERE l_shipdate <= DATE '1998-09-02' GROUP BY l_returnflag, l_linestatus""",
-    "tpch_q2": f"""WITH {PARTSUPP}, offers AS (SELECT ps_partkey, ps_supplycost, s_suppkey, s_name, n_name, {money('s_acctbal')} AS acctbal FROM partsupp
+    "tpch_q2": f"""WITH {partsupp(_parts('p_size = 15'))}, offers AS (SELECT ps_partkey, ps_supplycost, s_suppkey, s_name, n_name, {money('s_acctbal')} AS acctbal FROM partsupp
         JOIN supplier ON s_suppkey = ps_suppkey JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey WHERE r_name = 'EUROPE'),
         least AS (SELECT ps_partkey AS k, min(ps_supplycost) AS c FROM offers GROUP BY ps_partkey)
         SELECT CAST(acctbal AS DOUBLE) AS s_acctbal, s_name, n_name, p_partkey FROM part JOIN offers ON p_partkey = ps_partkey JOIN least ON k = p_partkey AND c = ps_supplycost WHERE p_size = 15""",
@@ -53,11 +62,11 @@ QUERIES = {
         SELECT CAST(year(o_orderdate) AS INT) AS o_year, {_NET} AS volume, n2.n_name AS nation FROM part JOIN lineitem ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON l_orderkey = o_orderkey
         JOIN customer ON o_custkey = c_custkey JOIN nation n1 ON c_nationkey = n1.n_nationkey JOIN region ON n1.n_regionkey = r_regionkey JOIN nation n2 ON s_nationkey = n2.n_nationkey
         WHERE r_name = 'AMERICA' AND o_orderdate BETWEEN DATE '1995-01-01' AND DATE '1998-12-31' AND p_type = 'ECONOMY') AS v GROUP BY o_year""",
-    "tpch_q9": f"""WITH {PARTSUPP} SELECT n_name AS nation, CAST(year(o_orderdate) AS INT) AS o_year, {total(_PROFIT, 4)} AS sum_profit FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey
+    "tpch_q9": f"""WITH {partsupp(_parts("p_name LIKE '%rod%'"))} SELECT n_name AS nation, CAST(year(o_orderdate) AS INT) AS o_year, {total(_PROFIT, 4)} AS sum_profit FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey
         JOIN partsupp ON ps_suppkey = l_suppkey AND ps_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey JOIN nation ON s_nationkey = n_nationkey WHERE p_name LIKE '%rod%' GROUP BY n_name, year(o_orderdate)""",
     "tpch_q10": f"""SELECT c_custkey, c_name, {REVENUE} AS revenue, n_name FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN nation ON c_nationkey = n_nationkey
         WHERE o_orderdate >= DATE '1997-10-01' AND o_orderdate < DATE '1998-01-01' AND l_returnflag = 'R' GROUP BY c_custkey, c_name, n_name""",
-    "tpch_q11": f"""WITH {PARTSUPP}, stock AS (SELECT ps_partkey, ps_supplycost * ps_availqty AS v FROM partsupp JOIN supplier ON ps_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 1)
+    "tpch_q11": f"""WITH {partsupp('l_suppkey IN (SELECT s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 1)')}, stock AS (SELECT ps_partkey, ps_supplycost * ps_availqty AS v FROM partsupp JOIN supplier ON ps_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 1)
         SELECT ps_partkey, {total('v', 4)} AS stock_value FROM stock GROUP BY ps_partkey HAVING sum(v) > (SELECT sum(v) * 0.001 FROM stock)""",
     "tpch_q12": f"""SELECT o_orderstatus, CAST(sum(CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END) AS BIGINT) AS high_line_count,
         CAST(sum(CASE WHEN o_orderpriority NOT IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END) AS BIGINT) AS low_line_count FROM orders JOIN lineitem ON o_orderkey = l_orderkey
@@ -68,7 +77,7 @@ QUERIES = {
         WHERE l_shipdate >= DATE '1997-09-01' AND l_shipdate < DATE '1997-10-01'""",
     "tpch_q15": f"""WITH revenue AS (SELECT l_suppkey AS supplier_no, sum({_NET}) AS total_revenue FROM lineitem WHERE l_shipdate >= DATE '1996-01-01' AND l_shipdate < DATE '1996-04-01' GROUP BY l_suppkey)
         SELECT s_suppkey, s_name, round(CAST(total_revenue AS DOUBLE), 4) AS total_revenue FROM supplier JOIN revenue ON s_suppkey = supplier_no WHERE total_revenue = (SELECT max(total_revenue) FROM revenue)""",
-    "tpch_q16": f"""WITH {PARTSUPP} SELECT p_brand, p_type, p_size, count(DISTINCT ps_suppkey) AS supplier_cnt FROM partsupp JOIN part ON p_partkey = ps_partkey
+    "tpch_q16": f"""WITH {partsupp(_parts("p_brand <> 'Brand#5' AND p_type NOT LIKE 'MEDIUM%' AND p_size IN (9, 14, 19, 23, 36, 45, 49, 3)"))} SELECT p_brand, p_type, p_size, count(DISTINCT ps_suppkey) AS supplier_cnt FROM partsupp JOIN part ON p_partkey = ps_partkey
         WHERE p_brand <> 'Brand#5' AND p_type NOT LIKE 'MEDIUM%' AND p_size IN (9, 14, 19, 23, 36, 45, 49, 3) AND ps_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) GROUP BY p_brand, p_type, p_size""",
     "tpch_q17": f"""SELECT round(CAST(sum({money('l_extendedprice')}) AS DOUBLE) / 7.0, 4) AS avg_yearly FROM lineitem JOIN part ON p_partkey = l_partkey
         WHERE p_brand = 'Brand#3' AND l_quantity < (SELECT 0.5 * avg(l_quantity) FROM lineitem l2 WHERE l2.l_partkey = p_partkey)""",
@@ -76,7 +85,7 @@ QUERIES = {
         WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING sum({money('l_quantity')}) > 200) GROUP BY c_name, c_custkey, o_orderkey, o_orderdate, o_totalprice""",
     "tpch_q19": f"""SELECT {REVENUE} AS revenue FROM lineitem JOIN part ON p_partkey = l_partkey WHERE (p_brand = 'Brand#12' AND l_quantity BETWEEN 1 AND 11 AND p_size BETWEEN 1 AND 15)
         OR (p_brand = 'Brand#23' AND l_quantity BETWEEN 10 AND 20 AND p_size BETWEEN 1 AND 30) OR (p_brand = 'Brand#4' AND l_quantity BETWEEN 20 AND 30 AND p_size BETWEEN 1 AND 45)""",
-    "tpch_q20": f"""WITH {PARTSUPP}, shipped AS (SELECT l_partkey, l_suppkey, sum({money('l_quantity')}) AS q FROM lineitem WHERE l_shipdate >= DATE '1996-01-01' AND l_shipdate < DATE '1999-01-01' GROUP BY l_partkey, l_suppkey)
+    "tpch_q20": f"""WITH {partsupp(_parts("p_brand LIKE 'Brand#1%'"))}, shipped AS (SELECT l_partkey, l_suppkey, sum({money('l_quantity')}) AS q FROM lineitem WHERE l_shipdate >= DATE '1996-01-01' AND l_shipdate < DATE '1999-01-01' AND {_parts("p_brand LIKE 'Brand#1%'")} GROUP BY l_partkey, l_suppkey)
         SELECT DISTINCT s_suppkey, s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN partsupp ON ps_suppkey = s_suppkey JOIN part ON p_partkey = ps_partkey
         JOIN shipped ON l_partkey = ps_partkey AND l_suppkey = ps_suppkey WHERE p_brand LIKE 'Brand#1%' AND ps_availqty > 1.5 * q AND n_regionkey = 2""",
     "tpch_q21": f"""WITH late AS (SELECT l_orderkey, l_suppkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' AND {_LATE})
