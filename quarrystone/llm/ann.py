@@ -27,8 +27,8 @@ CURVES = 16
 #: Dimensions of a projection and bits of each; their product fits a signed 64-bit key.
 PROJECTED, BITS = 10, 6
 #: Queries on which the window is fitted, at most, and the share of true neighbours it must reach there.
-FIT_QUERIES = 64
-FIT_RECALL = 0.95
+FIT_QUERIES = 128
+FIT_RECALL = 0.92
 #: Vectors of a block, within which queries and vectors are multiplied; queries that meet a block in one task at most.
 BLOCK = 2048
 QUERY_CHUNK = 20_000
