@@ -42,13 +42,27 @@ def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str, window
     return items.select("item", "ws", starts.alias("at")).select("item", F.slice("ws", F.col("at"), window).alias("win")).distinct()
 
 
-def _hashed(docs: DataFrame, widths: list[int]) -> DataFrame:
-    """(..., n, pos, nth, h): the shingle of each width at each word of ``docs`` (columns and ``ws``), null past the end; without words one row of null pos for each width."""
+def _hashed(docs: DataFrame, widths: list[int], first: bool) -> DataFrame:
+    """(..., n, pos, nth, h): the shingle of each width at each word of ``docs`` (columns and ``ws``).
+
+    With ``first`` there is a row for the first place of each document too,
+    of null ``pos`` without words, whether or not a shingle fits there.
+    ``h`` is never null and rows are chosen by what is cheap, so that it is
+    computed once.
+    """
     each = docs.select("*", F.size("ws").alias("n"), F.posexplode_outer("ws").alias("pos", "w")).drop("w")
-    h = [F.when(F.col("pos") <= F.col("n") - width, _shingle(F.col("ws"), F.col("pos"), width)) for width in widths]
-    if len(widths) == 1:
-        return each.withColumn("nth", F.lit(0)).withColumn("h", h[0])
-    return each.select("*", F.posexplode(F.array(*h)).alias("nth", "h"))
+    width = F.lit(widths[0])
+    if len(widths) > 1:
+        each = each.withColumn("nth", F.explode(F.sequence(F.lit(0), F.lit(len(widths) - 1))))
+        width = F.element_at(F.array(*[F.lit(k) for k in widths]), F.col("nth") + 1)
+    else:
+        each = each.withColumn("nth", F.lit(0))
+    fits = F.coalesce(F.col("pos") <= F.col("n") - width, F.lit(False))
+    each = each.where(fits | (F.col("nth") == 0) & F.coalesce(F.col("pos") == 0, F.lit(True)) if first else fits)
+    h = _shingle(F.col("ws"), F.col("pos"), widths[-1])
+    for nth, k in enumerate(widths[:-1]):
+        h = F.when(F.col("nth") == nth, _shingle(F.col("ws"), F.col("pos"), k)).otherwise(h)
+    return each.withColumn("h", h)
 
 
 def _anchors(shingles: DataFrame, counts: DataFrame) -> DataFrame:
@@ -66,7 +80,7 @@ def _matches(docs: DataFrame, wins: DataFrame, widths: list[int], shingle: int,
     shingles = settle(placed.withColumn("h", F.coalesce(*[F.when(F.col("width") == k, _shingle(F.col("win"), F.col("off"), k)) for k in widths])))
     vocabulary = shingles.select("h").distinct()
     small = total <= block_windows
-    seen = _hashed(docs.select("ws"), widths).select("h").where("h is not null")
+    seen = _hashed(docs.select("ws"), widths, False).select("h")
     if small:
         counts = seen.join(F.broadcast(vocabulary), "h", "left_semi").groupBy("h").agg(F.count("*").alias("seen"))
     else:
@@ -77,13 +91,13 @@ def _matches(docs: DataFrame, wins: DataFrame, widths: list[int], shingle: int,
     same = F.slice("ws", F.greatest(F.col("start"), F.lit(0)) + 1, F.col("len")) == F.col("win")
     found = ["rid", "id", "n", "start", "len", "wid"]
     if small:
-        d, a = _hashed(docs, widths), F.broadcast(anchors)
+        d, a = _hashed(docs, widths, True), F.broadcast(anchors)
         there = F.slice("ws", F.greatest(start, F.lit(0)) + 1, F.col("len")) == F.col("win")
         hit = d.join(a, (d["h"] == a["h"]) & fits & there, "left")
         one = (F.col("pos").isNull() | (F.col("pos") == 0)) & (F.col("nth") == 0)
         return hit.where(F.col("wid").isNotNull() | one).withColumn("start", start).select(*found)
     # Hashes and positions meet the anchors by shuffling; only then are the texts of candidates joined.
-    d = _hashed(docs, widths).where("h is not null").select("rid", "n", "pos", "h")
+    d = _hashed(docs, widths, False).select("rid", "n", "pos", "h")
     met = d.join(anchors, "h").where(fits).select("rid", start.alias("start"), "len", "wid", "win")
     hits = docs.select("rid", "id", "ws", F.size("ws").alias("n")).join(met, "rid").where(same).select(*found)
     none = [F.lit(None).cast(t).alias(c) for c, t in (("start", "int"), ("len", "int"), ("wid", "string"))]
