@@ -60,9 +60,12 @@ NOT_CONTENT = NOT_ARTICLE | frozenset(
 )
 #: Words that say nothing by themselves in a name of several, so ``ad-box`` is an advert and ``related-work`` no widget.
 NEUTRAL = frozenset(
-    "area bar block body bottom box btn button buttons card col column container content div element embed fixed form global group holder inner item items js left link links list "
-    "main outer page panel primary region right row secondary section site slot small sticky thread title top unit wrap wrapper zone".split()
+    "area author bar big block body bottom box btn button buttons card col column container content count div element embed fixed form global google group holder info inner item items js "
+    "label law left legal link links list main message meta msg outer page panel placeholder policy primary privacy reader readers region right row secondary section site slot small sticky "
+    "text thread title top unit user users visitor wide wrap wrapper zone".split()
 )
+#: Words for the article itself: ``post-comments`` are comments, but ``post-header`` is a part of it.
+ARTICLE_WORDS = frozenset("article blog entry news post story".split())
 _PARTS = re.compile(r"[^a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre table dl".split())
@@ -133,7 +136,8 @@ def _named(attrs: str, names: frozenset[str], ids: bool = True) -> bool:
         if name in (("class", "id", "role") if ids else ("class", "role")):
             for word in value.split():
                 parts = {x for x in _PARTS.split(_CAMEL.sub("-", word).lower()) if x and not x[0].isdigit()}
-                if parts & names and parts <= names | NEUTRAL:
+                found = parts & names
+                if found and parts - names <= (NEUTRAL | ARTICLE_WORDS if found != {"header"} else NEUTRAL):
                     return True
     return False
 

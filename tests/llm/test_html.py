@@ -46,7 +46,7 @@ def test_names_in_an_article_drop_no_paragraphs(name):
     assert html.extract_text(page(f"<article><p>One</p><div class='{name}'><p>Two</p></div><p>Three</p></article>")) == "One\nTwo\nThree"
 
 
-@pytest.mark.parametrize("name", ["ad", "ad-box", "advert", "cookie-notice", "comments", "comment-list", "commentList", "sidebar", "left-sidebar", "nav", "main-menu", "notice", "ad_300x250"])
+@pytest.mark.parametrize("name", ["ad", "ad-box", "advert", "cookie-notice", "comments", "comment-list", "commentList", "sidebar", "left-sidebar", "nav", "main-menu", "notice", "ad_300x250", "reader-comments", "article-comments", "comment-form", "privacy-notice", "story-ad", "post-navigation"])
 def test_boilerplate_in_an_article_goes(name):
     assert html.extract_text(page(f"<article><p>One</p><div class='{name}'><p>Two</p></div><p>Three</p></article>")) == "One\nThree"
 
