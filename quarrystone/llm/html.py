@@ -19,7 +19,7 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import pandas as pd
@@ -73,49 +73,50 @@ PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre table dl".split())
 NAMED_BY_TEXT = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 
 
-class Tag(NamedTuple):
-    start: int
-    end: int
-    name: str  # empty for comments and declarations
-    closing: bool
-    attrs: str
-    inner: tuple[int, int] | None  # what a raw element holds; it then ends with the closing tag
+#: start, end, name (empty for comments and declarations), whether it closes, attributes, and where a raw element's
+#: content begins and ends (such a tag goes on to the end of its closing tag). A plain tuple, as pages have many.
+Tag = tuple[int, int, str, bool, str, tuple[int, int] | None]
 
 
 def tags(page: str) -> Iterator[Tag]:
     """The tags of a page. From a tag that nothing ends on, the rest is text."""
     at, size, quoted = 0, len(page), True
     while (start := page.find("<", at)) >= 0:
-        for opener, closer in (("<!--", "-->"), ("<![CDATA[", "]]>")):
-            if page.startswith(opener, start):
-                end = page.find(closer, start + len(opener))
-                at = end + len(closer) if end >= 0 else size
-                yield Tag(start, at, "", False, "", None)
-                break
-        else:
-            closing = page.startswith("/", start + 1)
-            name = _NAME.match(page, start + 1 + closing)
-            if not name and page[start + 1 : start + 2] not in ("!", "?"):
-                at = start + 1
-                continue
-            end = _tag_end(page, name.end()) if name and quoted else -1
-            if end < 0:
-                # Quotes that do not close: from here on a tag ends at the first bracket.
-                quoted = quoted and not name
-                end = page.find(">", start)
+        kind = page[start + 1 : start + 2]
+        if kind in ("!", "?"):
+            opener, closer = next((x for x in (("<!--", "-->"), ("<![CDATA[", "]]>")) if page.startswith(x[0], start)), ("", ">"))
+            end = page.find(closer, start + len(opener))
+            if end < 0 and not opener:
+                return
+            at = end + len(closer) if end >= 0 else size
+            yield start, at, "", False, "", None
+            continue
+        closing = kind == "/"
+        name = _NAME.match(page, start + 1 + closing)
+        if not name:
+            at = start + 1
+            continue
+        end = _tag_end(page, name.end()) if quoted else -1
+        if end < 0:
+            # Quotes that do not close: from here on a tag ends at the first bracket.
+            quoted = False
+            end = page.find(">", start)
             if end < 0:
                 return
-            at = end + 1
-            tag, attrs = (name[0].lower(), page[name.end() : end]) if name else ("", "")
-            inner = None
-            if tag in RAW and not closing and not attrs.endswith("/"):
-                stop = _CLOSERS[tag].search(page, at)
-                inner = (at, stop.start() if stop else size)
-                at = (page.find(">", stop.end()) + 1 if stop else 0) or size
-            yield Tag(start, at, tag, closing, attrs, inner)
+        at = end + 1
+        tag, attrs, inner = name[0].lower(), page[name.end() : end], None
+        if tag in RAW and not closing and not attrs.endswith("/"):
+            stop = _CLOSERS[tag].search(page, at)
+            inner = (at, stop.start() if stop else size)
+            at = (page.find(">", stop.end()) + 1 if stop else 0) or size
+        yield start, at, tag, closing, attrs, inner
 
 
 def _tag_end(page: str, at: int) -> int:
+    """Where the bracket is that ends a tag, not one in a quoted value."""
+    end = page.find(">", at)
+    if end < 0 or page.find("=", at, end) < 0:
+        return end
     while m := _STOP.search(page, at):
         if not m[1]:
             return m.start()
@@ -168,8 +169,8 @@ class Line(NamedTuple):
     plain: int  # characters outside links
 
 
-def _blocks(page: str) -> tuple[list[Line], list[tuple[int, int]]]:
-    """The lines, and (a, b) for each block element but the whole page: it holds the places over a, up to b."""
+def _blocks(page: str, found: Iterable[Tag], at: int = 0) -> tuple[list[Line], list[tuple[int, int]]]:
+    """The lines from ``at`` on, by the tags there, and (a, b) for each block element but the whole page: it holds the places over a, up to b."""
     # First the elements and where each ends, as tags may be left open.
     events: list[tuple[int, int, str, int, bool]] = []  # start, end, tag, element it opens or closes, opens
     closes: dict[int, int] = {}  # element (its event) -> event that ends it
@@ -184,10 +185,10 @@ def _blocks(page: str) -> tuple[list[Line], list[tuple[int, int]]]:
             closes[element] = event
             open_tags[tag] -= 1
 
-    for start, at, tag, closing, attrs, inner in tags(page):
+    for start, stop, tag, closing, attrs, inner in found:
         n = len(events)
         if not tag or inner:
-            events.append((start, at, "", -1, False))
+            events.append((start, stop, "", -1, False))
             continue
         if closing:
             if open_tags.get(tag):
@@ -196,11 +197,11 @@ def _blocks(page: str) -> tuple[list[Line], list[tuple[int, int]]]:
                     implied.add(stack[depth][1])
                     depth -= 1
                 end(depth, n)
-            events.append((start, at, tag, -1, False))
+            events.append((start, stop, tag, -1, False))
             continue
         while stack and tag in ENDED_BY.get(stack[-1][0], ()):
             end(len(stack) - 1, n)
-        events.append((start, at, tag, n, True))
+        events.append((start, stop, tag, n, True))
         if tag not in VOID and not (attrs.endswith("/") and tag not in BLOCKS):
             attrs_of[n] = attrs
             stack.append((tag, n))
@@ -214,26 +215,27 @@ def _blocks(page: str) -> tuple[list[Line], list[tuple[int, int]]]:
     out: list[Line] = []
     text: list[str] = []
     plain: list[str] = []
-    dropped_to, article_to, link_to, at = -1, -1, -1, 0
+    dropped_to, article_to, link_to = -1, -1, -1
 
     def flush(event: int) -> None:
-        if got := " ".join(html.unescape("".join(text)).split()):
-            out.append(Line(got, event > dropped_to, event <= article_to, event, sum(map(len, html.unescape("".join(plain)).split()))))
+        if text and (got := " ".join(html.unescape("".join(text)).split())):
+            weight = len(got) - got.count(" ") if len(plain) == len(text) else sum(map(len, html.unescape("".join(plain)).split()))
+            out.append(Line(got, event > dropped_to, event <= article_to, event, weight))
         text.clear()
         plain.clear()
 
-    def add(i: int, part: str) -> None:
-        text.append(part)
-        if i > link_to:
-            plain.append(part)
-
     for i, (start, stop, tag, element, opens) in enumerate(events):
-        add(i, page[at:start])
+        if start > at:
+            part = page[at:start]
+            text.append(part)
+            if i > link_to:
+                plain.append(part)
         at = stop
         if not tag:
             continue
         if tag == "br":
-            add(i, " ")
+            text.append(" ")
+            plain.append(" ")
         if tag == "a" and element in attrs_of:
             link_to = max(link_to, closes[element])
         if tag not in BLOCKS and element not in attrs_of and i not in (dropped_to, article_to):
@@ -250,14 +252,23 @@ def _blocks(page: str) -> tuple[list[Line], list[tuple[int, int]]]:
                 dropped_to = next(marked, closes[element]) - 1
         elif tag in ("article", "main") and i > dropped_to and closes[element] > article_to:
             article_to = closes[element]
-    add(len(events), page[at:])
+    text.append(page[at:])
+    if len(events) > link_to:
+        plain.append(page[at:])
     flush(len(events))
     return out, [(e, closes[e]) for e in attrs_of if events[e][2] in BLOCKS and events[e][2] not in ("html", "body")]
 
 
 def lines(page: str) -> list[tuple[str, bool, bool]]:
     """(text, kept, in article) for each block of text in page order; text has single spaces, references decoded."""
-    return [found[:3] for found in _blocks(page)[0]]
+    return [found[:3] for found in _blocks(page, tags(page))[0]]
+
+
+def body_lines(page: str, found: list[Tag]) -> list[str]:
+    """All blocks of text from the end of the head on, boilerplate or not, by all tags of the page."""
+    begin = next((i for i, t in enumerate(found) if (t[2] == "head" and t[3]) or (t[2] == "body" and not t[3])), 0)
+    at = found[begin][0] if begin else 0
+    return [line.text for line in _blocks(page, found[begin:], at)[0]]
 
 
 def surge_and_dive(weights: list[int], window: int = WINDOW, surge: int = SURGE) -> tuple[int, int] | None:
@@ -326,7 +337,7 @@ def main_lines(found: list[Line], blocks: list[tuple[int, int]], window: int = W
 
 
 def extract_text(page: str | None) -> str:
-    return "\n".join(main_lines(*_blocks(page))) if page else ""
+    return "\n".join(main_lines(*_blocks(page, tags(page)))) if page else ""
 
 
 def extract(pages: DataFrame, html_col: str = "html", out: str = "text") -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .html import attributes, lines, tags
+from .html import Tag, attributes, body_lines, tags
 
 VERSION = "WARC/1.1"
 #: Namespace of derived record ids, a fixed value.
@@ -45,27 +45,26 @@ def record_id(*name: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(NAMESPACE, chr(0).join(name))}>"
 
 
-def plain_text(page: str) -> str:
+def plain_text(page: str, found: list[Tag] | None = None) -> str:
     """All text of the body, a block a line; scripts, styles and the head are no text."""
-    head_end = re.search(r"</head\s*+>|<body\b", page, re.I)
-    return "\n".join(text for text, _, _ in lines(page[head_end.start() :] if head_end else page))
+    return "\n".join(body_lines(page, list(tags(page)) if found is None else found))
 
 
 def _clean(text: str) -> str:
     return " ".join(htmllib.unescape(text).split())
 
 
-def about_page(page: str) -> list[tuple[str, str]]:
-    """Title, language and links of a page, as far as it has them."""
+def about_page(page: str, found: list[Tag]) -> list[tuple[str, str]]:
+    """Title, language and links of a page, as far as it has them, by its tags."""
     title = lang = None
     links = []
-    for tag in tags(page):
-        if tag.name == "title" and tag.inner and title is None:
-            title = _clean(page[slice(*tag.inner)])
-        elif tag.name == "html" and not tag.closing and lang is None:
-            lang = next((v for k, v in attributes(tag.attrs) if k == "lang"), None)
-        elif tag.name == "a" and not tag.closing:
-            links += [("outlink", _clean(v)) for k, v in attributes(tag.attrs) if k == "href"][:1]
+    for _, _, name, closing, attrs, inner in found:
+        if name == "a" and not closing:
+            links += [("outlink", _clean(v)) for k, v in attributes(attrs) if k == "href"][:1]
+        elif name == "title" and inner and title is None:
+            title = _clean(page[slice(*inner)])
+        elif name == "html" and not closing and lang is None:
+            lang = next((v for k, v in attributes(attrs) if k == "lang"), None)
     return [("title", title)] * (title is not None) + [("language", lang)] * bool(lang) + links
 
 
@@ -106,8 +105,9 @@ def derive(headers: dict[str, str], block: bytes) -> list[dict]:
     payload_digest = headers.get("WARC-Payload-Digest") or digest(body)
     about = [("source-record-id", source), ("source-payload-digest", payload_digest), ("source-block-digest", headers.get("WARC-Block-Digest") or digest(block or b"")), ("source-content-length", str(len(body)))]
     about += [(f"source-header-{k.lower()}", v) for k, v in fields]
-    about += about_page(page)
-    blocks = {"metadata": ("application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in about).encode()), "conversion": ("text/plain; charset=utf-8", plain_text(page).encode())}
+    found = list(tags(page))
+    about += about_page(page, found)
+    blocks = {"metadata": ("application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in about).encode()), "conversion": ("text/plain; charset=utf-8", plain_text(page, found).encode())}
     out = []
     for warc_type, (content_type, own) in blocks.items():
         made = {
