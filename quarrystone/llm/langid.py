@@ -42,8 +42,9 @@ _NUMBERS = frozenset(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.i
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 #: What stands around each text, so that no n-gram reaches into another.
 _PAD = b" " * 2
-#: Bytes of text whose n-grams are hashed at a time.
-_SLAB = 1 << 18
+#: Bytes of text whose n-grams are hashed at a time, and texts that are prepared at a time.
+_SLAB = 1 << 16
+_TEXTS = 512
 
 
 def codewords(k: int) -> np.ndarray:
@@ -184,20 +185,25 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", out: str = "l
     ``und`` with score 0 for null texts, texts without a letter, and if no
     language was learned. All other columns stay as they are.
     """
+    own = model
+
+    def judged(texts: pd.Series) -> pd.DataFrame:
+        got = [prepared(t) if t is not None else b"" for t in texts]
+        known = np.array([i for i, t in enumerate(got) if len(t) > 2], int) if own.languages else np.array([], int)
+        lang, score, unsure = np.full(len(got), UNKNOWN, object), np.zeros(len(got)), np.zeros(len(got), bool)
+        if len(known):
+            like, order = own.decode(own.margins([got[i] for i in known]))
+            lang[known] = np.array(own.languages, object)[order[:, 0]]
+            score[known] = np.take_along_axis(like, order[:, :1], 1)[:, 0]
+            if len(own.languages) > 1:
+                unsure[known] = np.take_along_axis(like, order[:, 1:2], 1)[:, 0] >= AMBIGUOUS
+        return pd.DataFrame({"lang": lang, "score": score, "ambiguous": unsure})
+
     @F.pandas_udf("lang string, score double, ambiguous boolean")
     def identify(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = model
         for texts in batches:
-            got = [prepared(t) if t is not None else b"" for t in texts]
-            known = np.array([i for i, t in enumerate(got) if len(t) > 2], int) if own.languages else np.array([], int)
-            lang, score, unsure = np.full(len(got), UNKNOWN, object), np.zeros(len(got)), np.zeros(len(got), bool)
-            if len(known):
-                like, order = own.decode(own.margins([got[i] for i in known]))
-                lang[known] = np.array(own.languages, object)[order[:, 0]]
-                score[known] = np.take_along_axis(like, order[:, :1], 1)[:, 0]
-                if len(own.languages) > 1:
-                    unsure[known] = np.take_along_axis(like, order[:, 1:2], 1)[:, 0] >= AMBIGUOUS
-            yield pd.DataFrame({"lang": lang, "score": score, "ambiguous": unsure})
+            parts = [judged(texts.iloc[i : i + _TEXTS]) for i in range(0, len(texts), _TEXTS)]
+            yield pd.concat(parts, ignore_index=True) if parts else judged(texts)
 
     # Not deterministic, as else a filter on the result would compute it twice.
     return docs.withColumn(out, identify.asNondeterministic()(F.col(text_col)))

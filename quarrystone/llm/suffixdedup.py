@@ -198,7 +198,7 @@ class _Group:
         borders = np.frombuffer(at, width)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
         self.raw = np.frombuffer(data, np.uint8)[borders[0] : borders[-1]] if data is not None else np.zeros(0, np.uint8)
         self.begins, self.ends = borders[:-1] - borders[0], borders[1:] - borders[0]
-        self.anchors, self.first, self.counts, self.keys = runs(self.raw, np.repeat(self.ends, self.ends - self.begins), length, keyed)
+        self.anchors, self.first, self.counts, self.keys = runs(self.raw, np.repeat(self.ends.astype(np.int32 if len(self.raw) < 1 << 31 else np.int64), self.ends - self.begins), length, keyed)
         self.docs = np.searchsorted(self.ends, self.first, side="right")
 
     def anchor_sets(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -428,6 +428,7 @@ def _dedup(docs: DataFrame, id_col: str, text_col: str, length: int, keep: list[
         for own in np.split(order, np.flatnonzero(np.diff(to[order])) + 1) if len(order) else []:
             sent = b"".join([text[x:y] for x, y in zip(begins[own].tolist(), (begins[own] + sizes[own]).tolist(), strict=True)])
             out.append((int(to[own[0]]), g, _pack(_steps(own), _planes(ids[own], 8), _planes(sizes[own], 4), sent)))
+        pa.default_memory_pool().release_unused()
         return _table(out, _BLOB)
 
     def sort_bucket(rows: pa.Table) -> pa.Table:
@@ -440,8 +441,7 @@ def _dedup(docs: DataFrame, id_col: str, text_col: str, length: int, keep: list[
         told = list(zip(results["note"].to_pylist(), _blobs(results), strict=True))
         notes = [blob for note, blob in told if note]
         spans: list[list[dict]] = [[] for _ in range(len(group.ids))]
-        text = group.raw.tobytes()
-        kept = [text[a:b] for a, b in zip(group.begins.tolist(), group.ends.tolist(), strict=True)]
+        kept = [group.raw[a:b].tobytes() for a, b in zip(group.begins.tolist(), group.ends.tolist(), strict=True)]
         if notes:
             group.keep(*[_hashes(x) for x in _unpack(notes[0], 2)])
             plain, detail = np.full(len(group.head), _NO_ID), {}
@@ -478,6 +478,7 @@ def _dedup(docs: DataFrame, id_col: str, text_col: str, length: int, keep: list[
                         x, y = _whole_letters(group.raw, a, b, a + s["start"], a + s["end"])
                         own[x - a : y - a] = True
                 kept[d] = group.raw[a:b][~own].tobytes()
+        pa.default_memory_pool().release_unused()  # workers are reused, and what they hold counts
         order = pa.array(group.order)
         passed = {f"keep{i}": rows[f"keep{i}"].take(order) for i in range(len(keep))}
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
