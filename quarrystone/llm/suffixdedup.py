@@ -27,6 +27,7 @@ Rows travel as Arrow tables, so ids and passed columns are never converted.
 
 from __future__ import annotations
 
+import ctypes
 import struct
 from collections.abc import Iterator
 
@@ -273,13 +274,16 @@ def equal_windows(stretches: list[bytes], length: int = LENGTH, sort_bytes: int
     raw = np.frombuffer(joined, np.uint8)
     if len(raw) < length:
         return
-    sizes = np.array([len(s) for s in stretches])
-    end_of = np.repeat(np.cumsum(sizes), sizes)
-    starts = np.flatnonzero(end_of - np.arange(len(raw)) >= length)
-    hashed = gram_hashes(raw, length)[starts]
-    _, which, n = np.unique(hashed, return_inverse=True, return_counts=True)
-    again = n[which] > 1
-    starts, hashed = starts[again], hashed[again]
+    kind = np.int32 if len(raw) < 1 << 31 else np.int64
+    sizes = np.array([len(s) for s in stretches], kind)
+    end_of = np.repeat(np.cumsum(sizes, dtype=kind), sizes)
+    starts = np.flatnonzero(end_of - np.arange(len(raw), dtype=kind) >= length).astype(kind)
+    # In slabs, as hashing holds many times what it hashes.
+    hashed = np.concatenate([gram_hashes(raw[a : a + _SLAB + length - 1], length) for a in range(0, len(raw) - length + 1, _SLAB)])[starts]
+    twice = np.sort(hashed)
+    twice = np.unique(twice[1:][twice[1:] == twice[:-1]])
+    again = _in(hashed, twice)
+    starts, hashed = starts[again].astype(np.int64), hashed[again]
     pieces = max(1, -(-len(starts) * 3 // sort_bytes))
     part = (hashed >> _U(32)) % _U(pieces)
     for p in range(pieces):
@@ -312,6 +316,15 @@ def equal_windows(stretches: list[bytes], length: int = LENGTH, sort_bytes: int
         yield chosen, label[place]
 
 
+def _release() -> None:
+    """Give back what the last group held: workers are reused, and what they hold counts."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 def _blobs(rows: pa.Table) -> list[bytes]:
     return rows["blob"].to_pylist()
 
@@ -366,7 +379,7 @@ def _least_ids(rows: pa.Table, length: int) -> pa.Table:
     at_place = np.repeat(np.array(least, np.int64), sizes)
     # Windows that only copies of one stretch have keep its least id; the others share the least of theirs.
     changed = np.zeros(len(sizes), bool)
-    stretch_of = np.repeat(np.arange(len(sizes)), sizes)
+    stretch_of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     for places, labels in equal_windows(stretches, length):
         low = np.full(labels.max() + 1, _NO_ID)
         np.minimum.at(low, labels, at_place[places])
@@ -405,6 +418,7 @@ def _dedup(docs: DataFrame, id_col: str, text_col: str, length: int, keep: list[
         return (hashes % _U(buckets)).astype(np.int64)
 
     def send_anchors(rows: pa.Table) -> pa.Table:
+        _release()
         every, several, n = _Group(rows, length, keyed=False).anchor_sets()
         g, to = rows["g"][0].as_py(), of_bucket(every)
         order = np.argsort(to, kind="stable")
@@ -416,6 +430,7 @@ def _dedup(docs: DataFrame, id_col: str, text_col: str, length: int, keep: list[
     def send_stretches(key, rows: pa.Table, lists: pa.Table) -> pa.Table:
         if not len(rows) or not len(lists):
             return _table([], _BLOB)
+        _release()
         g, told = key[0].as_py(), [_unpack(b, 2) for b in _blobs(lists)]
         shared, often = (np.unique(np.concatenate([_hashes(own[i]) for own in told])) for i in (0, 1))
         group = _Group(rows, length)
@@ -428,15 +443,16 @@ def _dedup(docs: DataFrame, id_col: str, text_col: str, length: int, keep: list[
         for own in np.split(order, np.flatnonzero(np.diff(to[order])) + 1) if len(order) else []:
             sent = b"".join([text[x:y] for x, y in zip(begins[own].tolist(), (begins[own] + sizes[own]).tolist(), strict=True)])
             out.append((int(to[own[0]]), g, _pack(_steps(own), _planes(ids[own], 8), _planes(sizes[own], 4), sent)))
-        pa.default_memory_pool().release_unused()
         return _table(out, _BLOB)
 
     def sort_bucket(rows: pa.Table) -> pa.Table:
         if rows["bucket"][0].as_py() < 0:  # a group's note to itself
             return _table([(g, True, blob) for g, blob in zip(rows["g"].to_pylist(), _blobs(rows), strict=True)], _NOTED)
+        _release()
         return _least_ids(rows, length)
 
     def cut(key, rows: pa.Table, results: pa.Table) -> pa.Table:
+        _release()
         group = _Group(rows, length)
         told = list(zip(results["note"].to_pylist(), _blobs(results), strict=True))
         notes = [blob for note, blob in told if note]
@@ -478,7 +494,6 @@ def _dedup(docs: DataFrame, id_col: str, text_col: str, length: int, keep: list[
                         x, y = _whole_letters(group.raw, a, b, a + s["start"], a + s["end"])
                         own[x - a : y - a] = True
                 kept[d] = group.raw[a:b][~own].tobytes()
-        pa.default_memory_pool().release_unused()  # workers are reused, and what they hold counts
         order = pa.array(group.order)
         passed = {f"keep{i}": rows[f"keep{i}"].take(order) for i in range(len(keep))}
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
