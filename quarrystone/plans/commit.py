@@ -1,17 +1,20 @@
 """Committing a table: a manifest of schema, size and content hashes.
 
 Rows are hashed under their row ids, blocks of ids into a leaf, and leaves
-level by level into one root, all as grouped aggregates. The manifest binds to
-the content of the table; checking it means reading the data again. It is not
-a succinct or hiding commitment.
+level by level into one root, all as grouped aggregates. ``digests`` can also
+give the root over all leaves at once. The manifest binds to the content of the
+table; checking it means reading the data again. It is not a succinct or hiding
+commitment.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,13 +64,17 @@ def normalised(df: DataFrame, key: list[str] | None = None) -> tuple[DataFrame,
     return (df if ACTIVE in df.columns else add_mask(df)), n
 
 
-def digests(df: DataFrame, rows: int | None = None) -> dict[str, str]:
-    """The root hash of each column, by name, over all rows in the order of their ids."""
-    return _tree(df, df.count() if rows is None else rows)[0]
+def digests(df: DataFrame, rows: int | None = None, flat: bool = False) -> dict[str, str]:
+    """The root hash of each column, by name, over all rows in the order of their ids.
+
+    ``flat`` has two levels for any number of rows: leaves, and a root over all
+    of them. Up to ``FAN`` leaves it makes no difference.
+    """
+    return _tree(df, df.count() if rows is None else rows, flat)[0]
 
 
-def _tree(df: DataFrame, rows: int) -> tuple[dict[str, str], int]:
-    """The root hashes and how many rows are active, in one plan: as many levels as the rows need.
+def _tree(df: DataFrame, rows: int, flat: bool = False) -> tuple[dict[str, str], int]:
+    """The root hashes and how many rows are active, in one plan: as many levels as the rows need, or two.
 
     A group gathers its members once for all columns; members are ``FAN`` at most.
     """
@@ -82,12 +89,30 @@ def _tree(df: DataFrame, rows: int) -> tuple[dict[str, str], int]:
         level = level.groupBy(up.alias("at")).agg(F.sum("active").alias("active"), own.alias("own"))
         level = level.select("at", "active", *[F.sha2(F.array_join(F.col("own")[n], ""), 256).alias(n) for n in names.values()])
         left = -(-left // FAN)
+        if flat and left > FAN:
+            level = _streamed_root(level, list(names.values()))
+            break
         if left <= 1:
             break
     found = level.first()
     return {c: (found[n] if found else "") for c, n in names.items()}, found["active"] if found else 0
 
 
+def _streamed_root(level: DataFrame, names: list[str]) -> DataFrame:
+    """One row: the hash over each column of all rows in the order of ``at``, which one task reads and does not keep."""
+
+    def root(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, active = {n: hashlib.sha256() for n in names}, 0
+        for b in batches:
+            active += sum(x or 0 for x in b.column("active").to_pylist())
+            for n, h in hashes.items():
+                h.update("".join(b.column(n).to_pylist()).encode())
+        yield pa.RecordBatch.from_pydict({"active": pa.array([active], pa.int64()), **{n: [h.hexdigest()] for n, h in hashes.items()}})
+
+    ordered = level.repartition(1).sortWithinPartitions("at").drop("at")
+    return ordered.mapInArrow(root, "active long, " + ", ".join(f"{n} string" for n in names))
+
+
 def commit(df: DataFrame, table: str, key: list[str] | None = None) -> Manifest:
     """The manifest of a table; nested columns are refused."""
     require_committable(df.schema)

@@ -174,6 +174,24 @@ def test_a_tree_of_three_levels(spark, monkeypatch):
     assert a.columns["x"] == level[0]
 
 
+@pytest.mark.parametrize("rows", [1, 4, 5, 16, 17, 50])
+def test_a_flat_root_is_over_all_leaves(spark, monkeypatch, rows):
+    import hashlib
+
+    from quarrystone.plans import commit as module
+
+    monkeypatch.setattr(module, "FAN", 4)
+    x = [None if i % 7 == 3 else i for i in range(rows)]
+    df = spark.createDataFrame([(i, v, i % 3 > 0) for i, v in enumerate(x)], f"{module.ROW_ID} long, x long, {module.ACTIVE} boolean").repartition(7)
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    cells = [sha("-" if v is None else f"={v}") for v in x]
+    leaves = [sha("".join(cells[i : i + 4])) for i in range(0, rows, 4)]
+    got, active = module._tree(df, rows, flat=True)
+    assert got["x"] == (leaves[0] if len(leaves) == 1 else sha("".join(leaves)))
+    assert active == sum(i % 3 > 0 for i in range(rows)) and got == module.digests(df, flat=True)
+    assert (got == module.digests(df)) == (rows <= 16)
+
+
 def test_clusters_need_a_shared_folder(monkeypatch):
     from types import SimpleNamespace
 

@@ -17,6 +17,14 @@ def test_matches_sql(spark, sf_dir, con, name):
     same(con, Q[name](spark, sf_dir), SQL[name])
 
 
+def test_commit_orders_over_more_leaves_than_a_group_holds(spark, sf_dir, con, monkeypatch):
+    """As with over 1,048,576 rows, by smaller leaves."""
+    from quarrystone.plans import commit
+
+    monkeypatch.setattr(commit, "FAN", 4)
+    assert same(con, Q["commit_orders"](spark, sf_dir), SQL["commit_orders"].replace("1024", "4")) == 4
+
+
 def test_every_query_has_sql():
     assert set(Q) == set(SQL)
 
